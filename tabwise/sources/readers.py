@@ -16,9 +16,25 @@ INTEGER_SHAPE = r"^\s*[+-]?\d+\s*$"
 BOOLEAN_WORDS = ("True", "TRUE", "true", "False", "FALSE", "false")
 
 
+def _spans_lines(spark: SparkSession, path: str) -> bool:
+    """Whether a quoted field may hold a line break: some line has an odd number of quotes."""
+    quotes = F.length(F.regexp_replace("value", '[^"]', ""))
+    return not spark.read.text(path).where(quotes % 2 == 1).isEmpty()
+
+
 def _csv(spark: SparkSession, path: str) -> DataFrame:
+    """CSV with a header row.
+
+    Files are split between tasks by lines unless a field holds line breaks,
+    which only a whole-file read gets right.
+    """
     text = spark.read.csv(
-        path, header=True, inferSchema=False, quote='"', escape='"', multiLine=False
+        path,
+        header=True,
+        inferSchema=False,
+        quote='"',
+        escape='"',
+        multiLine=_spans_lines(spark, path),
     )
     return infer_types(text)
 

@@ -14,13 +14,17 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     """Write a table, replacing what is there; CSV carries a header row."""
     if fmt not in WRITE_FORMATS:
         raise ValueError(f"Unsupported file format: {fmt}")
-    writer = df.write.mode("overwrite")
     if fmt == "csv":
         nested = [c for c, k in kinds(df).items() if k == "nested"]
-        df = df.withColumns({c: F.to_json(ref(c)) for c in nested})
-        df.write.mode("overwrite").csv(path, header=True, escape='"')
+        df.withColumns({c: F.to_json(ref(c)) for c in nested}).write.mode("overwrite").csv(
+            path,
+            header=True,
+            escape='"',
+            ignoreLeadingWhiteSpace=False,
+            ignoreTrailingWhiteSpace=False,
+        )
     else:
-        writer.format(fmt).save(path)
+        df.write.mode("overwrite").format(fmt).save(path)
 
 
 def chart_json(batch: DataFrame) -> DataFrame:
