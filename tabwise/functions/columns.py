@@ -91,3 +91,26 @@ def aggregate_long(
         for i, (label, fields) in enumerate(entries)
     ]
     return wide.select(F.inline(F.array(*rows)))
+
+
+def unpivot_groups(
+    df: DataFrame, groups: Sequence[tuple[str, ...]], names: tuple[str, ...]
+) -> DataFrame:
+    """One row per group and input row: (position, *names).
+
+    ``position`` is ``p0``, ``p1``, ... in the order of ``groups``.  The small
+    per-row loop this plans compiles well where one aggregate over hundreds of
+    columns would not.  Column names must be plain identifiers.
+    """
+    body = ", ".join(f"({', '.join(g)}) AS p{i}" for i, g in enumerate(groups))
+    return df.sparkSession.sql(
+        f"SELECT position, {', '.join(names)} FROM {{wide}} "
+        f"UNPIVOT INCLUDE NULLS (({', '.join(names)}) FOR position IN ({body}))",
+        wide=df,
+    )
+
+
+def by_position(names: Sequence[str]) -> Column:
+    """The entry of ``names`` a ``position`` label stands for."""
+    index = F.substring("position", 2, 10).cast("int")
+    return F.get(F.array(*[F.lit(n) for n in names]), index)

@@ -8,13 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
-from itertools import combinations
+from itertools import combinations_with_replacement
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabwise.functions.columns import number_of, ref, value_of
+from tabwise.functions.columns import by_position, number_of, ref, unpivot_groups, value_of
 from tabwise.functions.dates import date_of, month_label
 
 TOP_CATEGORIES = 10
@@ -131,49 +131,50 @@ def segment_means(
 # --- correlations ------------------------------------------------------------
 
 
-def _correlation(a: Column, b: Column) -> Column:
-    """Pearson r over rows that have both values; 0 where it is undefined.
+def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(col_a, col_b, r): Pearson correlation of all pairs, both ways, and the diagonal.
 
-    Masking each side by the other keeps r within 1 when NULLs differ.
+    Over rows that have both values; 0 where it is undefined.  Every row gives
+    one small entry per pair, summed up map-side, so only one row per task and
+    pair is shuffled.  Wide tables take one pass per few hundred pairs.
     """
-    a_seen, b_seen = F.when(b.isNotNull(), a), F.when(a.isNotNull(), b)
-    spread = F.stddev_samp(a_seen) * F.stddev_samp(b_seen)
-    return F.coalesce(F.try_divide(F.covar_samp(a, b), spread), F.lit(0.0))
-
+    if not columns:
+        return df.sparkSession.createDataFrame([], "col_a string, col_b string, r double")
+    numbers = df.select(*[number_of(df, c).alias(f"n{i}") for i, c in enumerate(columns)])
+    pairs = list(combinations_with_replacement(range(len(columns)), 2))
+    chunks = [pairs[i : i + PAIRS_PER_PASS] for i in range(0, len(pairs), PAIRS_PER_PASS)]
+    return reduce(DataFrame.unionByName, [_pair_pass(numbers, columns, chunk) for chunk in chunks])
 
-def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(col_a, col_b, r) for all pairs, both ways and the diagonal.
 
-    Each pair is computed once; wide tables take one pass per few hundred pairs.
-    The diagonal is 1, or 0 for a constant column.
-    """
-    numbers = {c: number_of(df, c) for c in columns}
-    entries = [((a, b), _correlation(numbers[a], numbers[b])) for a, b in combinations(columns, 2)]
-    entries += [
-        (
-            (c, c),
-            F.when(F.coalesce(F.stddev_samp(numbers[c]), F.lit(0.0)) > 0, 1.0).otherwise(0.0),
-        )
-        for c in columns
-    ]
-    passes = [
-        _pair_pass(df, entries[i : i + PAIRS_PER_PASS])
-        for i in range(0, len(entries), PAIRS_PER_PASS)
-    ]
-    return reduce(DataFrame.unionByName, passes)
-
-
-def _pair_pass(df: DataFrame, entries) -> DataFrame:
-    wide = df.agg(*[r.alias(f"r{i}") for i, (_, r) in enumerate(entries)])
-    cells = []
-    for i, ((a, b), _) in enumerate(entries):
-        for left, right in {(a, b): 0, (b, a): 0}:
-            cells.append(
-                F.struct(
-                    F.lit(left).alias("col_a"), F.lit(right).alias("col_b"), F.col(f"r{i}").alias("r")
-                )
-            )
-    return wide.select(F.inline(F.array(*cells)))
+def _pair_pass(
+    numbers: DataFrame, columns: Sequence[str], pairs: Sequence[tuple[int, int]]
+) -> DataFrame:
+    both = F.col("a").isNotNull() & F.col("b").isNotNull()
+    spread = F.stddev_samp("a") * F.stddev_samp("b")
+    r = F.try_divide(F.covar_samp("a", "b"), spread)
+    groups = [(f"n{i}", f"n{j}") for i, j in pairs]
+    found = (
+        unpivot_groups(numbers, groups, ("a", "b")).where(both).groupBy("position").agg(r.alias("r"))
+    )
+    left, right = (by_position([columns[p[k]] for p in pairs]) for k in (0, 1))
+    # Pairs without common rows are absent above; every pair is listed here.
+    listed = numbers.sparkSession.range(len(pairs)).select(
+        F.concat(F.lit("p"), F.col("id").cast("string")).alias("position")
+    )
+    value = F.coalesce(
+        F.when(F.col("col_a") == F.col("col_b"), F.round("r", 9)).otherwise(F.col("r")), F.lit(0.0)
+    )
+    named = (
+        listed.join(found, "position", "left")
+        .select(left.alias("col_a"), right.alias("col_b"), "r")
+        .withColumn("r", value)
+    )
+    one_way = F.struct("col_a", "col_b", "r")
+    other_way = F.struct(F.col("col_b").alias("col_a"), F.col("col_a").alias("col_b"), "r")
+    cells = F.when(F.col("col_a") == F.col("col_b"), F.array(one_way)).otherwise(
+        F.array(one_way, other_way)
+    )
+    return named.select(F.inline(cells))
 
 
 # --- choosing and batching charts --------------------------------------------

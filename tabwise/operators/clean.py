@@ -13,7 +13,7 @@ from tabwise.functions.columns import kinds, number_of, ref, value_of
 from tabwise.functions.dates import date_of, iso_day
 from tabwise.functions.staging import stage
 from tabwise.operators.profile import row_fingerprint
-from tabwise.operators.quantiles import medians
+from tabwise.operators.quantiles import exact_medians
 
 EDGE_SPACE = r"^\s+|\s+$"
 
@@ -39,10 +39,6 @@ def drop_duplicates(df: DataFrame) -> DataFrame:
     return df.dropDuplicates()
 
 
-def _medians_of(df: DataFrame, columns: Sequence[str]) -> dict[str, float]:
-    return {r["column"]: r["median"] or 0.0 for r in medians(df, columns).collect()}
-
-
 def impute_median(
     df: DataFrame, columns: Sequence[str], values: dict[str, float] | None = None
 ) -> DataFrame:
@@ -54,7 +50,7 @@ def impute_median(
     columns = [c for c in columns if c in df.columns]
     if not columns:
         return df
-    values = values if values is not None else _medians_of(df, columns)
+    values = values if values is not None else exact_medians(df, columns)
     filled = {}
     for c in columns:
         fill = float(values.get(c) or 0.0)

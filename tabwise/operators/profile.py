@@ -12,15 +12,17 @@ from tabwise.functions import keywords as kw
 from tabwise.functions.columns import (
     NUMERIC_KINDS,
     aggregate_long,
+    by_position,
     kind_of,
     kinds,
     number_of,
     numeric_columns,
     ref,
+    unpivot_groups,
     value_of,
 )
-from tabwise.functions.dates import looks_like_date
-from tabwise.operators.quantiles import medians
+from tabwise.functions.dates import looks_like_date, micros
+from tabwise.operators.quantiles import Spread, exact_medians, medians
 
 # Texts longer than this are compared by digest, so a shuffle moves 64
 # characters and not a document.
@@ -29,18 +31,16 @@ DIGEST_ABOVE = 64
 # Counts near these values decide a role; fast mode recounts them exactly.
 DECISIVE_COUNTS = (2, 10)
 DECISIVE_RATIOS = (0.5, 0.8, 0.95)
-FAST_RSD = 0.02
-FAST_BAND = 0.08
+# Three deviations of the default distinct-count sketch.
+FAST_BAND = 0.15
 
 
 # --- one value per row -------------------------------------------------------
 
 
-def _scalar_text(df: DataFrame, name: str) -> Column:
-    """Text that is equal exactly where the values are equal; NULL stays NULL."""
+def _as_text(df: DataFrame, name: str) -> Column:
+    """Text that is equal exactly where non-numeric values are equal."""
     data_type = df.schema[name].dataType
-    if isinstance(data_type, (T.DoubleType, T.FloatType)):
-        return (value_of(df, name) + F.lit(0.0)).cast("string")
     if isinstance(data_type, T.BinaryType):
         return F.hex(ref(name))
     if kind_of(data_type) == "nested":
@@ -48,23 +48,28 @@ def _scalar_text(df: DataFrame, name: str) -> Column:
     return ref(name).cast("string")
 
 
-def _comparable(df: DataFrame, name: str) -> Column:
-    text = _scalar_text(df, name)
-    if isinstance(df.schema[name].dataType, (T.StringType, T.BinaryType)):
-        return F.when(F.length(text) > DIGEST_ABOVE, F.sha2(text, 256)).otherwise(text)
-    return text
+def _comparable_text(df: DataFrame, name: str) -> Column:
+    text = _as_text(df, name)
+    return F.when(F.length(text) > DIGEST_ABOVE, F.sha2(text, 256)).otherwise(text)
+
+
+def _hashable(df: DataFrame, name: str) -> Column:
+    return _as_text(df, name) if kind_of(df.schema[name].dataType) == "nested" else ref(name)
 
 
 def row_fingerprint(df: DataFrame) -> Column:
-    """256-bit digest of a whole row; equal rows (NULLs equal) share it.
+    """128-bit digest of a whole row; equal rows (NULLs equal) share it.
 
-    Every value carries its length, so moving text between columns changes it.
+    Two 64-bit hashes over the columns in opposite orders.  Hashes skip NULLs,
+    so both also take in which columns are NULL.  Among 10^12 different rows the
+    chance that any two share a digest is below 10^-14.
     """
-    parts = []
-    for name in df.columns:
-        text = _scalar_text(df, name)
-        parts.append(F.coalesce(F.concat(F.length(text).cast("string"), F.lit(":"), text), F.lit("-")))
-    return F.unhex(F.sha2(F.concat_ws(",", *parts), 256))
+    gaps = F.concat(*[F.when(ref(c).isNull(), "0").otherwise("1") for c in df.columns])
+    values = [_hashable(df, c) for c in df.columns]
+    return F.struct(
+        F.xxhash64(gaps, *values).alias("forward"),
+        F.xxhash64(*reversed(values), gaps).alias("backward"),
+    )
 
 
 # --- table level -------------------------------------------------------------
@@ -145,22 +150,41 @@ def distinct_counts(df: DataFrame, columns: Sequence[str] | None = None) -> Data
 
     Cells become (column, value) pairs that are combined map-side; only the
     distinct pairs of a task reach the shuffle, spread by column and value.
+    Whole numbers, fractions and texts travel in a slot of their own type.
     """
     columns = list(columns if columns is not None else df.columns)
     if not columns:
         return df.sparkSession.createDataFrame([], "column string, distinct bigint")
-    cells = df.select(
-        *[_comparable(df, c).alias(f"v{i}") for i, c in enumerate(columns)]
-    ).unpivot([], [f"v{i}" for i in range(len(columns))], "position", "value")
-    counted = (
-        cells.groupBy("position", "value")
-        .agg(F.lit(1).alias("one"))
-        .groupBy("position")
-        .agg(F.count("value").alias("distinct"))
+    slots = ("whole", "fraction", "words")
+    empty = {"whole": "bigint", "fraction": "double", "words": "string"}
+    wide, groups = [F.lit(None).cast(t).alias(f"no_{s}") for s, t in empty.items()], []
+    for i, c in enumerate(columns):
+        slot, value = _slot_of(df, c)
+        wide.append(value.alias(f"c{i}"))
+        groups.append(tuple(f"c{i}" if s == slot else f"no_{s}" for s in slots))
+    pairs = unpivot_groups(df.select(*wide), groups, slots).dropDuplicates()
+    present = F.col("whole").isNotNull() | F.col("fraction").isNotNull() | F.col("words").isNotNull()
+    return (
+        pairs.groupBy("position")
+        .agg(F.count_if(present).alias("distinct"))
+        .select(by_position(columns).alias("column"), "distinct")
     )
-    names = F.array(*[F.lit(c) for c in columns])
-    index = F.substring("position", 2, 10).cast("int")
-    return counted.select(F.get(names, index).alias("column"), "distinct")
+
+
+def _slot_of(df: DataFrame, name: str) -> tuple[str, Column]:
+    data_type = df.schema[name].dataType
+    kind = kind_of(data_type)
+    if kind == "bool" or isinstance(data_type, T.IntegralType):
+        return "whole", ref(name).cast("bigint")
+    if isinstance(data_type, T.DateType):
+        return "whole", F.unix_date(ref(name)).cast("bigint")
+    if isinstance(data_type, T.TimestampType):
+        return "whole", F.unix_micros(ref(name))
+    if isinstance(data_type, T.TimestampNTZType):
+        return "whole", micros(ref(name))
+    if isinstance(data_type, (T.DoubleType, T.FloatType)):
+        return "fraction", value_of(df, name).cast("double")
+    return "words", _comparable_text(df, name)
 
 
 def unique_ratio(distinct: Column, rows: Column) -> Column:
@@ -168,28 +192,31 @@ def unique_ratio(distinct: Column, rows: Column) -> Column:
 
 
 def numeric_summary(df: DataFrame, exact: bool = True) -> DataFrame:
-    """Mean, min, max, median of every numeric column."""
+    """Mean, min, max, median of every numeric column; no rows without one."""
     columns = numeric_columns(df)
+    schema = "column string, mean double, min_num double, max_num double, median double"
     if not columns:
-        return df.sparkSession.createDataFrame(
-            [], "column string, mean double, min_num double, max_num double, median double"
-        )
-    basic = aggregate_long(
-        df,
-        "column",
-        [
-            (
-                c,
-                {
-                    "mean": F.avg(number_of(df, c)),
-                    "min_num": F.min(number_of(df, c)),
-                    "max_num": F.max(number_of(df, c)),
-                },
-            )
-            for c in columns
-        ],
+        return df.sparkSession.createDataFrame([], schema)
+
+    def stats(c: str) -> dict[str, Column]:
+        number = number_of(df, c)
+        found = {
+            "mean": F.avg(number), "min_num": F.min(number), "max_num": F.max(number),
+            "n": F.count(number),
+        }
+        return found if exact else found | {"median": F.percentile_approx(number, 0.5)}
+
+    basic = aggregate_long(df, "column", [(c, stats(c)) for c in columns])
+    if not exact:
+        return basic.drop("n")
+    rows = basic.collect()
+    middles = exact_medians(
+        df, columns, {r["column"]: Spread(r["n"], r["min_num"], r["max_num"]) for r in rows}
+    )
+    return df.sparkSession.createDataFrame(
+        [(r["column"], r["mean"], r["min_num"], r["max_num"], middles[r["column"]]) for r in rows],
+        schema,
     )
-    return basic.join(medians(df, columns, exact), "column", "left")
 
 
 def string_lengths(df: DataFrame) -> DataFrame:
@@ -209,116 +236,116 @@ def _date_share(name: str) -> Column:
     return F.coalesce(F.avg(looks_like_date(ref(name)).cast("int")), F.lit(0.0))
 
 
-def _no_value(type_name: str) -> Column:
-    """An aggregate that is always NULL, for statistics a kind does not have."""
-    return F.max(F.lit(None).cast(type_name))
+def _any_token(name: str, kind: str) -> Column:
+    """Whether any value reads as a boolean."""
+    if kind == "int":
+        hit = ref(name).isin(*[int(t) for t in kw.BOOLEAN_TOKENS if t.isdigit()])
+    else:
+        hit = F.lower(ref(name).cast("string")).isin(*kw.BOOLEAN_TOKENS)
+    return F.bool_or(hit)
 
 
 def _column_stats(df: DataFrame, name: str, kind: str) -> dict[str, Column]:
-    numeric, text = kind in NUMERIC_KINDS, kind == "string"
-    number = number_of(df, name) if numeric else None
-    token = (
-        F.bool_or(F.lower(value_of(df, name).cast("string")).isin(*kw.BOOLEAN_TOKENS))
-        if kind in ("int", "float", "bool", "string")
-        else _no_value("boolean")
-    )
+    """The aggregates a kind of column has; the others stay NULL."""
+    stats = {"nulls": F.count_if(value_of(df, name).isNull())}
+    if kind in NUMERIC_KINDS:
+        number = number_of(df, name)
+        stats |= {"mean": F.avg(number), "min_num": F.min(number), "max_num": F.max(number)}
+    if kind == "string":
+        stats |= {"avg_len": F.avg(F.length(ref(name))), "date_like_ratio": _date_share(name)}
+    if kind in ("int", "bool", "string"):  # a float never reads as one: 1.0
+        stats["any_bool_token"] = _any_token(name, kind)
+    return stats
+
+
+def _sketches(df: DataFrame, name: str, kind: str, median: bool) -> dict[str, Column]:
+    stats = {}
+    if kind != "nested":
+        stats["distinct"] = F.approx_count_distinct(value_of(df, name))
+    if median and kind in NUMERIC_KINDS:
+        stats["median"] = F.percentile_approx(number_of(df, name), 0.5)
+    return stats
+
+
+def _collect_stats(df: DataFrame, stats: dict[str, dict[str, Column]]) -> dict[str, dict]:
+    """All statistics of all columns in one pass; one row comes back."""
+    aggs = [
+        agg.alias(f"{i}_{field}")
+        for i, found in enumerate(stats.values())
+        for field, agg in found.items()
+    ]
+    row = df.agg(F.count("*").alias("rows"), *aggs).first()
     return {
-        "rows": F.count("*"),
-        "nulls": F.count_if(value_of(df, name).isNull()),
-        "approx_distinct": (
-            F.max(F.lit(0)).cast("bigint")
-            if kind == "nested"
-            else F.approx_count_distinct(_comparable(df, name), FAST_RSD)
-        ),
-        "mean": F.avg(number) if numeric else _no_value("double"),
-        "min_num": F.min(number) if numeric else _no_value("double"),
-        "max_num": F.max(number) if numeric else _no_value("double"),
-        "avg_len": F.avg(F.length(ref(name))) if text else _no_value("double"),
-        "date_like_ratio": _date_share(name) if text else _no_value("double"),
-        "any_bool_token": F.coalesce(token, F.lit(False)),
+        name: {"rows": row["rows"], **{field: row[f"{i}_{field}"] for field in found}}
+        for i, (name, found) in enumerate(stats.items())
     }
 
 
-def column_profile(df: DataFrame, exact: bool = True) -> DataFrame:
+def column_profile(df: DataFrame, exact: bool = True, median: bool = True) -> DataFrame:
     """One row per column: kind, counts and statistics.
 
-    Exact mode is one wide aggregate, one distinct-count shuffle and the median
-    passes.  ``exact=False`` replaces the last two by sketches in the wide
-    aggregate and recounts only the columns whose count decides a role.
+    One wide aggregate first; its single row is collected.  Exact mode adds one
+    distinct-count shuffle and the median passes.  ``exact=False`` takes
+    sketches in the wide aggregate instead and recounts only the columns whose
+    count decides a role.  ``median=False`` leaves medians out; roles need none.
     """
     found = kinds(df)
-    entries = []
-    for name, kind in found.items():
-        stats = _column_stats(df, name, kind)
-        if exact:
-            del stats["approx_distinct"]
-        else:
-            stats["median"] = (
-                F.percentile_approx(number_of(df, name), 0.5)
-                if kind in NUMERIC_KINDS
-                else _no_value("double")
-            )
-        entries.append((name, stats))
-    stats = aggregate_long(df, "column", entries)
-
+    stats = {c: _column_stats(df, c, k) for c, k in found.items()}
+    if not exact:
+        for c, k in found.items():
+            stats[c] |= _sketches(df, c, k, median)
+    facts = _collect_stats(df, stats)
     countable = [c for c, k in found.items() if k != "nested"]
-    if exact:
-        counts = distinct_counts(df, countable)
-        middle = medians(df, numeric_columns(df))
-        stats = stats.join(counts, "column", "left").join(middle, "column", "left")
-    else:
-        stats = _recount_decisive(df, stats, countable)
-
-    described = F.create_map(
-        *[
-            part
-            for pos, field in enumerate(df.schema.fields)
-            for part in (
-                F.lit(field.name),
-                F.struct(
-                    F.lit(pos).alias("pos"),
-                    F.lit(field.dataType.simpleString()).alias("spark_type"),
-                    F.lit(found[field.name]).alias("kind"),
-                ),
-            )
-        ]
-    )
-    meta = described[F.col("column")]
-    distinct = F.coalesce(F.col("distinct"), F.lit(0)).cast("bigint")
-    return stats.select(
-        "column",
-        meta["pos"].alias("pos"),
-        meta["spark_type"].alias("spark_type"),
-        meta["kind"].alias("kind"),
-        "rows",
-        "nulls",
-        distinct.alias("distinct"),
-        unique_ratio(distinct, F.col("rows")).alias("unique_ratio"),
-        "mean",
-        "min_num",
-        "max_num",
-        "median",
-        "avg_len",
-        "date_like_ratio",
-        "any_bool_token",
+    recount = countable if exact else [c for c in countable if _is_decisive(facts[c])]
+    if exact and median:
+        numeric = numeric_columns(df)
+        spread = {
+            c: Spread(f["rows"] - f["nulls"], f["min_num"], f["max_num"])
+            for c, f in facts.items()
+            if c in numeric
+        }
+        for c, middle in exact_medians(df, numeric, spread).items():
+            facts[c]["median"] = middle
+    rows = [
+        (
+            field.name,
+            pos,
+            field.dataType.simpleString(),
+            found[field.name],
+            *[facts[field.name].get(f) for f in BASE_FIELDS],
+        )
+        for pos, field in enumerate(df.schema.fields)
+    ]
+    base = df.sparkSession.createDataFrame(rows, BASE_SCHEMA)
+    counts = distinct_counts(df, recount).withColumnRenamed("distinct", "counted")
+    distinct = F.coalesce("counted", "distinct", F.lit(0)).cast("bigint")
+    return (
+        base.join(counts, "column", "left")
+        .withColumn("distinct", distinct)
+        .withColumn("unique_ratio", unique_ratio(F.col("distinct"), F.col("rows")))
+        .withColumn("any_bool_token", F.coalesce("any_bool_token", F.lit(False)))
+        .select(*PROFILE_FIELDS)
     )
 
 
-def _recount_decisive(df: DataFrame, stats: DataFrame, countable: Sequence[str]) -> DataFrame:
-    """Replace sketch counts by exact ones where they lie near a threshold."""
-    rows = stats.collect()
-    stats = df.sparkSession.createDataFrame(rows, stats.schema)
-    near = [r["column"] for r in rows if r["column"] in countable and _is_decisive(r)]
-    if not near:
-        return stats.withColumnRenamed("approx_distinct", "distinct")
-    counts = distinct_counts(df, near)
-    return stats.join(counts, "column", "left").withColumn(
-        "distinct", F.coalesce("distinct", "approx_distinct")
-    )
+BASE_FIELDS = (
+    "rows", "nulls", "mean", "min_num", "max_num", "avg_len", "date_like_ratio", "any_bool_token",
+    "distinct", "median",
+)
+BASE_SCHEMA = (
+    "column string, pos int, spark_type string, kind string, rows bigint, nulls bigint, "
+    "mean double, min_num double, max_num double, avg_len double, date_like_ratio double, "
+    "any_bool_token boolean, distinct bigint, median double"
+)
+PROFILE_FIELDS = (
+    "column", "pos", "spark_type", "kind", "rows", "nulls", "distinct", "unique_ratio", "mean",
+    "min_num", "max_num", "median", "avg_len", "date_like_ratio", "any_bool_token",
+)
 
 
-def _is_decisive(row) -> bool:
-    count, total = row["approx_distinct"], max(1, row["rows"])
+def _is_decisive(stats: dict) -> bool:
+    """Whether a sketched count lies near a count or ratio that decides a role."""
+    count, total = stats["distinct"], max(1, stats["rows"])
     if any(abs(count - limit) <= max(1, limit * FAST_BAND) for limit in DECISIVE_COUNTS):
         return True
     return any(abs(count / total - limit) <= limit * FAST_BAND for limit in DECISIVE_RATIOS)

@@ -3,140 +3,171 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabwise.functions.columns import aggregate_long, number_of
+from tabwise.functions.columns import aggregate_long, number_of, unpivot_groups
 
-# A range with fewer distinct values than this is finished in one aggregate,
-# whose value-to-count map then stays small.
-DISTINCT_LIMIT = 200_000
+BUCKETS = 4_096
 SKETCH_ACCURACY = 10_000
-MAX_STEPS = 6
+LARGEST = 1.7976931348623157e308
 
 
-@dataclass(frozen=True)
-class _Range:
-    """Closed value range holding the two middle ranks of a column."""
+class Spread(NamedTuple):
+    """Count, minimum and maximum of a column's values."""
 
-    low: float | None = None
-    high: float | None = None
-    below: int = 0
-    inside: int = 0
+    count: int
+    low: float | None
+    high: float | None
 
-    def member(self, value: Column) -> Column:
-        if self.low is None:
-            return value
-        return F.when(value.between(self.low, self.high), value)
 
-    def holds(self, rank: int) -> bool:
-        return self.below <= rank < self.below + self.inside
+class _Range(NamedTuple):
+    """Closed value range holding both middle ranks; ``below`` values precede it."""
 
-    def share(self, rank: int) -> float:
-        """The fraction that addresses exactly this rank within the range."""
-        return (rank - self.below + 0.5) / max(1, self.inside)
+    low: float
+    high: float
+    below: int
+    ranks: tuple[int, int]
 
 
-def _middle_ranks(count: int) -> tuple[int, int]:
-    return (max(0, count - 1) // 2, count // 2)
+def spreads(df: DataFrame, columns: Sequence[str]) -> dict[str, Spread]:
+    rows = aggregate_long(
+        df,
+        "column",
+        [
+            (
+                c,
+                {
+                    "n": F.count(number_of(df, c)),
+                    "low": F.min(number_of(df, c)),
+                    "high": F.max(number_of(df, c)),
+                },
+            )
+            for c in columns
+        ],
+    ).collect()
+    return {r["column"]: Spread(r["n"], r["low"], r["high"]) for r in rows}
 
 
-def _count(df: DataFrame, ranges: dict[str, _Range]) -> dict[str, tuple[_Range, int]]:
-    """One pass: rows below and inside each range, and about how many distinct."""
-    aggs = []
-    for i, (c, r) in enumerate(ranges.items()):
-        value = number_of(df, c)
-        below = F.lit(0) if r.low is None else F.count_if(value < r.low)
-        aggs += [
-            below.cast("bigint").alias(f"below{i}"),
-            F.count(r.member(value)).alias(f"inside{i}"),
-            F.approx_count_distinct(r.member(value)).alias(f"distinct{i}"),
-        ]
-    seen = df.agg(*aggs).first()
-    return {
-        c: (_Range(r.low, r.high, seen[f"below{i}"], seen[f"inside{i}"]), seen[f"distinct{i}"])
-        for i, (c, r) in enumerate(ranges.items())
-    }
-
-
-def _shrink(
-    df: DataFrame, ranges: dict[str, _Range], ranks: dict[str, tuple[int, int]], accuracy: int
-) -> dict[str, _Range]:
-    """One pass: a quantile sketch of each range brackets its middle ranks."""
-    margin = 2.0 / accuracy
-    aggs = []
-    for i, (c, r) in enumerate(ranges.items()):
-        low, high = (r.share(rank) for rank in ranks[c])
-        window = [max(0.0, low - margin), min(1.0, high + margin)]
-        member = r.member(number_of(df, c))
-        aggs.append(F.percentile_approx(member, window, accuracy).alias(f"next{i}"))
-    seen = df.agg(*aggs).first()
-    return {c: _Range(*(float(x) for x in seen[f"next{i}"])) for i, c in enumerate(ranges)}
+def _bucket(value: Column, low: float, high: float, logarithmic: bool) -> Column:
+    """A bucket number that never decreases as the value grows.
+
+    Even steps of the value or of its logarithm; the latter splits ranges with
+    far outliers, the former neighbouring values.
+    """
+
+    def scaled(v: Column) -> Column:
+        return F.signum(v) * F.log1p(F.abs(v)) if logarithmic else v
+
+    def finite(v: Column) -> Column:
+        return F.greatest(F.lit(-LARGEST / 4), F.least(F.lit(LARGEST / 4), v))
+
+    start, end = scaled(finite(F.lit(low))), scaled(finite(F.lit(high)))
+    share = F.try_divide(scaled(finite(value)) - start, end - start)
+    return F.when(value.isNotNull(), F.coalesce(F.floor(share * BUCKETS), F.lit(0))).cast("int")
 
 
-def _middle_ranges(
-    df: DataFrame, columns: Sequence[str], distinct_limit: int, accuracy: int
-) -> dict[str, tuple[_Range, tuple[int, int]]]:
-    """Shrink each column's range until few enough distinct values are left.
+def _split(df: DataFrame, ranges: dict[str, _Range], logarithmic: bool) -> dict[str, list]:
+    """One pass: the buckets of each range that hold its middle ranks.
 
-    All unfinished columns share the passes; a step cuts the rows in range by a
-    factor of about ``accuracy / 4``.
+    Rows are counted per bucket map-side; at most ``BUCKETS`` rows per column
+    are ordered, and one or two per column come back.
     """
-    counted = _count(df, {c: _Range() for c in columns})
-    ranks = {c: _middle_ranks(r.inside) for c, (r, _) in counted.items()}
-    ranges = {c: r for c, (r, _) in counted.items()}
-    open_columns = {c: r for c, (r, distinct) in counted.items() if distinct > distinct_limit}
-    for _ in range(MAX_STEPS):
-        if not open_columns:
-            break
-        counted = _count(df, _shrink(df, open_columns, ranks, accuracy))
-        open_columns = {}
-        for c, (r, distinct) in counted.items():
-            if not all(r.holds(rank) for rank in ranks[c]):
-                continue
-            ranges[c] = r
-            if distinct > distinct_limit:
-                open_columns[c] = r
-    return {c: (ranges[c], ranks[c]) for c in columns}
-
-
-def medians(
-    df: DataFrame,
-    columns: Sequence[str],
-    exact: bool = True,
-    distinct_limit: int = DISTINCT_LIMIT,
-    accuracy: int = SKETCH_ACCURACY,
-) -> DataFrame:
-    """(column, median): linearly interpolated, NULL for a column without values.
-
-    The exact form narrows each column to a range around its middle ranks and
-    picks the two middle values inside it.  ``exact=False`` is one sketch pass.
+    members, groups = [], []
+    for i, (c, r) in enumerate(ranges.items()):
+        value = number_of(df, c)
+        members.append(F.when(value.between(r.low, r.high), value).alias(f"v{i}"))
+        groups.append((f"b{i}", f"v{i}"))
+    wide = df.select(*members)
+    wide = wide.select(
+        "*",
+        *[
+            _bucket(F.col(f"v{i}"), r.low, r.high, logarithmic).alias(f"b{i}")
+            for i, r in enumerate(ranges.values())
+        ],
+    )
+    counted = (
+        unpivot_groups(wide, groups, ("bucket", "v"))
+        .where(F.col("v").isNotNull())
+        .groupBy("position", "bucket")
+        .agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
+    )
+    targets = F.create_map(
+        *[
+            part
+            for i, r in enumerate(ranges.values())
+            for part in (F.lit(f"p{i}"), F.array(*[F.lit(rank - r.below) for rank in r.ranks]))
+        ]
+    )[F.col("position")]
+    in_order = Window.partitionBy("position").orderBy("bucket")
+    middle = (
+        counted.withColumn("upto", F.sum("n").over(in_order))
+        .withColumn("before", F.col("upto") - F.col("n"))
+        .where(
+            F.exists(targets, lambda rank: (F.col("before") <= rank) & (rank < F.col("upto")))
+        )
+        .select("position", "low", "high", "before")
+        .collect()
+    )
+    found: dict[str, list] = {c: [] for c in ranges}
+    names = list(ranges)
+    for row in middle:
+        found[names[int(row["position"][1:])]].append(row)
+    return {c: sorted(rows, key=lambda r: r["before"]) for c, rows in found.items()}
+
+
+def exact_medians(
+    df: DataFrame, columns: Sequence[str], known: dict[str, Spread] | None = None
+) -> dict[str, float | None]:
+    """The median of each column, linearly interpolated; None without values.
+
+    Each pass splits the range around the middle ranks into buckets and keeps
+    the one that holds them, for all columns together, until the two middle
+    values are known.  Evenly spread values take two passes, few distinct ones
+    take one.
     """
-    if not columns:
-        return df.sparkSession.createDataFrame([], "column string, median double")
-    if not exact:
+    known = known or spreads(df, columns)
+    result: dict[str, float | None] = {}
+    ranges: dict[str, _Range] = {}
+    for c in columns:
+        n, low, high = known[c]
+        if not n:
+            result[c] = None
+        elif low == high:
+            result[c] = low
+        else:
+            ranges[c] = _Range(low, high, 0, ((n - 1) // 2, n // 2))
+    step = 0
+    while ranges:
+        remaining = {}
+        for c, rows in _split(df, ranges, logarithmic=step % 2 == 1).items():
+            first, last = rows[0], rows[-1]
+            if len(rows) == 2:
+                # Neighbouring ranks in different buckets: one's last, the other's first.
+                result[c] = first["high"] / 2 + last["low"] / 2
+            elif first["low"] == first["high"]:
+                result[c] = first["low"]
+            else:
+                old = ranges[c]
+                remaining[c] = _Range(
+                    first["low"], first["high"], old.below + first["before"], old.ranks
+                )
+        ranges, step = remaining, step + 1
+    return result
+
+
+def medians(df: DataFrame, columns: Sequence[str], exact: bool = True) -> DataFrame:
+    """(column, median) of numeric columns; ``exact=False`` is one sketch pass."""
+    if columns and not exact:
         return aggregate_long(
             df,
             "column",
             [
-                (c, {"median": F.percentile_approx(number_of(df, c), 0.5, accuracy)})
+                (c, {"median": F.percentile_approx(number_of(df, c), 0.5, SKETCH_ACCURACY)})
                 for c in columns
             ],
         )
-    found = _middle_ranges(df, columns, distinct_limit, accuracy)
-    members = df.select(
-        *[found[c][0].member(number_of(df, c)).alias(f"m{i}") for i, c in enumerate(columns)]
-    )
-    entries = []
-    for i, c in enumerate(columns):
-        bounds, ranks = found[c]
-        middle = [
-            F.expr(f"percentile_disc({bounds.share(r)!r}D) WITHIN GROUP (ORDER BY m{i})")
-            if bounds.inside
-            else F.max(f"m{i}")
-            for r in sorted(set(ranks))
-        ]
-        entries.append((c, {"median": middle[0] if len(middle) == 1 else (middle[0] + middle[1]) / 2}))
-    return aggregate_long(members, "column", entries)
+    found = exact_medians(df, columns) if columns else {}
+    return df.sparkSession.createDataFrame(list(found.items()), "column string, median double")

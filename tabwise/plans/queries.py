@@ -62,7 +62,7 @@ def dirty_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def roled(df: DataFrame, exact: bool = True) -> DataFrame:
-    return roles.assign_roles(profile.column_profile(df, exact))
+    return roles.assign_roles(profile.column_profile(df, exact, median=False))
 
 
 def rounded(df: DataFrame, digits: int, *names: str) -> DataFrame:
