@@ -128,7 +128,8 @@ def exact_medians(
     values are known.  Evenly spread values take two passes, few distinct ones
     take one.
     """
-    known = known or spreads(df, columns)
+    if known is None:
+        known = spreads(df, columns) if columns else {}
     result: dict[str, float | None] = {}
     ranges: dict[str, _Range] = {}
     for c in columns:
@@ -169,5 +170,5 @@ def medians(df: DataFrame, columns: Sequence[str], exact: bool = True) -> DataFr
                 for c in columns
             ],
         )
-    found = exact_medians(df, columns) if columns else {}
+    found = exact_medians(df, columns)
     return df.sparkSession.createDataFrame(list(found.items()), "column string, median double")

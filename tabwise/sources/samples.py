@@ -1,4 +1,8 @@
-"""Synthetic sample tables with planted gaps and one bad value each."""
+"""Synthetic sample tables with planted gaps and one bad value each.
+
+Draws are hashes of row number and seed: a seed gives the same table however
+the rows are partitioned, and again after a lost task.
+"""
 
 from __future__ import annotations
 
@@ -32,6 +36,14 @@ HR_NULL_INCOME = (10, 13)
 HR_NEGATIVE_ROW, HR_NEGATIVE_AGE = 45, -5
 
 
+DRAWS = 1 << 40
+
+
+def _draw(seed: int) -> Column:
+    """Uniform in [0, 1), one per row."""
+    return F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(DRAWS)) / DRAWS
+
+
 def _weighted(weights: Sequence[tuple[str, float]], draw: Column) -> Column:
     reached, choice = 0.0, None
     for name, weight in weights[:-1]:
@@ -56,33 +68,33 @@ def _hidden(bounds: tuple[int, int], value: Column) -> Column:
 
 def sample_sales(spark: SparkSession, rows: int = SALES_ROWS, seed: int = 42) -> DataFrame:
     low, high = SALES_AMOUNT
-    amount = F.round(F.lit(low) + F.rand(seed + 3) * (high - low), 2)
+    amount = F.round(F.lit(low) + _draw(seed + 3) * (high - low), 2)
     amount = F.when(F.col("id") == SALES_NEGATIVE_ROW, SALES_NEGATIVE).otherwise(
         _hidden(SALES_NULL_AMOUNT, amount)
     )
-    day = F.date_add(F.lit(SALES_FIRST_DAY).cast("date"), (F.rand(seed) * SALES_DAYS).cast("int"))
+    day = F.date_add(F.lit(SALES_FIRST_DAY).cast("date"), (_draw(seed) * SALES_DAYS).cast("int"))
     return spark.range(rows).select(
         day.alias("Date"),
-        _hidden(SALES_NULL_CATEGORY, _weighted(SALES_CATEGORIES, F.rand(seed + 1))).alias(
+        _hidden(SALES_NULL_CATEGORY, _weighted(SALES_CATEGORIES, _draw(seed + 1))).alias(
             "Category"
         ),
-        _evenly(SALES_REGIONS, F.rand(seed + 2)).alias("Region"),
+        _evenly(SALES_REGIONS, _draw(seed + 2)).alias("Region"),
         amount.alias("Amount"),
-        _whole(SALES_QUANTITY, F.rand(seed + 4)).alias("Quantity"),
+        _whole(SALES_QUANTITY, _draw(seed + 4)).alias("Quantity"),
     )
 
 
 def sample_hr(spark: SparkSession, rows: int = HR_ROWS, seed: int = 100) -> DataFrame:
     age = F.when(F.col("id") == HR_NEGATIVE_ROW, HR_NEGATIVE_AGE).otherwise(
-        _whole(HR_AGE, F.rand(seed))
+        _whole(HR_AGE, _draw(seed))
     )
     return spark.range(rows).select(
         F.format_string("EMP%03d", F.col("id") + 1).alias("Employee_ID"),
         age.alias("Age"),
-        _weighted(HR_DEPARTMENTS, F.rand(seed + 1)).alias("Department"),
-        _hidden(HR_NULL_INCOME, _whole(HR_INCOME, F.rand(seed + 2)).cast("double")).alias(
+        _weighted(HR_DEPARTMENTS, _draw(seed + 1)).alias("Department"),
+        _hidden(HR_NULL_INCOME, _whole(HR_INCOME, _draw(seed + 2)).cast("double")).alias(
             "MonthlyIncome"
         ),
-        F.when(F.rand(seed + 3) < HR_LEFT_SHARE, "Yes").otherwise("No").alias("Attrition"),
-        _whole(HR_TENURE, F.rand(seed + 4)).alias("Tenure"),
+        F.when(_draw(seed + 3) < HR_LEFT_SHARE, "Yes").otherwise("No").alias("Attrition"),
+        _whole(HR_TENURE, _draw(seed + 4)).alias("Tenure"),
     )
