@@ -56,7 +56,7 @@ from tabwise.operators.rules import (
     violations,
 )
 from tabwise.operators.timeseries import time_series_structure
-from tabwise.plans.analysis import discover, execute
+from tabwise.plans.analysis import discover, execute, ingest
 from tabwise.sources.readers import infer_types, read_table
 from tabwise.sources.run_log import append_log, read_log
 from tabwise.sources.sinks import write_chart_json, write_report_tables, write_table

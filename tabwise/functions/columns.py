@@ -51,6 +51,14 @@ def value_of(df: DataFrame, name: str) -> Column:
     return ref(name)
 
 
+def nan_to_null(df: DataFrame) -> DataFrame:
+    """The table with every NaN replaced by NULL."""
+    floats = [
+        f.name for f in df.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))
+    ]
+    return df.withColumns({c: value_of(df, c) for c in floats})
+
+
 def number_of(df: DataFrame, name: str) -> Column:
     return value_of(df, name).cast("double")
 

@@ -94,7 +94,7 @@ def scatter_points(
         *[ref(c).alias(f"k{i}") for i, c in enumerate(order_by)],
         number_of(df, x).alias("x"),
         number_of(df, y).alias("y"),
-    ).dropna(subset=["x", "y"])
+    ).where(F.col("x").isNotNull() & F.col("y").isNotNull())
     if limit is None:
         return points.select("x", "y")
     keys = [f"k{i}" for i in range(len(order_by))]

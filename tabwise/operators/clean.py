@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabwise.functions import keywords as kw
-from tabwise.functions.columns import kinds, number_of, ref, value_of
+from tabwise.functions.columns import kinds, nan_to_null, number_of, ref, value_of
 from tabwise.functions.dates import date_of, iso_day
 from tabwise.functions.staging import stage
 from tabwise.operators.profile import row_fingerprint
@@ -93,7 +93,7 @@ def clean(df: DataFrame, columns: DataFrame) -> DataFrame:
     text = [c for c in other if found[c] == "string"]
     booleans = [c for c in other if found[c] == "bool" and c in nulls]
 
-    rows = drop_duplicates(df)
+    rows = drop_duplicates(nan_to_null(df))
     if to_impute:
         rows = stage(rows, "deduplicated")
         rows = impute_median(rows, to_impute)
@@ -103,14 +103,31 @@ def clean(df: DataFrame, columns: DataFrame) -> DataFrame:
     return rows.transform(trim_text, text).transform(standardize_dates, dates)
 
 
-def reconcile(before: DataFrame, after: DataFrame) -> DataFrame:
-    """One row: rows before and after, dropped, percent retained."""
-    counted = before.agg(F.count("*").alias("n")).withColumn("side", F.lit("before")).union(
-        after.agg(F.count("*").alias("n")).withColumn("side", F.lit("after"))
+def reconcile(before: DataFrame | int, after: DataFrame | int) -> DataFrame:
+    """One row: rows before and after, dropped, percent retained.
+
+    Either side may be given as a known row count, which saves its scan.
+    """
+    tables = [s for s in (before, after) if not isinstance(s, int)]
+    spark = tables[0].sparkSession if tables else SparkSession.active()
+    sides = []
+    for name, side in (("before_rows", before), ("after_rows", after)):
+        if isinstance(side, int):
+            counted = spark.range(1).select(F.lit(side).cast("bigint").alias("n"))
+        else:
+            counted = side.agg(F.count("*").alias("n"))
+        sides.append(counted.select(F.lit(name).alias("side"), "n"))
+    both = (
+        sides[0]
+        .unionByName(sides[1])
+        .agg(
+            *[
+                F.max(F.when(F.col("side") == name, F.col("n"))).alias(name)
+                for name in ("before_rows", "after_rows")
+            ]
+        )
     )
-    first = F.coalesce(F.sum(F.when(F.col("side") == "before", F.col("n"))), F.lit(0))
-    last = F.coalesce(F.sum(F.when(F.col("side") == "after", F.col("n"))), F.lit(0))
-    return counted.agg(first.alias("before_rows"), last.alias("after_rows")).select(
+    return both.select(
         "before_rows",
         "after_rows",
         (F.col("before_rows") - F.col("after_rows")).alias("rows_dropped"),

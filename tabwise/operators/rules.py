@@ -66,8 +66,8 @@ def _negative_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def z_scores(df: DataFrame, columns: Sequence[str]) -> list[Column]:
     """The z-score of every listed column: sample deviation, NULL where undefined.
 
-    The statistics are one scalar subquery over all columns, evaluated once and
-    handed to the scan as constants.
+    One pass over the table finds the statistics of all columns; they enter the
+    plan as constants.
     """
     parts = []
     for i, c in enumerate(columns):
@@ -76,12 +76,13 @@ def z_scores(df: DataFrame, columns: Sequence[str]) -> list[Column]:
             F.avg(value).alias(f"mean{i}"),
             F.when(F.count(value) > MIN_VALUES, F.stddev_samp(value)).alias(f"sd{i}"),
         ]
-    stats = df.agg(*parts).select(F.struct("*")).scalar()
-    scores = []
-    for i, c in enumerate(columns):
-        mean, sd = stats.getField(f"mean{i}"), stats.getField(f"sd{i}")
-        scores.append(F.when(sd > 0, (number_of(df, c) - mean) / sd))
-    return scores
+    stats = df.agg(*parts).first()
+    return [
+        (number_of(df, c) - stats[f"mean{i}"]) / stats[f"sd{i}"]
+        if stats[f"sd{i}"]
+        else F.lit(None).cast("double")
+        for i, c in enumerate(columns)
+    ]
 
 
 def outlier_rule(df: DataFrame, columns: Sequence[str], limit: float = Z_LIMIT) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from tabwise.functions.staging import stage
 from tabwise.operators.charts import Chart, chart_batch, column_roles, plan_charts
@@ -22,6 +22,7 @@ from tabwise.operators.rules import (
     violations,
 )
 from tabwise.operators.timeseries import time_series_structure
+from tabwise.sources.readers import format_of, read_table
 from tabwise.sources.sinks import write_chart_json, write_report_tables, write_table
 
 
@@ -65,11 +66,17 @@ class Results:
         return paths
 
 
-def _kept(df: DataFrame) -> DataFrame:
-    """A small result fixed to its values (one row per column of the schema)."""
+def kept(df: DataFrame) -> DataFrame:
+    """A result with at most a few rows per column, fixed to its values."""
     return df.sparkSession.createDataFrame(df.collect(), df.schema)
 
 
+def ingest(spark: SparkSession, path: str, fmt: str | None = None) -> DataFrame:
+    """Read a table for several passes: text formats are written once as Parquet."""
+    df = read_table(spark, path, fmt)
+    return df if (fmt or format_of(path)) == "parquet" else stage(df, "ingested")
+
+
 def discover(
     df: DataFrame,
     exact: bool = True,
@@ -77,11 +84,11 @@ def discover(
     nullable_ints_are_floats: bool = False,
 ) -> Discovery:
     """Profile the table and name its columns' roles and its domain."""
-    columns = _kept(assign_roles(column_profile(df, exact), nullable_ints_are_floats).orderBy("pos"))
+    columns = kept(assign_roles(column_profile(df, exact), nullable_ints_are_floats).orderBy("pos"))
     dates = [r["column"] for r in columns.where("is_date").orderBy("pos").collect()]
     return Discovery(
         columns=columns,
-        summary=_kept(table_summary(df)),
+        summary=kept(table_summary(df)),
         domain=detect_domain(columns).first()["domain"],
         time_series=time_series_structure(df, dates[0], order_by) if dates else None,
     )
@@ -115,7 +122,7 @@ def execute(
     """
     cleaned = stage(clean(df, found.columns), "cleaned")
     numeric = list_numeric(found.columns)
-    broken = violations(cleaned, non_negative_columns(found.columns), numeric)
+    broken = kept(violations(cleaned, non_negative_columns(found.columns), numeric))
     report = violation_report(broken)
     if certificate == "live":
         signed = live_certificate(found.summary)
@@ -123,14 +130,15 @@ def execute(
         signed = governance_score(report)
     else:
         raise ValueError(f"unknown certificate mode: {certificate}")
-    counted = reconcile(df, cleaned)
+    known = found.summary.first()
+    counted = kept(reconcile(known["row_count"], cleaned))
     measures = found.names_with_role("Numerical")
     kpis = domain_kpis(
         cleaned,
         found.domain,
         measures,
         found.names_with_role("Boolean", "Categorical"),
-        found.summary.first()["quality_score"],
+        known["quality_score"],
     )
     planned = plan_charts(found.columns, pairs if pairs is not None else default_pairs(found))
     return Results(

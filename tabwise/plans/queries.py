@@ -294,9 +294,11 @@ def live_certificate(spark, sf):
 
 def governance_audit(spark, sf):
     df = dirty_orders(spark, sf)
-    report = rules.violation_report(_violations(spark, sf))
+    report = rules.violation_report(analysis.kept(_violations(spark, sf)))
     return governance.governance_audit(
-        clean.reconcile(df, clean.drop_duplicates(df)), report, governance.governance_score(report)
+        analysis.kept(clean.reconcile(df, clean.drop_duplicates(df))),
+        report,
+        governance.governance_score(report),
     )
 
 

@@ -7,9 +7,8 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from tabwise.functions.columns import ref, value_of
+from tabwise.functions.columns import ref
 from tabwise.functions.keywords import MISSING_TOKENS
 
 INTEGER_SHAPE = r"^\s*[+-]?\d+\s*$"
@@ -54,14 +53,15 @@ def read_table(spark: SparkSession, path: str, fmt: str | None = None) -> DataFr
     """Read a table by extension or explicit format.
 
     ValueError for a format without a reader, FileNotFoundError for a path that
-    does not exist on its file system.
+    does not exist on its file system.  NaN in typed files is left as it is, so
+    that filters on fractions reach the scan; the operators read it as missing.
     """
     fmt = fmt or format_of(path)
     if fmt not in READERS:
         raise ValueError(f"Unsupported file format: {fmt or path}")
     if not _exists(spark, path):
         raise FileNotFoundError(path)
-    return nan_to_null(READERS[fmt](spark, path))
+    return READERS[fmt](spark, path)
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -70,14 +70,6 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return bool(system.globStatus(hadoop_path))
 
 
-def nan_to_null(df: DataFrame) -> DataFrame:
-    """Read NaN as missing, so counts and averages skip it."""
-    floats = [
-        f.name for f in df.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))
-    ]
-    return df.withColumns({c: value_of(df, c) for c in floats})
-
-
 def _present(name: str, tokens: Sequence[str]) -> Column:
     return F.when(~ref(name).isin(*tokens), ref(name))
 

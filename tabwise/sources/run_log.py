@@ -12,7 +12,6 @@ SCHEMA = (
 # Log folders are fixed in number, so many projects do not mean many small
 # files; within a folder rows are sorted by project for row-group pruning.
 BUCKETS = 64
-SLICES = 8
 
 
 def bucket_of(project_id: Column) -> Column:
@@ -22,8 +21,8 @@ def bucket_of(project_id: Column) -> Column:
 def append_log(rows: DataFrame, path: str) -> None:
     """Append event rows; a struct or map payload is stored as JSON text.
 
-    A project's rows are spread over several writers, so one busy project does
-    not end up in one task.
+    Rows are rebalanced by bucket: adaptive execution merges small buckets into
+    one writer and splits the one a busy project is in.
     """
     payload = F.col("payload")
     if rows.schema["payload"].dataType.typeName() != "string":
@@ -36,9 +35,8 @@ def append_log(rows: DataFrame, path: str) -> None:
         payload.alias("payload"),
     ]
     placed = rows.select(*columns).withColumn("bucket", bucket_of(F.col("project_id")))
-    writer = F.pmod(F.xxhash64("project_id", "ts", "id"), F.lit(SLICES))
     (
-        placed.repartition("bucket", writer)
+        placed.hint("rebalance", "bucket")
         .sortWithinPartitions("bucket", "project_id", "ts", "id")
         .write.mode("append")
         .partitionBy("bucket")

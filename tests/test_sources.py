@@ -4,6 +4,8 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from tabwise.functions.columns import nan_to_null
+from tabwise.operators.profile import null_counts
 from tabwise.sources import run_log, samples, sinks
 from tabwise.sources.readers import read_table
 from tabwise.streaming.run_log import follow_log
@@ -70,10 +72,14 @@ def test_round_trip(spark, tmp_path, rows, fmt):
     assert rows(read_table(spark, path), "i", "s", "v") == [(1, " a ", 1.5), (2, None, 2.5)]
 
 
-def test_nan_becomes_null_at_ingest(spark, tmp_path):
+def test_nan_is_missing_and_filters_reach_the_scan(spark, tmp_path):
     path = str(tmp_path / "n.parquet")
     spark.createDataFrame([(float("nan"),), (1.0,)], "v double").write.parquet(path)
-    assert read_table(spark, path).where("v IS NULL").count() == 1
+    df = read_table(spark, path)
+    assert null_counts(df).first()["nulls"] == 1
+    assert nan_to_null(df).where("v IS NULL").count() == 1
+    plan = df.where("v > 0.5")._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThan(v,0.5)" in plan
 
 
 def test_chart_json(spark, tmp_path):
