@@ -101,24 +101,20 @@ def aggregate_long(
     return wide.select(F.inline(F.array(*rows)))
 
 
-def unpivot_groups(
-    df: DataFrame, groups: Sequence[tuple[str, ...]], names: tuple[str, ...]
-) -> DataFrame:
-    """One row per group and input row: (position, *names).
+def entries_per_row(df: DataFrame, groups: Sequence[dict[str, Column]]) -> DataFrame:
+    """One row per group and input row: (position, *fields of the group).
 
-    ``position`` is ``p0``, ``p1``, ... in the order of ``groups``.  The small
-    per-row loop this plans compiles well where one aggregate over hundreds of
-    columns would not.  Column names must be plain identifiers.
+    ``position`` numbers the groups.  A small loop over short entries with a
+    whole-number key compiles well where one aggregate over hundreds of columns
+    would not.
     """
-    body = ", ".join(f"({', '.join(g)}) AS p{i}" for i, g in enumerate(groups))
-    return df.sparkSession.sql(
-        f"SELECT position, {', '.join(names)} FROM {{wide}} "
-        f"UNPIVOT INCLUDE NULLS (({', '.join(names)}) FOR position IN ({body}))",
-        wide=df,
-    )
+    entries = [
+        F.struct(F.lit(i).alias("position"), *[c.alias(n) for n, c in fields.items()])
+        for i, fields in enumerate(groups)
+    ]
+    return df.select(F.inline(F.array(*entries)))
 
 
-def by_position(names: Sequence[str]) -> Column:
-    """The entry of ``names`` a ``position`` label stands for."""
-    index = F.substring("position", 2, 10).cast("int")
-    return F.get(F.array(*[F.lit(n) for n in names]), index)
+def by_position(values: Sequence) -> Column:
+    """The entry of ``values`` that the row's ``position`` stands for."""
+    return F.get(F.array(*[F.lit(v) for v in values]), F.col("position"))

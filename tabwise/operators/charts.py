@@ -8,13 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
-from itertools import combinations_with_replacement
+from itertools import combinations
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabwise.functions.columns import by_position, number_of, ref, unpivot_groups, value_of
+from tabwise.functions.columns import by_position, entries_per_row, number_of, ref, value_of
 from tabwise.functions.dates import date_of, month_label
 
 TOP_CATEGORIES = 10
@@ -25,6 +25,7 @@ MAX_CHARTS = 6
 PRIMARY_CHARTS = 4
 TOP_SEGMENTS = 5
 PAIRS_PER_PASS = 300
+SUMS_PER_PASS = 64
 
 
 # --- single series -----------------------------------------------------------
@@ -134,47 +135,78 @@ def segment_means(
 def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(col_a, col_b, r): Pearson correlation of all pairs, both ways, and the diagonal.
 
-    Over rows that have both values; 0 where it is undefined.  Every row gives
-    one small entry per pair, summed up map-side, so only one row per task and
-    pair is shuffled.  Wide tables take one pass per few hundred pairs.
+    Over rows that have both values; 0 where it is undefined, as for a constant
+    column.  A first pass finds counts and means.  Pairs of columns without gaps
+    are then plain sums of centred products in one aggregate; pairs with gaps
+    need statistics of their common rows and are summed up pair by pair.  Either
+    way a task shuffles one small row per pair at most.
     """
+    columns = list(dict.fromkeys(columns))
     if not columns:
         return df.sparkSession.createDataFrame([], "col_a string, col_b string, r double")
     numbers = df.select(*[number_of(df, c).alias(f"n{i}") for i, c in enumerate(columns)])
-    pairs = list(combinations_with_replacement(range(len(columns)), 2))
-    chunks = [pairs[i : i + PAIRS_PER_PASS] for i in range(0, len(pairs), PAIRS_PER_PASS)]
-    return reduce(DataFrame.unionByName, [_pair_pass(numbers, columns, chunk) for chunk in chunks])
+    facts = [
+        agg(f"n{i}").alias(f"{name}{i}")
+        for i in range(len(columns))
+        for name, agg in (("n", F.count), ("mean", F.avg), ("low", F.min), ("high", F.max))
+    ]
+    seen = numbers.agg(F.count("*").alias("rows"), *facts).first()
+    varying = [i for i in range(len(columns)) if seen[f"low{i}"] != seen[f"high{i}"]]
+    whole = {i for i in varying if seen[f"n{i}"] == seen["rows"]}
+    means = {i: seen[f"mean{i}"] for i in whole}
+
+    pairs = list(combinations(varying, 2))
+    dense = [p for p in pairs if whole.issuperset(p)]
+    gappy = [p for p in pairs if not whole.issuperset(p)]
+    passes = [_dense_pass(numbers, means, chunk) for chunk in _chunks(dense, SUMS_PER_PASS)]
+    passes += [_gappy_pass(numbers, chunk) for chunk in _chunks(gappy, PAIRS_PER_PASS)]
+    cells = F.array(F.struct("a", "b", "r"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"), "r"))
+    both_ways = [p.select(F.inline(cells)) for p in passes]
+    # What is left is known: 1 on the diagonal, 0 for columns that do not vary.
+    fixed = [
+        (a, b, 1.0 if a == b and a in varying else 0.0)
+        for a in range(len(columns))
+        for b in range(len(columns))
+        if a == b or not (a in varying and b in varying)
+    ]
+    known = df.sparkSession.createDataFrame(fixed, "a int, b int, r double")
+    names = F.array(*[F.lit(c) for c in columns])
+    return reduce(DataFrame.unionByName, [*both_ways, known]).select(
+        F.get(names, F.col("a")).alias("col_a"), F.get(names, F.col("b")).alias("col_b"), "r"
+    )
+
 
+def _chunks(items: Sequence, size: int) -> list[Sequence]:
+    return [items[i : i + size] for i in range(0, len(items), size)]
 
-def _pair_pass(
-    numbers: DataFrame, columns: Sequence[str], pairs: Sequence[tuple[int, int]]
+
+def _dense_pass(
+    numbers: DataFrame, means: dict[int, float], pairs: Sequence[tuple[int, int]]
 ) -> DataFrame:
-    both = F.col("a").isNotNull() & F.col("b").isNotNull()
-    spread = F.stddev_samp("a") * F.stddev_samp("b")
-    r = F.try_divide(F.covar_samp("a", "b"), spread)
-    groups = [(f"n{i}", f"n{j}") for i, j in pairs]
-    found = (
-        unpivot_groups(numbers, groups, ("a", "b")).where(both).groupBy("position").agg(r.alias("r"))
-    )
-    left, right = (by_position([columns[p[k]] for p in pairs]) for k in (0, 1))
-    # Pairs without common rows are absent above; every pair is listed here.
-    listed = numbers.sparkSession.range(len(pairs)).select(
-        F.concat(F.lit("p"), F.col("id").cast("string")).alias("position")
-    )
-    value = F.coalesce(
-        F.when(F.col("col_a") == F.col("col_b"), F.round("r", 9)).otherwise(F.col("r")), F.lit(0.0)
-    )
-    named = (
-        listed.join(found, "position", "left")
-        .select(left.alias("col_a"), right.alias("col_b"), "r")
-        .withColumn("r", value)
-    )
-    one_way = F.struct("col_a", "col_b", "r")
-    other_way = F.struct(F.col("col_b").alias("col_a"), F.col("col_a").alias("col_b"), "r")
-    cells = F.when(F.col("col_a") == F.col("col_b"), F.array(one_way)).otherwise(
-        F.array(one_way, other_way)
+    used = sorted({i for pair in pairs for i in pair})
+    centred = numbers.select(*[(F.col(f"n{i}") - means[i]).alias(f"d{i}") for i in used])
+    products = [*pairs, *[(i, i) for i in used]]
+    sums = centred.agg(
+        *[F.sum(F.col(f"d{i}") * F.col(f"d{j}")).alias(f"s{i}_{j}") for i, j in products]
     )
-    return named.select(F.inline(cells))
+    rows = []
+    for i, j in pairs:
+        spread = F.sqrt(F.col(f"s{i}_{i}")) * F.sqrt(F.col(f"s{j}_{j}"))
+        r = F.coalesce(F.try_divide(F.col(f"s{i}_{j}"), spread), F.lit(0.0))
+        rows.append(F.struct(F.lit(i).alias("a"), F.lit(j).alias("b"), r.alias("r")))
+    return sums.select(F.inline(F.array(*rows)))
+
+
+def _gappy_pass(numbers: DataFrame, pairs: Sequence[tuple[int, int]]) -> DataFrame:
+    groups = []
+    for i, j in pairs:
+        x, y = F.col(f"n{i}"), F.col(f"n{j}")
+        # Rows with a gap stay as empty entries, so every pair keeps a group.
+        groups.append({"x": F.when(y.isNotNull(), x), "y": F.when(x.isNotNull(), y)})
+    r = F.try_divide(F.covar_samp("x", "y"), F.stddev_samp("x") * F.stddev_samp("y"))
+    found = entries_per_row(numbers, groups).groupBy("position").agg(r.alias("r"))
+    left, right = (by_position([p[k] for p in pairs]) for k in (0, 1))
+    return found.select(left.alias("a"), right.alias("b"), F.coalesce("r", F.lit(0.0)).alias("r"))
 
 
 # --- choosing and batching charts --------------------------------------------

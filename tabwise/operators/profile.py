@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,12 +14,13 @@ from tabwise.functions.columns import (
     NUMERIC_KINDS,
     aggregate_long,
     by_position,
+    entries_per_row,
+    has_word,
     kind_of,
     kinds,
     number_of,
     numeric_columns,
     ref,
-    unpivot_groups,
     value_of,
 )
 from tabwise.functions.dates import looks_like_date, micros
@@ -29,8 +31,8 @@ from tabwise.operators.quantiles import Spread, exact_medians, medians
 DIGEST_ABOVE = 64
 
 # Counts near these values decide a role; fast mode recounts them exactly.
-DECISIVE_COUNTS = (2, 10)
-DECISIVE_RATIOS = (0.5, 0.8, 0.95)
+BOOLEAN_COUNT, FEW_COUNT = 2, 10
+TEXT_RATIO, KEY_RATIOS = 0.5, (0.8, 0.95)
 # Three deviations of the default distinct-count sketch.
 FAST_BAND = 0.15
 
@@ -146,29 +148,29 @@ def null_counts(df: DataFrame) -> DataFrame:
 
 
 def distinct_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """(column, distinct): exact, NULL not counted; every column in one shuffle.
+    """(column, distinct): exact, NULL not counted.
 
     Cells become (column, value) pairs that are combined map-side; only the
     distinct pairs of a task reach the shuffle, spread by column and value.
-    Whole numbers, fractions and texts travel in a slot of their own type.
+    Whole numbers, fractions and texts are counted apart, each in its own type.
     """
     columns = list(columns if columns is not None else df.columns)
     if not columns:
         return df.sparkSession.createDataFrame([], "column string, distinct bigint")
-    slots = ("whole", "fraction", "words")
-    empty = {"whole": "bigint", "fraction": "double", "words": "string"}
-    wide, groups = [F.lit(None).cast(t).alias(f"no_{s}") for s, t in empty.items()], []
-    for i, c in enumerate(columns):
+    by_slot: dict[str, dict[str, Column]] = {}
+    for c in columns:
         slot, value = _slot_of(df, c)
-        wide.append(value.alias(f"c{i}"))
-        groups.append(tuple(f"c{i}" if s == slot else f"no_{s}" for s in slots))
-    pairs = unpivot_groups(df.select(*wide), groups, slots).dropDuplicates()
-    present = F.col("whole").isNotNull() | F.col("fraction").isNotNull() | F.col("words").isNotNull()
-    return (
-        pairs.groupBy("position")
-        .agg(F.count_if(present).alias("distinct"))
-        .select(by_position(columns).alias("column"), "distinct")
-    )
+        by_slot.setdefault(slot, {})[c] = value
+    parts = []
+    for group in by_slot.values():
+        cells = entries_per_row(df, [{"value": v} for v in group.values()])
+        parts.append(
+            cells.dropDuplicates()
+            .groupBy("position")
+            .agg(F.count("value").alias("distinct"))
+            .select(by_position(list(group)).alias("column"), "distinct")
+        )
+    return reduce(DataFrame.unionByName, parts)
 
 
 def _slot_of(df: DataFrame, name: str) -> tuple[str, Column]:
@@ -296,7 +298,9 @@ def column_profile(df: DataFrame, exact: bool = True, median: bool = True) -> Da
             stats[c] |= _sketches(df, c, k, median)
     facts = _collect_stats(df, stats)
     countable = [c for c, k in found.items() if k != "nested"]
-    recount = countable if exact else [c for c in countable if _is_decisive(facts[c])]
+    recount = countable if exact else [
+        c for c in countable if _is_decisive(c, found[c], facts[c])
+    ]
     if exact and median:
         numeric = numeric_columns(df)
         spread = {
@@ -343,12 +347,18 @@ PROFILE_FIELDS = (
 )
 
 
-def _is_decisive(stats: dict) -> bool:
-    """Whether a sketched count lies near a count or ratio that decides a role."""
-    count, total = stats["distinct"], max(1, stats["rows"])
-    if any(abs(count - limit) <= max(1, limit * FAST_BAND) for limit in DECISIVE_COUNTS):
-        return True
-    return any(abs(count / total - limit) <= limit * FAST_BAND for limit in DECISIVE_RATIOS)
+def _is_decisive(name: str, kind: str, stats: dict) -> bool:
+    """Whether a sketched count lies near a count or ratio that decides a role or tag."""
+    count, ratio = stats["distinct"], stats["distinct"] / max(1, stats["rows"])
+
+    def near(value: float, limit: float, least: float = 0.0) -> bool:
+        return abs(value - limit) <= max(least, limit * FAST_BAND)
+
+    return (
+        bool(stats.get("any_bool_token")) and near(count, BOOLEAN_COUNT, 1)
+        or kind == "string" and (near(count, FEW_COUNT, 1) or near(ratio, TEXT_RATIO))
+        or has_word(name, kw.ID_WORDS) and any(near(ratio, limit) for limit in KEY_RATIOS)
+    )
 
 
 # --- derived metrics ---------------------------------------------------------

@@ -8,7 +8,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabwise.functions.columns import aggregate_long, number_of, unpivot_groups
+from tabwise.functions.columns import aggregate_long, by_position, entries_per_row, number_of
 
 BUCKETS = 4_096
 SKETCH_ACCURACY = 10_000
@@ -75,32 +75,28 @@ def _split(df: DataFrame, ranges: dict[str, _Range], logarithmic: bool) -> dict[
     Rows are counted per bucket map-side; at most ``BUCKETS`` rows per column
     are ordered, and one or two per column come back.
     """
-    members, groups = [], []
-    for i, (c, r) in enumerate(ranges.items()):
-        value = number_of(df, c)
-        members.append(F.when(value.between(r.low, r.high), value).alias(f"v{i}"))
-        groups.append((f"b{i}", f"v{i}"))
-    wide = df.select(*members)
-    wide = wide.select(
-        "*",
+    wide = df.select(
         *[
-            _bucket(F.col(f"v{i}"), r.low, r.high, logarithmic).alias(f"b{i}")
-            for i, r in enumerate(ranges.values())
-        ],
+            F.when(value.between(r.low, r.high), value).alias(f"v{i}")
+            for i, (r, value) in enumerate((r, number_of(df, c)) for c, r in ranges.items())
+        ]
     )
+    groups = []
+    for i, r in enumerate(ranges.values()):
+        v = F.col(f"v{i}")
+        groups.append({"bucket": _bucket(v, r.low, r.high, logarithmic), "v": v})
     counted = (
-        unpivot_groups(wide, groups, ("bucket", "v"))
+        entries_per_row(wide, groups)
         .where(F.col("v").isNotNull())
         .groupBy("position", "bucket")
         .agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
     )
-    targets = F.create_map(
+    targets = F.array(
         *[
-            part
-            for i, r in enumerate(ranges.values())
-            for part in (F.lit(f"p{i}"), F.array(*[F.lit(rank - r.below) for rank in r.ranks]))
+            by_position([r.ranks[k] - r.below for r in ranges.values()])
+            for k in range(2)
         ]
-    )[F.col("position")]
+    )
     in_order = Window.partitionBy("position").orderBy("bucket")
     middle = (
         counted.withColumn("upto", F.sum("n").over(in_order))
@@ -114,7 +110,7 @@ def _split(df: DataFrame, ranges: dict[str, _Range], logarithmic: bool) -> dict[
     found: dict[str, list] = {c: [] for c in ranges}
     names = list(ranges)
     for row in middle:
-        found[names[int(row["position"][1:])]].append(row)
+        found[names[row["position"]]].append(row)
     return {c: sorted(rows, key=lambda r: r["before"]) for c, rows in found.items()}
 
 
