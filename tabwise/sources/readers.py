@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 from collections.abc import Callable, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +13,8 @@ from tabwise.functions.columns import ref
 from tabwise.functions.keywords import MISSING_TOKENS
 
 INTEGER_SHAPE = r"^\s*[+-]?\d+\s*$"
+# Narrower than a cast, which also takes type suffixes such as "1d".
+NUMBER_SHAPE = r"(?i)^\s*[+-]?((\d+\.?\d*|\.\d+)(e[+-]?\d+)?|inf|infinity)\s*$"
 BOOLEAN_WORDS = ("True", "TRUE", "true", "False", "FALSE", "false")
 
 
@@ -59,15 +62,12 @@ def read_table(spark: SparkSession, path: str, fmt: str | None = None) -> DataFr
     fmt = fmt or format_of(path)
     if fmt not in READERS:
         raise ValueError(f"Unsupported file format: {fmt or path}")
-    if not _exists(spark, path):
-        raise FileNotFoundError(path)
-    return READERS[fmt](spark, path)
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    system = hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration())
-    return bool(system.globStatus(hadoop_path))
+    try:
+        return READERS[fmt](spark, path)
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            raise FileNotFoundError(path) from error
+        raise
 
 
 def _present(name: str, tokens: Sequence[str]) -> Column:
@@ -80,7 +80,7 @@ def _typed(text: Column, type_name: str) -> Column:
     if type_name == "boolean":
         return F.when(text.isin(*BOOLEAN_WORDS), F.lower(text)).try_cast("boolean")
     if type_name == "double":
-        return F.trim(text).try_cast("double")
+        return F.when(text.rlike(NUMBER_SHAPE), F.trim(text)).try_cast("double")
     return text
 
 

@@ -49,6 +49,13 @@ def test_single_line_csv_stays_splittable(spark, tmp_path):
     assert _spans_lines(spark, csv(tmp_path, 'a,b\n"x\ny",1\n', "u.csv"))
 
 
+def test_type_suffixes_are_text(spark, tmp_path, rows):
+    path = csv(tmp_path, "size,num,far\n1d,.5,inf\n2f,1.,-Infinity\n3D,-2E-3,1\n")
+    df = read_table(spark, path)
+    assert types(df) == {"size": "string", "num": "double", "far": "double"}
+    assert rows(df, "num") == [(-0.002,), (0.5,), (1.0,)]
+
+
 def test_huge_integers_fall_back(spark, tmp_path):
     path = csv(tmp_path, "n\n1\n99999999999999999999\n")
     assert types(read_table(spark, path)) == {"n": "double"}
