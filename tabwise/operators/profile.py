@@ -24,7 +24,7 @@ from tabwise.functions.columns import (
     value_of,
 )
 from tabwise.functions.dates import looks_like_date, micros
-from tabwise.operators.quantiles import Spread, exact_medians, medians
+from tabwise.operators.quantiles import Spread, exact_medians
 
 # Texts longer than this are compared by digest, so a shuffle moves 64
 # characters and not a document.
@@ -189,10 +189,6 @@ def _slot_of(df: DataFrame, name: str) -> tuple[str, Column]:
     return "words", _comparable_text(df, name)
 
 
-def unique_ratio(distinct: Column, rows: Column) -> Column:
-    return distinct / F.greatest(F.lit(1), rows)
-
-
 def numeric_summary(df: DataFrame, exact: bool = True) -> DataFrame:
     """Mean, min, max, median of every numeric column; no rows without one."""
     columns = numeric_columns(df)
@@ -286,8 +282,9 @@ def _collect_stats(df: DataFrame, stats: dict[str, dict[str, Column]]) -> dict[s
 def column_profile(df: DataFrame, exact: bool = True, median: bool = True) -> DataFrame:
     """One row per column: kind, counts and statistics.
 
-    One wide aggregate first; its single row is collected.  Exact mode adds one
-    distinct-count shuffle and the median passes.  ``exact=False`` takes
+    Runs at once and holds its few rows as values, so that roles, rules and
+    charts built on it do not profile again.  One wide aggregate first; exact
+    mode adds the distinct counts and the median passes.  ``exact=False`` takes
     sketches in the wide aggregate instead and recounts only the columns whose
     count decides a role.  ``median=False`` leaves medians out; roles need none.
     """
@@ -310,41 +307,32 @@ def column_profile(df: DataFrame, exact: bool = True, median: bool = True) -> Da
         }
         for c, middle in exact_medians(df, numeric, spread).items():
             facts[c]["median"] = middle
-    rows = [
-        (
-            field.name,
-            pos,
-            field.dataType.simpleString(),
-            found[field.name],
-            *[facts[field.name].get(f) for f in BASE_FIELDS],
-        )
-        for pos, field in enumerate(df.schema.fields)
-    ]
-    base = df.sparkSession.createDataFrame(rows, BASE_SCHEMA)
-    counts = distinct_counts(df, recount).withColumnRenamed("distinct", "counted")
-    distinct = F.coalesce("counted", "distinct", F.lit(0)).cast("bigint")
-    return (
-        base.join(counts, "column", "left")
-        .withColumn("distinct", distinct)
-        .withColumn("unique_ratio", unique_ratio(F.col("distinct"), F.col("rows")))
-        .withColumn("any_bool_token", F.coalesce("any_bool_token", F.lit(False)))
-        .select(*PROFILE_FIELDS)
-    )
+    for r in distinct_counts(df, recount).collect():
+        facts[r["column"]]["distinct"] = r["distinct"]
+    rows = []
+    for pos, field in enumerate(df.schema.fields):
+        fact = facts[field.name]
+        distinct = fact.get("distinct") or 0
+        described = fact | {
+            "column": field.name,
+            "pos": pos,
+            "spark_type": field.dataType.simpleString(),
+            "kind": found[field.name],
+            "distinct": distinct,
+            "unique_ratio": distinct / max(1, fact["rows"]),
+            "any_bool_token": bool(fact.get("any_bool_token")),
+        }
+        rows.append(tuple(described.get(f) for f in PROFILE_SCHEMA))
+    schema = ", ".join(f"{name} {type_name}" for name, type_name in PROFILE_SCHEMA.items())
+    return df.sparkSession.createDataFrame(rows, schema)
 
 
-BASE_FIELDS = (
-    "rows", "nulls", "mean", "min_num", "max_num", "avg_len", "date_like_ratio", "any_bool_token",
-    "distinct", "median",
-)
-BASE_SCHEMA = (
-    "column string, pos int, spark_type string, kind string, rows bigint, nulls bigint, "
-    "mean double, min_num double, max_num double, avg_len double, date_like_ratio double, "
-    "any_bool_token boolean, distinct bigint, median double"
-)
-PROFILE_FIELDS = (
-    "column", "pos", "spark_type", "kind", "rows", "nulls", "distinct", "unique_ratio", "mean",
-    "min_num", "max_num", "median", "avg_len", "date_like_ratio", "any_bool_token",
-)
+PROFILE_SCHEMA = {
+    "column": "string", "pos": "int", "spark_type": "string", "kind": "string", "rows": "bigint",
+    "nulls": "bigint", "distinct": "bigint", "unique_ratio": "double", "mean": "double",
+    "min_num": "double", "max_num": "double", "median": "double", "avg_len": "double",
+    "date_like_ratio": "double", "any_bool_token": "boolean",
+}
 
 
 def _is_decisive(name: str, kind: str, stats: dict) -> bool:

@@ -50,7 +50,6 @@ TABLES: dict[str, Columns] = {
     ),
     "labels": (("doc_id", "int"), ("quality", "int"), ("toxic", "int")),
 }
-SPARK_TYPES = {"int": "bigint", "string": "string", "float": "double"}
 
 DATE_SHAPE = r"^(\d{4}[-/]\d{1,2}[-/]\d{1,2}|\d{1,2}[-/]\d{1,2}[-/]\d{4})$"
 
@@ -296,7 +295,7 @@ SELECT CAST(row_number() OVER (ORDER BY g, i, j) - 1 AS INT) AS pos, chart_id, c
 FROM every QUALIFY pos < 4"""
 
 
-def _kpis(table: str, lines: Sequence[tuple[str, str, str, str]], select: str = "") -> str:
+def _kpis(table: str, lines: Sequence[tuple[str, str, str, str]]) -> str:
     """Lines are (title, value SQL, display SQL over v, description)."""
     return " UNION ALL ".join(
         f"SELECT {i} AS pos, '{title}' AS title, round(CAST(v AS DOUBLE), 4) AS value, "
