@@ -58,3 +58,8 @@ def micros(ts: Column) -> Column:
     seconds = F.hour(ts) * 3600 + F.minute(ts) * 60
     sub_minute = (F.extract(F.lit("SECOND"), ts) * 1_000_000).cast("bigint")
     return day + seconds.cast("bigint") * F.lit(1_000_000) + sub_minute
+
+
+def day_of(instant: Column) -> Column:
+    """The date that ``micros`` counted from; independent of the session time zone."""
+    return F.date_from_unix_date(F.floor(instant / F.lit(MICROS_PER_DAY)).cast("int"))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabwise.functions.columns import ref
-from tabwise.functions.dates import MICROS_PER_DAY, date_of, iso_day, micros
+from tabwise.functions.dates import MICROS_PER_DAY, date_of, day_of, iso_day, micros
 
 
 def frequency_label(step: Column) -> Column:
@@ -125,6 +125,6 @@ def time_series_structure(
         in_order.alias("is_chronologically_sorted"),
         frequency_label(F.col("modal_step")).alias("estimated_frequency"),
         "modal_step",
-        iso_day(F.timestamp_micros(F.col("t_min"))).alias("min_date"),
-        iso_day(F.timestamp_micros(F.col("t_max"))).alias("max_date"),
+        iso_day(day_of(F.col("t_min"))).alias("min_date"),
+        iso_day(day_of(F.col("t_max"))).alias("max_date"),
     )

@@ -89,6 +89,21 @@ def test_half_a_day_back_is_minus_one(spark):
     assert time_series_structure(df, "d", ["k"]).first()["modal_step"] == -1
 
 
+def test_structure_does_not_depend_on_the_time_zone(spark):
+    df = spark.sql(
+        "SELECT * FROM VALUES (1, TIMESTAMP_NTZ'2024-03-09 00:30:00'), (2, TIMESTAMP_NTZ'2024-03-10 02:30:00'),"
+        " (3, TIMESTAMP_NTZ'2024-03-11 23:30:00') AS t(k, d)"
+    )
+    expected = time_series_structure(df, "d", ["k"]).first()
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        found = time_series_structure(df, "d", ["k"]).first()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert found == expected
+    assert (found["min_date"], found["max_date"], found["modal_step"]) == ("2024-03-09", "2024-03-11", 1)
+
+
 def test_without_order_the_flag_is_unknown(spark):
     df = spark.createDataFrame([("2025-01-01",), ("2025-01-08",), ("bad",), ("2025-01-15",)], "d string")
     row = time_series_structure(df, "d").first()
