@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabwise.llm import sharding, url_filter
+from tabwise.llm import sharding, token_files, url_filter, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -14,9 +14,11 @@ Query = Callable[[SparkSession, str], DataFrame]
 def all_queries() -> dict[str, Query]:
     return {
         "op4_minimax_sharding": sharding.op4_minimax_sharding,
+        "op6_token_files": token_files.op6_token_files,
+        "op7_warc": warc.op7_warc,
         "op9_url_filter": url_filter.op9_url_filter,
     }
 
 
 def all_oracles() -> dict[str, str]:
-    return {"op9_url_filter": url_filter.OP9_SQL}
+    return {"op7_warc": warc.OP7_SQL, "op9_url_filter": url_filter.OP9_SQL}
