@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabwise.llm import sharding, token_files, url_filter, warc
+from tabwise.llm import quality, sharding, token_files, url_filter, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,6 +17,7 @@ def all_queries() -> dict[str, Query]:
         "op6_token_files": token_files.op6_token_files,
         "op7_warc": warc.op7_warc,
         "op9_url_filter": url_filter.op9_url_filter,
+        "op10_quality": quality.op10_quality,
     }
 
 

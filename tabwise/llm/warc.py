@@ -26,7 +26,7 @@ from tabwise.llm.common import chunks, shuffle_partitions, table
 #: Of the dictionary's frame, by the published WARC-Zstandard layout.
 SKIPPABLE = 0x184D2A5D
 DICTIONARY_BYTES = 64 << 10
-#: The dictionary is built from this many rows with the smallest hashes: a bounded sample.
+#: The dictionary is built from about this many rows picked by hash: a bounded sample.
 SAMPLE_ROWS = 400
 #: Of each sampled record, for the dictionary only; archived payloads are whole.
 SAMPLE_RECORD_BYTES = 16 << 10
@@ -140,10 +140,14 @@ def write_archives(
     firsts = (
         rows.groupBy("digest").agg(F.min("key").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     )
+    # A share of the hash range, so that no task sends more than its few rows.
+    share = min(1.0, SAMPLE_ROWS / max(1, rows.count()))
+    picked = F.xxhash64("key", "url") <= F.lit(int(-(2**63) + share * (2**64 - 1) * 0.999))
     sample = [
         build_record(r["key"], r["url"], r["body"].encode(), None, date)
-        for r in rows.orderBy(F.xxhash64("digest"), "key").limit(SAMPLE_ROWS)
+        for r in rows.where(picked)
         .select("key", F.substring("url", 1, 2000).alias("url"), F.substring("body", 1, SAMPLE_RECORD_BYTES).alias("body"))
+        .limit(2 * SAMPLE_ROWS)
         .collect()
     ]
     dictionary = build_dictionary(sample)
