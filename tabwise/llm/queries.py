@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabwise.llm import quality, sharding, token_files, url_filter, warc
+from tabwise.llm import fingerprints, packing, quality, sharding, token_files, url_filter, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -14,8 +14,10 @@ Query = Callable[[SparkSession, str], DataFrame]
 def all_queries() -> dict[str, Query]:
     return {
         "op4_minimax_sharding": sharding.op4_minimax_sharding,
+        "op5_best_fit_packing": packing.op5_best_fit_packing,
         "op6_token_files": token_files.op6_token_files,
         "op7_warc": warc.op7_warc,
+        "op8_fingerprints": fingerprints.op8_fingerprints,
         "op9_url_filter": url_filter.op9_url_filter,
         "op10_quality": quality.op10_quality,
     }
