@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabwise.llm import fingerprints, packing, quality, sharding, token_files, url_filter, warc
+from tabwise.llm import fingerprints, near_dedup, packing, quality, sharding, token_files, url_filter, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def all_queries() -> dict[str, Query]:
     return {
+        "op2_minhash_near_dedup": near_dedup.op2_minhash_near_dedup,
         "op4_minimax_sharding": sharding.op4_minimax_sharding,
         "op5_best_fit_packing": packing.op5_best_fit_packing,
         "op6_token_files": token_files.op6_token_files,
@@ -24,4 +25,4 @@ def all_queries() -> dict[str, Query]:
 
 
 def all_oracles() -> dict[str, str]:
-    return {"op7_warc": warc.OP7_SQL, "op9_url_filter": url_filter.OP9_SQL}
+    return {"op2_minhash_near_dedup": near_dedup.OP2_SQL, "op7_warc": warc.OP7_SQL, "op9_url_filter": url_filter.OP9_SQL}
