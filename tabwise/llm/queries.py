@@ -6,13 +6,24 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabwise.llm import fingerprints, near_dedup, packing, quality, sharding, token_files, url_filter, warc
+from tabwise.llm import (
+    decontaminate,
+    fingerprints,
+    near_dedup,
+    packing,
+    quality,
+    sharding,
+    token_files,
+    url_filter,
+    warc,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def all_queries() -> dict[str, Query]:
     return {
+        "op1_decontamination": decontaminate.op1_decontamination,
         "op2_minhash_near_dedup": near_dedup.op2_minhash_near_dedup,
         "op4_minimax_sharding": sharding.op4_minimax_sharding,
         "op5_best_fit_packing": packing.op5_best_fit_packing,
