@@ -7,8 +7,8 @@ every item and of every window of a document's words as long as an item, and eac
 sampled several times at a few steps; windows that agree with an item in all steps of a
 sample are candidates.  The edit distance itself, over the whole item, confirms them.
 
-Before that, windows with more words foreign to all items than edits are allowed are
-passed over; none of them can match.  Walks stop where no item agrees so far.
+Before that, windows with more words foreign to all items of their length than edits are
+allowed are passed over; none of them can match.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from tabwise.llm.common import CHUNK_BYTES, SpanHash, buffer_of, chunks, mix, se
 
 #: Share of an item's words that may be edited.
 EDITS = 0.2
-EMBEDDINGS, SAMPLINGS, STEPS = 10, 8, 3
+EMBEDDINGS, SAMPLINGS, STEPS = 5, 8, 4
 #: A class of items has lengths up to this times its least.
 CLASS_RATIO = 1.25
 #: Steps of a walk by words of the window: after 1.6 a walk has read four fifths.
@@ -107,8 +107,6 @@ class ItemIndex:
             for i, s in enumerate(x.tolist()):
                 masks[s] |= 1 << i
             self.masks.append(dict(masks))
-        self.known = np.zeros(1 << 22, bool)  # places of the items' words, by hash
-        self.known[(words.symbols & np.uint64((1 << 22) - 1)).astype(np.int64)] = True
         self.classes = []
         order, i = sorted((k for k in range(len(self.items)) if len(self.items[k])), key=lambda k: len(self.items[k])), 0
         while i < len(order):
@@ -124,6 +122,9 @@ class ItemIndex:
         draw = np.random.default_rng(SEED + size)
         samples = np.sort(draw.integers(0, steps, (EMBEDDINGS, SAMPLINGS, STEPS)), axis=2)
         heads = np.concatenate([self.items[k][:size] for k in members])
+        own = np.concatenate([self.items[k] for k in members])
+        known = np.zeros(1 << max(16, (256 * len(own) - 1).bit_length()), bool)  # the items' words, by hash
+        known[(own & np.uint64(len(known) - 1)).astype(np.int64)] = True
         at = np.arange(len(members)) * size
         tables = []
         for e in range(EMBEDDINGS):
@@ -131,7 +132,7 @@ class ItemIndex:
             for key in keys:
                 order = np.argsort(key, kind="stable")
                 tables.append((key[order], np.array(members)[order]))
-        return {"size": size, "edits": max(self.edits[k] for k in members), "samples": samples, "tables": tables}
+        return {"size": size, "known": known, "edits": max(self.edits[k] for k in members), "samples": samples, "tables": tables}
 
     def candidates(self, words: Words) -> set[tuple[int, int, int]]:
         """(text, word, item): windows that agree with an item in some sample."""
@@ -140,9 +141,9 @@ class ItemIndex:
         text = np.searchsorted(words.first, np.arange(n), "right") - 1
         stop = words.first[1:][text] if n else text
         sums = np.zeros(n + 1, np.int64)
-        np.cumsum(self.known[(symbols & np.uint64((1 << 22) - 1)).astype(np.int64)], out=sums[1:])
         for c in self.classes:
-            size = c["size"]
+            size, known = c["size"], c["known"]
+            np.cumsum(known[(symbols & np.uint64(len(known) - 1)).astype(np.int64)], out=sums[1:])
             end = np.minimum(np.arange(n) + size, stop)
             at = np.flatnonzero(sums[end] - sums[:-1] >= size - c["edits"])
             if not len(at):
