@@ -10,16 +10,18 @@
    the similarity; pairs clearly below the threshold are dropped.
 4. The full sets confirm the rest exactly.
 
-A list of many members is not paired out.  First every member meets one pivot of the
-list, then in another round a random one, and what is linked is contracted; only
-members of different components are then paired, each once over all lists.  So a group
-of copies costs about its size, and no link between components is left unchecked.
+A list of many members is not paired out.  First every member meets the pivot of the
+list, and what is linked is contracted into components.  Then a node that still shares a
+list with a larger component is compared with that component's full sets, block by
+block.  So a group of copies costs about its size, and no link between components is
+left unchecked.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -36,9 +38,10 @@ PERCENT = 80
 DIFFERENT_BITS = 20
 #: How far an estimate from sketches may lie below the similarity (5 sigma at K values).
 MARGIN = 5 * (0.8 * 0.2 / K) ** 0.5
-ROUNDS = 2
-#: Members of a list that one row holds when components are paired.
+#: Members of a list that one row holds when components search each other.
 LIST_PART = 1000
+#: Sets that are compared at once.
+BLOCK = 500
 SET_BYTES = 6
 
 
@@ -83,7 +86,8 @@ def full_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], ["node", "packed"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("node"), text_or_empty().alias("text"))
-    return texts.join(wanted, "node", "left_semi").mapInArrow(run, "node long, packed binary")
+    # A merge join at every size: the wanted ones may be as many as the documents.
+    return texts.join(wanted.hint("merge"), "node", "left_semi").mapInArrow(run, "node long, packed binary")
 
 
 def _unpack(packed: bytes) -> np.ndarray:
@@ -136,31 +140,22 @@ def _may_link(bits_a: Column, n_a: Column, bits_b: Column, n_b: Column, percent:
     return close & (100 * F.least(n_a, n_b) >= percent * F.greatest(n_a, n_b))
 
 
-def _labelled(lists: DataFrame, labels: DataFrame | None) -> DataFrame:
-    if labels is None:
-        return lists.withColumn("label", F.col("node"))
-    return lists.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-
-
-def _pivot_pairs(lists: DataFrame, round_no: int, percent: int) -> DataFrame:
-    """Each member of a list of several components, with the list's pivot."""
-    rank = F.col("weight") if round_no == 0 else F.xxhash64("node", "value", F.lit(round_no))
-    pivots = (
-        lists.groupBy("value")
-        .agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max_by(F.struct("node", "bits", "n", "label"), F.struct(rank, "node")).alias("p"))
-        .where("lo <> hi").select("value", "p")
-    )
+def _pivot_pairs(lists: DataFrame, percent: int) -> DataFrame:
+    """Each list's members with its pivot, the one with the most company."""
+    pivots = lists.groupBy("value").agg(
+        F.max_by(F.struct("node", "bits", "n"), F.struct("weight", "node")).alias("p"), F.count("*").alias("length")
+    ).where("length > 1")
     met = lists.join(pivots, "value").where(
-        (F.col("label") != F.col("p.label")) & _may_link(F.col("bits"), F.col("n"), F.col("p.bits"), F.col("p.n"), percent)
+        (F.col("node") != F.col("p.node")) & _may_link(F.col("bits"), F.col("n"), F.col("p.bits"), F.col("p.n"), percent)
     )
     return met.select(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b")).distinct()
 
 
-def _cross_pairs(lists: DataFrame, percent: int) -> DataFrame:
-    """All pairs of list members of different components that may be linked.
+def _searches(lists: DataFrame, percent: int) -> DataFrame:
+    """(b, label): each node, with every larger component that may hold a node linked to it.
 
-    Of a pair, the member of the smaller component looks through the list, which lies in
-    rows of bounded length; what it finds is made distinct before it becomes rows.
+    Of two components the smaller one's nodes search the other.  A node looks through its
+    lists, which lie in rows of bounded length, and what it finds is named by component.
     """
     sizes = lists.select("node", "label").distinct().groupBy("label").agg(F.count("*").alias("members"))
     mixed = lists.groupBy("value").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("length"))
@@ -168,19 +163,81 @@ def _cross_pairs(lists: DataFrame, percent: int) -> DataFrame:
     rows = lists.join(mixed.where("lo <> hi and length > 2").select("value", "length"), "value").join(sizes, "label")
     rows = stage(rows.withColumn("order", F.struct("members", "label")).select("value", "length", "node", "bits", "n", "order"), "mixed-lists")
     part = F.pmod(F.xxhash64("node"), F.ceil(F.col("length") / LIST_PART))
-    parts = rows.groupBy("value", part.alias("part")).agg(F.collect_list(F.struct("node", "bits", "n", "order")).alias("members"))
+    parts = rows.groupBy("value", part.alias("part")).agg(F.collect_list(F.struct("bits", "n", "order")).alias("members"))
     seekers = rows.select("value", F.col("node").alias("b"), F.col("bits").alias("b_bits"), F.col("n").alias("b_n"), F.col("order").alias("b_order"))
     found = F.transform(
         F.filter("members", lambda m: (m["order"] > F.col("b_order")) & _may_link(m["bits"], m["n"], F.col("b_bits"), F.col("b_n"), percent)),
-        lambda m: m["node"],
+        lambda m: m["order"]["label"],
     )
     return (
-        parts.join(seekers, "value").select("b", "part", found.alias("found")).where(F.size("found") > 0)
-        .groupBy("b", "part").agg(F.array_distinct(F.flatten(F.collect_list("found"))).alias("found"))
-        .select("b", F.explode("found").alias("a")).distinct()
+        parts.join(seekers, "value").select("b", F.array_distinct(found).alias("found")).where(F.size("found") > 0)
+        .select("b", F.explode("found").alias("label")).distinct()
     )
 
 
+def _search_links(searches: DataFrame, members: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """(a, b): for each search, one linked node of the component, if there is any.
+
+    ``members``: node, label.  A component's full sets lie in blocks, its searchers in
+    blocks too, and each pair of blocks is compared at once over the block's own
+    inverted index; nothing is sampled, and no task holds more than a block.
+    """
+    wanted = searches.select("label").distinct()
+    inside = members.join(wanted, "label")
+    sizes = inside.groupBy("label").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    sizes = sizes.join(searches.groupBy("label").agg(F.ceil(F.count("*") / BLOCK).alias("teams")), "label")
+    nodes = inside.select("node").union(searches.select("b")).distinct()
+    sets = stage_by_node(full_sets(docs, nodes, words), "sets")
+
+    def dealt(rows: DataFrame, own: str, other: str, side: int) -> DataFrame:
+        rows = rows.join(sizes, "label").withColumn(own, F.pmod(F.xxhash64("node"), F.col(f"{own}s")))
+        rows = rows.withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.col(f"{other}s") - 1)))
+        return rows.join(sets, "node").select("label", "block", "team", F.lit(side).alias("side"), "node", "packed")
+
+    both = dealt(inside, "block", "team", 0).unionByName(dealt(searches.withColumnRenamed("b", "node"), "team", "block", 1))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, ids, arrays, index = None, [], [], None
+        for batch in batches:
+            links = []
+            for *key, side, node, packed in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+                if key != group:
+                    group, ids, arrays, index = key, [], [], None
+                if side == 0:
+                    ids.append(node)
+                    arrays.append(_unpack(packed))
+                    continue
+                if index is None and ids:
+                    index = _BlockIndex(arrays)
+                hit = index.linked(_unpack(packed), percent) if ids else None
+                if hit is not None:
+                    links.append((ids[hit], node))
+            columns = list(zip(*links, strict=True)) if links else [(), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["a", "b"])
+
+    order = ["label", "block", "team"]
+    return both.repartition(shuffle_partitions(docs.sparkSession), *order).sortWithinPartitions(*order, "side").mapInArrow(run, "a long, b long")
+
+
+class _BlockIndex:
+    """The inverted index of a block of sets."""
+
+    def __init__(self, sets: list[np.ndarray]) -> None:
+        self.sizes = np.array([len(x) for x in sets])
+        values = np.concatenate(sets)
+        order = np.argsort(values, kind="stable")
+        self.values, self.owner = values[order], np.repeat(np.arange(len(sets)), self.sizes)[order]
+
+    def linked(self, found: np.ndarray, percent: int) -> int | None:
+        """The place of a set linked to ``found``, or None."""
+        low, high = np.searchsorted(self.values, found), np.searchsorted(self.values, found, "right")
+        runs = high - low
+        at = np.repeat(low - np.cumsum(runs) + runs, runs) + np.arange(int(runs.sum()))
+        common = np.bincount(self.owner[at], minlength=len(self.sizes))
+        hits = np.flatnonzero(100 * common >= percent * (self.sizes + len(found) - common))
+        return int(hits[0]) if len(hits) else None
+
+
 def _estimated(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """The pairs whose union's sketch does not rule the link out."""
     one = nodes.select(F.col("node"), F.col("sketch"), F.col("n"))
@@ -214,27 +271,26 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """node, label: the least node reachable over the edges (a, b)."""
-    both = stage(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = stage(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "labels")
-    while True:
-        near = both.join(labels.withColumnsRenamed({"node": "b"}), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        lowered = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        jumps = labels.select(F.col("node").alias("label"), F.col("label").alias("jump"))
-        labels = stage(
-            lowered.join(jumps, "label", "left").select("node", "old", F.least("label", "jump").alias("label")), "labels"
+    ends = F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")), F.struct("a", F.col("a").alias("b")), F.struct(F.col("b").alias("a"), "b")))
+    both = stage(edges.select(ends.alias("e")).select("e.a", "e.b").distinct(), "edges")
+    labels = stage(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("label")), "labels")
+    for step in count(1):
+        near = both.join(labels.withColumnsRenamed({"node": "b"}), "b").groupBy(F.col("a").alias("node")).agg(
+            F.min("label").alias("label"), F.max(F.when(F.col("a") == F.col("b"), F.col("label"))).alias("old")
         )
+        if step > 2:  # long chains: also go to the label's label
+            jumps = labels.select(F.col("node").alias("label"), F.col("label").alias("jump"))
+            near = near.join(jumps, "label", "left").select("node", F.least("label", "jump").alias("label"), "old")
+        labels = stage(near, "labels")
         if labels.where("label <> old").isEmpty():
             return labels.select("node", "label")
 
 
-def _relabel(labels: DataFrame | None, edges: DataFrame) -> DataFrame:
-    """Labels after more edges, of which the ends are contracted to their labels first."""
-    if labels is None:
-        return components(edges)
+def _relabel(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """Labels after more edges, whose ends are contracted to their labels first."""
     for end in ("a", "b"):
         edges = edges.join(labels.withColumnsRenamed({"node": end}), end, "left").withColumn(end, F.coalesce("label", end)).drop("label")
-    edges = edges.where("a <> b")
-    joined = components(edges.select("a", "b")).withColumnsRenamed({"node": "old", "label": "new"})
+    joined = components(edges.where("a <> b").select("a", "b")).withColumnsRenamed({"node": "old", "label": "new"})
     moved = labels.withColumnsRenamed({"label": "old"}).join(joined, "old", "left").select("node", F.coalesce("new", "old").alias("label"))
     fresh = joined.join(labels, F.col("old") == F.col("node"), "left_anti").select(F.col("old").alias("node"), F.col("new").alias("label"))
     return stage(moved.unionByName(fresh), "labels")
@@ -253,28 +309,21 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = PERCENT) ->
     sketched = stage(sketches(docs, words), "sketches")
     nodes = stage_by_node(
         sketched.where("doc_id is not null and key is not null").groupBy("key")
-        .agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("sketch").alias("sketch")),
+        .agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("sketch").alias("sketch"))
+        .repartition(shuffle_partitions(docs.sparkSession), "node"),  # one task, one bucket: few files
         "nodes",
     )
     lists = stage(inverted_lists(nodes), "lists")
-    labels = sets = None
-    for round_no in range(ROUNDS + 1):
-        members = _labelled(lists, labels)
-        if round_no < ROUNDS:
-            pairs = _pivot_pairs(members, round_no, percent)
-        else:
-            pairs = _cross_pairs(stage(members, "labelled-lists"), percent)
-        pairs = stage(_estimated(pairs, nodes, percent), "pairs")
-        wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        if pairs.isEmpty():
-            continue
-        sets = stage_by_node(full_sets(docs, wanted, words), "sets")
-        labels = _relabel(labels, stage(_confirmed(pairs, sets, percent), "links"))
+    pairs = stage(_estimated(_pivot_pairs(lists, percent), nodes, percent), "pairs")
+    named = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    sets = stage_by_node(full_sets(docs, named, words), "sets")
+    labels = components(_confirmed(pairs, sets, percent))
+    members = lists.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    searches = stage(_searches(members, percent), "searches")
+    inside = members.select("node", "label").distinct()
+    labels = _relabel(labels, _search_links(searches, inside, docs, words, percent))
     node_of = nodes.select("key", "node")
-    if labels is not None:
-        node_of = node_of.join(labels, "node", "left").select("key", F.coalesce("label", "node").alias("component_id"))
-    else:
-        node_of = node_of.withColumnRenamed("node", "component_id")
+    node_of = node_of.join(labels, "node", "left").select("key", F.coalesce("label", "node").alias("component_id"))
     return (
         sketched.select("doc_id", "n", "key").join(node_of, "key", "left")
         .select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
