@@ -3,9 +3,10 @@
 1. Each document's shingles are hashed once; the ``K`` least hashes are its sketch.
    Documents with the same set form one node.
 2. Inverted lists of retained values give the candidates.  Similar sets share at least
-   half of their sketches (but for a chance of 1e-7), so a node is listed only under the
+   half of their sketches (but for a chance of 1e-6), so a node is listed only under the
    rarer half of its values: values common to many texts, as of a line that all repeat,
-   list nobody.  A 64-bit digest of the sketch, carried in the lists, drops chance meetings.
+   list nobody.  A digest of one bit per bin of the set, carried in the lists, drops
+   chance meetings.
 3. The sketch of the union of a candidate pair, which the two sketches give, estimates
    the similarity; pairs clearly below the threshold are dropped.
 4. The full sets confirm the rest exactly.
@@ -34,8 +35,8 @@ from tabwise.llm.shingles import shingle_sets
 
 K = 48
 PERCENT = 80
-#: Of the 64 digest bits, how many a pair above the threshold may differ in (5 sigma).
-DIFFERENT_BITS = 20
+#: Digest bits of a set, in 64-bit words.
+WORDS = 4
 #: How far an estimate from sketches may lie below the similarity (5 sigma at K values).
 MARGIN = 5 * (0.8 * 0.2 / K) ** 0.5
 #: Members of a list that one row holds when components search each other.
@@ -45,12 +46,14 @@ BLOCK = 500
 SET_BYTES = 6
 
 
-def _digest_bits(values: np.ndarray) -> int:
-    """One bit for each of 64 bins: of the least value in the bin, its lowest bit but six."""
-    bins = (values & np.uint64(63)).astype(np.int64)[::-1]
-    least = np.zeros(64, np.uint64)
+def _digest_bits(values: np.ndarray) -> list[int]:
+    """One bit for each of 64 * WORDS bins: of the least value in the bin, the lowest bit
+    that does not name the bin; 0 for an empty bin."""
+    bins = (values % np.uint64(64 * WORDS)).astype(np.int64)[::-1]
+    least = np.zeros(64 * WORDS, np.uint64)
     least[bins] = values[::-1]  # values ascend, so the least is written last
-    return int((((least >> np.uint64(6)) & np.uint64(1)) << np.arange(64, dtype=np.uint64)).sum(dtype=np.uint64).astype(np.int64))
+    bit = (least // np.uint64(64 * WORDS)) & np.uint64(1)
+    return np.packbits(bit.astype(np.uint8), bitorder="little").view("<i8").tolist()
 
 
 def sketches(docs: DataFrame, words: int) -> DataFrame:
@@ -65,12 +68,12 @@ def sketches(docs: DataFrame, words: int) -> DataFrame:
                 bits.append(_digest_bits(values))
                 sketch.append(values[:K].astype(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(bits, pa.int64()), pa.array(sketch, pa.list_(pa.int64()))],
+                [batch.column(0), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(bits, pa.list_(pa.int64())), pa.array(sketch, pa.list_(pa.int64()))],
                 ["doc_id", "n", "key", "bits", "sketch"],
             )
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(
-        run, "doc_id long, n long, key binary, bits long, sketch array<long>"
+        run, "doc_id long, n long, key binary, bits array<long>, sketch array<long>"
     )
 
 
@@ -136,8 +139,16 @@ def inverted_lists(nodes: DataFrame) -> DataFrame:
 
 
 def _may_link(bits_a: Column, n_a: Column, bits_b: Column, n_b: Column, percent: int) -> Column:
-    close = F.bit_count(bits_a.bitwiseXOR(bits_b)) <= DIFFERENT_BITS
-    return close & (100 * F.least(n_a, n_b) >= percent * F.greatest(n_a, n_b))
+    """Whether sizes and digest bits allow a link.
+
+    In a linked pair a fifth of the filled bins at most may hold different least values,
+    half of which differ in their bit: five sigma more than that are let pass.
+    """
+    different = sum((F.bit_count(F.get(bits_a, i).bitwiseXOR(F.get(bits_b, i))) for i in range(WORDS)), F.lit(0))
+    apart = (100 - percent) / 100
+    filled = F.least(F.lit(64.0 * WORDS), F.greatest(n_a, n_b) * (100 / percent))
+    allowed = F.least(apart * filled, apart / 2 * filled + 5 * F.sqrt(apart / 2 * (1 - apart / 2) * filled)) + 1
+    return (100 * F.least(n_a, n_b) >= percent * F.greatest(n_a, n_b)) & (different <= allowed)
 
 
 def _pivot_pairs(lists: DataFrame, percent: int) -> DataFrame:
