@@ -41,11 +41,11 @@ def _bucket(digest: Column) -> Column:
 
 
 def text_sizes(docs: DataFrame) -> DataFrame:
-    """doc_id, digest (null text: empty string), size, text_crc32."""
+    """doc_id, digest, size, text_crc32; a null text counts as empty."""
     text = text_or_empty()
     return docs.select(
         F.col("doc_id"),
-        F.when(F.col("text").isNull(), F.lit("")).otherwise(F.sha2(F.col("text"), 256)).alias("digest"),
+        F.sha2(text, 256).alias("digest"),
         (F.octet_length(text) + OVERHEAD).cast("long").alias("size"),
         F.crc32(text).alias("text_crc32"),
     )
@@ -57,7 +57,7 @@ def _running(groups: DataFrame) -> DataFrame:
     A bucket's sums are taken in one window task; buckets split the digests evenly,
     and the offsets between them are one row per bucket.
     """
-    groups = groups.withColumn("bucket", F.when(F.col("digest") == "", -1).otherwise(_bucket(F.col("digest"))))
+    groups = groups.withColumn("bucket", _bucket(F.col("digest")))
     before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = groups.groupBy("bucket").agg(F.sum("bytes").alias("b")).select(
         "bucket", F.coalesce(F.sum("b").over(before), F.lit(0)).alias("b0")
@@ -65,7 +65,7 @@ def _running(groups: DataFrame) -> DataFrame:
     within = Window.partitionBy("bucket").orderBy("digest").rowsBetween(Window.unboundedPreceding, 0)
     return (
         groups.withColumn("b", F.sum("bytes").over(within))
-        .join(F.broadcast(offsets), "bucket")  # at most 16 ** BUCKET_DIGITS + 1 rows
+        .join(F.broadcast(offsets), "bucket")  # at most 16 ** BUCKET_DIGITS rows
         .select("digest", "bytes", (F.col("b0") + F.col("b")).alias("ends"))
     )
 
@@ -173,7 +173,8 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard for every row.
 
     Law ``bytes``: the largest shard is as small as contiguous runs of whole groups
-    allow.  All rows of equal text share a shard; null texts are one group.  ``slot``
+    allow.  All rows of equal text share a shard; a null text counts as an
+    empty one.  ``slot``
     numbers a shard's rows from 0; repeated rows get a slot each.  An empty table gives
     no rows; with fewer groups than shards some shards stay empty.  Rows with a null
     doc_id are dealt like any other.  Other columns are ignored.
