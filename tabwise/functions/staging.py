@@ -2,21 +2,29 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 SETTING = "spark.checkpoint.dir"
+#: Temporary folders of local sessions, by application.
+_own: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a new one if it is unset."""
+    """The folder named by ``spark.checkpoint.dir``, or else the context's.
+
+    Where neither is set, a local session gets a temporary folder; on a cluster each node
+    would have its own, and tables would come back with rows missing, so that raises.
+    """
     context = spark.sparkContext
     folder = spark.conf.get(SETTING, None) or context.getCheckpointDir()
     if not folder:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="tabwise-"))
-        folder = context.getCheckpointDir()
+        if not re.match(r"local(\[|$)", context.master):
+            raise ValueError(f"set {SETTING} to a folder that all nodes share")
+        folder = _own.setdefault(context.applicationId, tempfile.mkdtemp(prefix="tabwise-"))
     return folder.rstrip("/")
 
 

@@ -192,7 +192,7 @@ def _dense_pass(
     rows = []
     for i, j in pairs:
         spread = F.sqrt(F.col(f"s{i}_{i}")) * F.sqrt(F.col(f"s{j}_{j}"))
-        r = F.coalesce(F.try_divide(F.col(f"s{i}_{j}"), spread), F.lit(0.0))
+        r = F.coalesce(F.nanvl(F.try_divide(F.col(f"s{i}_{j}"), spread), F.lit(0.0)), F.lit(0.0))
         rows.append(F.struct(F.lit(i).alias("a"), F.lit(j).alias("b"), r.alias("r")))
     return sums.select(F.inline(F.array(*rows)))
 
@@ -206,7 +206,7 @@ def _gappy_pass(numbers: DataFrame, pairs: Sequence[tuple[int, int]]) -> DataFra
     r = F.try_divide(F.covar_samp("x", "y"), F.stddev_samp("x") * F.stddev_samp("y"))
     found = entries_per_row(numbers, groups).groupBy("position").agg(r.alias("r"))
     left, right = (by_position([p[k] for p in pairs]) for k in (0, 1))
-    return found.select(left.alias("a"), right.alias("b"), F.coalesce("r", F.lit(0.0)).alias("r"))
+    return found.select(left.alias("a"), right.alias("b"), F.coalesce(F.nanvl("r", F.lit(0.0)), F.lit(0.0)).alias("r"))
 
 
 # --- choosing and batching charts --------------------------------------------

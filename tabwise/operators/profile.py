@@ -52,11 +52,13 @@ def _as_text(df: DataFrame, name: str) -> Column:
 
 def _comparable_text(df: DataFrame, name: str) -> Column:
     text = _as_text(df, name)
-    return F.when(F.length(text) > DIGEST_ABOVE, F.sha2(text, 256)).otherwise(text)
+    # A digest is one character longer than any text kept as it is, so none equals another's text.
+    digest = F.concat(F.lit("#"), F.sha2(text, 256))
+    return F.when(F.length(text) > DIGEST_ABOVE, digest).otherwise(text)
 
 
 def _hashable(df: DataFrame, name: str) -> Column:
-    return _as_text(df, name) if kind_of(df.schema[name].dataType) == "nested" else ref(name)
+    return _as_text(df, name) if kind_of(df.schema[name].dataType) == "nested" else value_of(df, name)
 
 
 def row_fingerprint(df: DataFrame) -> Column:
@@ -66,7 +68,7 @@ def row_fingerprint(df: DataFrame) -> Column:
     so both also take in which columns are NULL.  Among 10^12 different rows the
     chance that any two share a digest is below 10^-14.
     """
-    gaps = F.concat(*[F.when(ref(c).isNull(), "0").otherwise("1") for c in df.columns])
+    gaps = F.concat(*[F.when(value_of(df, c).isNull(), "0").otherwise("1") for c in df.columns])
     values = [_hashable(df, c) for c in df.columns]
     return F.struct(
         F.xxhash64(gaps, *values).alias("forward"),

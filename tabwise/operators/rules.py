@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -66,6 +67,8 @@ def _negative_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def z_scores(df: DataFrame, columns: Sequence[str]) -> list[Column]:
     """The z-score of every listed column: sample deviation, NULL where undefined.
 
+    A column with infinite values has no finite deviation and so no scores.
+
     One pass over the table finds the statistics of all columns; they enter the
     plan as constants.
     """
@@ -79,7 +82,7 @@ def z_scores(df: DataFrame, columns: Sequence[str]) -> list[Column]:
     stats = df.agg(*parts).first()
     return [
         (number_of(df, c) - stats[f"mean{i}"]) / stats[f"sd{i}"]
-        if stats[f"sd{i}"]
+        if stats[f"sd{i}"] and math.isfinite(stats[f"sd{i}"])
         else F.lit(None).cast("double")
         for i, c in enumerate(columns)
     ]
