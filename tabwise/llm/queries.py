@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tabwise.llm import (
     decontaminate,
     fingerprints,
+    licenses,
     near_dedup,
     packing,
     quality,
@@ -25,6 +26,7 @@ def all_queries() -> dict[str, Query]:
     return {
         "op1_decontamination": decontaminate.op1_decontamination,
         "op2_minhash_near_dedup": near_dedup.op2_minhash_near_dedup,
+        "op3_license_scan": licenses.op3_license_scan,
         "op4_minimax_sharding": sharding.op4_minimax_sharding,
         "op5_best_fit_packing": packing.op5_best_fit_packing,
         "op6_token_files": token_files.op6_token_files,
