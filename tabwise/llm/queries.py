@@ -38,4 +38,9 @@ def all_queries() -> dict[str, Query]:
 
 
 def all_oracles() -> dict[str, str]:
-    return {"op2_minhash_near_dedup": near_dedup.OP2_SQL, "op7_warc": warc.OP7_SQL, "op9_url_filter": url_filter.OP9_SQL}
+    return {
+        "op2_minhash_near_dedup": near_dedup.OP2_SQL,
+        "op3_license_scan": licenses.OP3_SQL,
+        "op7_warc": warc.OP7_SQL,
+        "op9_url_filter": url_filter.OP9_SQL,
+    }

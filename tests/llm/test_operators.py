@@ -13,6 +13,7 @@ import pytest
 from tabwise.llm import (
     decontaminate,
     fingerprints,
+    licenses,
     near_dedup,
     packing,
     quality,
@@ -132,6 +133,27 @@ def test_packing(docs, none):
     assert packing.pack_documents(none, path, 2).count() == 0
 
 
+def test_license_scan(spark, none, monkeypatch):
+    wrapped = "\n".join(" ".join(licenses.MIT.split()[k : k + 9]) for k in range(0, len(licenses.MIT.split()), 9))
+    texts = [
+        None, "", " \n ", "no licence here", "LICENSED under cc by nc 4.0!", "licenced under CC-BY-NC 4.0",
+        "# Copyright (c) 2020 A B\n\nMIT Licence\n\n" + wrapped.replace("sublicense", "sublicence"),
+        "x y\nReleased under the MIT License.\nz", "Released under the MIT License. More.", "(C) 1999 me\nLicensed under CC BY-NC 4.0.",
+        "Copyright 2001 Licensed under CC BY-NC 4.0.", prose(4000) + "\n\n" + licenses.ISC.split("\n")[0],
+        "a\n\nLicensed under the Apache\nLicense, version 2.0\n\nb\nReleased under the MIT License.\nReleased under the MIT License.",
+    ]
+    want = {(4, "CC-BY-NC-4.0", True), (5, "CC-BY-NC-4.0", True), (6, "MIT", True), (7, "MIT", False), (9, "CC-BY-NC-4.0", True),
+            (12, "Apache-2.0", False), (12, "MIT", False), (None, "MIT", True)}
+    rows = [(i, t, "l", "d") for i, t in enumerate(texts)] + [(7, texts[7], "l", "d"), (None, "Released under the MIT License", "l", "d")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, license string, digest string")
+    known = spark.createDataFrame([*licenses.KNOWN, ("none", None), ("none", ""), ("none", "!")], "license string, text string")
+    for most in (licenses.MAX_BROADCAST, 0):
+        monkeypatch.setattr(licenses, "MAX_BROADCAST", most)
+        assert sorted(map(repr, map(tuple, licenses.scan_licenses(docs, known).collect()))) == sorted(map(repr, want))
+    assert licenses.scan_licenses(none, known).count() == 0
+    assert licenses.scan_licenses(docs, known.limit(0)).count() == 0
+
+
 def test_configurations_reach_the_optimum():
     found = packing.configurations([60, 40, 30], [10, 10, 20], 100)
     assert sum(x for _, x in found) == pytest.approx(50 / 3)
