@@ -248,11 +248,13 @@ def chart_type_of(x_role: Column, y_role: Column, x_distinct: Column, asked: Col
     )
 
 
-def chart_types(columns: DataFrame, pairs: Sequence[tuple]) -> DataFrame:
+def chart_types(
+    columns: DataFrame, pairs: Sequence[tuple], max_charts: int | None = MAX_CHARTS
+) -> DataFrame:
     """(pos, x_col, y_col, title, chart_type) for asked (x, y[, type[, title]]) pairs.
 
     Pairs with an Identifier, with a column the table lacks, or asked before
-    are left out; at most six remain.
+    are left out; the first ``max_charts`` of the others remain, None for all.
     """
     full = [(*p, *([None] * (4 - len(p)))) for p in pairs]
     asked = columns.sparkSession.createDataFrame(
@@ -276,7 +278,7 @@ def chart_types(columns: DataFrame, pairs: Sequence[tuple]) -> DataFrame:
         .where(usable("x_col", "x_role") & usable("y_col", "y_role"))
     )
     repeat = F.row_number().over(Window.partitionBy("x_col", "y_col").orderBy("pos"))
-    return (
+    charts = (
         chosen.withColumn("repeat", repeat)
         .where("repeat = 1")
         .select(
@@ -289,14 +291,16 @@ def chart_types(columns: DataFrame, pairs: Sequence[tuple]) -> DataFrame:
             ).alias("chart_type"),
         )
         .orderBy("pos")
-        .limit(MAX_CHARTS)
     )
+    return charts if max_charts is None else charts.limit(max_charts)
 
 
-def plan_charts(columns: DataFrame, pairs: Sequence[tuple]) -> list[Chart]:
+def plan_charts(
+    columns: DataFrame, pairs: Sequence[tuple], max_charts: int | None = MAX_CHARTS
+) -> list[Chart]:
     """The charts to draw for the asked pairs; first four primary, the rest supporting."""
     charts = []
-    for i, r in enumerate(chart_types(columns, pairs).collect()):
+    for i, r in enumerate(chart_types(columns, pairs, max_charts).collect()):
         x, y, kind = r["x_col"], r["y_col"], r["chart_type"]
         charts.append(
             Chart(

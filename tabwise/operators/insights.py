@@ -73,10 +73,12 @@ def segment_insights(df: DataFrame, segment: str, measure: str) -> DataFrame:
     )
 
 
-def chart_insights(df: DataFrame, charts: Sequence[Chart]) -> DataFrame:
-    """One row per chart, at most five: the record count and the two columns."""
+def chart_insights(
+    df: DataFrame, charts: Sequence[Chart], max_insights: int | None = MAX_INSIGHTS
+) -> DataFrame:
+    """One row per chart, ``max_insights`` at most (None: all): the record count and the two columns."""
     lines = []
-    for pos, chart in enumerate(charts[:MAX_INSIGHTS]):
+    for pos, chart in enumerate(charts[:max_insights]):
         x, y = str(chart.x), chart.y or NO_MEASURE
         lines.append(
             F.struct(

@@ -15,28 +15,58 @@ from tabwise.functions.keywords import MISSING_TOKENS
 INTEGER_SHAPE = r"^\s*[+-]?\d+\s*$"
 # Narrower than a cast, which also takes type suffixes such as "1d".
 NUMBER_SHAPE = r"(?i)^\s*[+-]?((\d+\.?\d*|\.\d+)(e[+-]?\d+)?|inf|infinity)\s*$"
+#: In this order; text where none accepts all values.
+INFERRED = ("bigint", "decimal(38,0)", "double", "boolean")
 BOOLEAN_WORDS = ("True", "TRUE", "true", "False", "FALSE", "false")
 
 
-def _spans_lines(spark: SparkSession, path: str) -> bool:
-    """Whether a quoted field may hold a line break: some line has an odd number of quotes."""
-    quotes = F.length(F.regexp_replace("value", '[^"]', ""))
-    return not spark.read.text(path).where(quotes % 2 == 1).isEmpty()
+# A quoted field with the comma or the line's start before it.
+QUOTED_FIELD = r'(^|,)[ \t]*"[^"]*+(?:""[^"]*+)*+"[ \t]*(?=,|$)'
+OPEN_FIELD = r'(^|,)[ \t]*"'
+BAD_RECORD = "_bad_record"
 
 
-def _csv(spark: SparkSession, path: str) -> DataFrame:
-    """CSV with a header row.
+def csv_rejects(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    """(record, fields, open): the records that a read would lose data of.
 
-    Files are split between tasks by lines unless a field holds line breaks,
-    which only a whole-file read gets right.
+    Those with more fields than the header, and lines that end within a quoted field,
+    which only a read with ``multi_line`` joins to the next one.  Fewer fields are no
+    fault; the rest are missing values.
     """
+    header = spark.read.csv(path, header=True, quote='"', escape='"', multiLine=multi_line)
+    if multi_line:
+        columns = [f"c{i}" for i in range(len(header.columns))]
+        schema = ", ".join(f"{c} string" for c in [*columns, BAD_RECORD])
+        read = spark.read.schema(schema).options(columnPruning=False)
+        bad = read.csv(
+            path, header=True, quote='"', escape='"', multiLine=True, columnNameOfCorruptRecord=BAD_RECORD
+        )
+        # All columns are named in the condition: a query on the bad record alone is refused.
+        records = bad.where(F.col(BAD_RECORD).isNotNull()).select(
+            F.coalesce(F.col(BAD_RECORD), *columns).alias("record")
+        )
+    else:
+        records = spark.read.text(path).select(F.col("value").alias("record"))
+    plain = F.regexp_replace("record", QUOTED_FIELD, "$1")
+    return records.select(
+        "record",
+        (F.length(F.regexp_replace(plain, "[^,]", "")) + 1).alias("fields"),
+        (plain.rlike(OPEN_FIELD) & F.lit(not multi_line)).alias("open"),
+    ).where((F.col("fields") > len(header.columns)) | F.col("open"))
+
+
+def _csv(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    """CSV with a header row, split between tasks by lines.
+
+    ``multi_line`` reads files whole, which fields with line breaks need.  A record that
+    would lose fields raises; ``csv_rejects`` lists them all.
+    """
+    bad = csv_rejects(spark, path, multi_line).first()
+    if bad is not None:
+        fault = "ends within a quoted field (multi_line=True reads such)" if bad["open"] else "has more fields than the header"
+        raise ValueError(f"{path}: a record {fault}: {bad['record'][:200]!r}")
     text = spark.read.csv(
-        path,
-        header=True,
-        inferSchema=False,
-        quote='"',
-        escape='"',
-        multiLine=_spans_lines(spark, path),
+        path, header=True, inferSchema=False, quote='"', escape='"', multiLine=multi_line
     )
     return infer_types(text)
 
@@ -52,18 +82,21 @@ def format_of(path: str) -> str:
     return os.path.splitext(path.rstrip("/"))[1].lower().lstrip(".")
 
 
-def read_table(spark: SparkSession, path: str, fmt: str | None = None) -> DataFrame:
+def read_table(
+    spark: SparkSession, path: str, fmt: str | None = None, multi_line: bool = False
+) -> DataFrame:
     """Read a table by extension or explicit format.
 
     ValueError for a format without a reader, FileNotFoundError for a path that
-    does not exist on its file system.  NaN in typed files is left as it is, so
+    does not exist on its file system; also for CSV records that do not fit the header
+    (``multi_line``: quoted fields may hold line breaks).  NaN in typed files is left as it is, so
     that filters on fractions reach the scan; the operators read it as missing.
     """
     fmt = fmt or format_of(path)
     if fmt not in READERS:
         raise ValueError(f"Unsupported file format: {fmt or path}")
     try:
-        return READERS[fmt](spark, path)
+        return _csv(spark, path, multi_line) if fmt == "csv" else READERS[fmt](spark, path)
     except AnalysisException as error:
         if error.getCondition() == "PATH_NOT_FOUND":
             raise FileNotFoundError(path) from error
@@ -77,6 +110,8 @@ def _present(name: str, tokens: Sequence[str]) -> Column:
 def _typed(text: Column, type_name: str) -> Column:
     if type_name == "bigint":
         return F.when(text.rlike(INTEGER_SHAPE), F.trim(text)).try_cast("bigint")
+    if type_name == "decimal(38,0)":
+        return F.when(text.rlike(INTEGER_SHAPE), F.trim(text)).try_cast("decimal(38,0)")
     if type_name == "boolean":
         return F.when(text.isin(*BOOLEAN_WORDS), F.lower(text)).try_cast("boolean")
     if type_name == "double":
@@ -87,17 +122,19 @@ def _typed(text: Column, type_name: str) -> Column:
 def infer_types(
     text: DataFrame, missing_tokens: Sequence[str] = MISSING_TOKENS
 ) -> DataFrame:
-    """Type a table of text columns: bigint, double, boolean or string.
+    """Type a table of text columns: bigint, decimal(38,0), double, boolean or string.
 
     One aggregate counts, for every column, how many present values each type
-    accepts; a type is taken when it accepts all of them.
+    accepts; a type is taken when it accepts all of them.  Integers beyond the decimal
+    stay text, as a double would make different ones equal.
     """
     names = text.columns
     aggs = []
     for i, c in enumerate(names):
         value = _present(c, missing_tokens)
         aggs.append(F.count(value).alias(f"present{i}"))
-        for t in ("bigint", "double", "boolean"):
+        aggs.append(F.count_if(value.rlike(INTEGER_SHAPE)).alias(f"integers{i}"))
+        for t in INFERRED:
             aggs.append(F.count(_typed(value, t)).alias(f"{t}{i}"))
     seen = text.agg(*aggs).first()
 
@@ -105,9 +142,9 @@ def infer_types(
         present = seen[f"present{i}"]
         if present == 0:
             return "double"
-        return next(
-            (t for t in ("bigint", "double", "boolean") if seen[f"{t}{i}"] == present), "string"
-        )
+        fits = (t for t in INFERRED if seen[f"{t}{i}"] == present)
+        found = next(fits, "string")
+        return "string" if found == "double" and seen[f"integers{i}"] == present else found
 
     return text.select(
         *[

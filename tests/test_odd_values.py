@@ -4,6 +4,8 @@ import hashlib
 
 import pytest
 
+from tabwise.operators import quantiles
+
 from tabwise.functions import staging
 from tabwise.operators.charts import correlation_matrix
 from tabwise.operators.profile import distinct_counts, duplicate_count
@@ -47,3 +49,23 @@ def test_a_cluster_needs_a_shared_folder():
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         staging.shared_folder(Session())
+
+
+@pytest.mark.parametrize(
+    "values",
+    [
+        [1e308, 1.2e308, 1.3e308, 1.6e308],
+        [float("-inf"), 1.7976931348623157e308, float("inf"), float("inf"), 5e-324],
+        [5e-324, 1e-323, 0.0, -5e-324, 1e-322],
+        [s * 10.0**e for e in range(-30, 31) for s in (1, -1, 3)],
+        [1.0 + k * 2.0**-52 for k in range(9)] + [1e300, -1e300, 1e-300],
+    ],
+)
+def test_medians_end_in_bounded_passes(spark, monkeypatch, values):
+    passes, split = [], quantiles._split
+    monkeypatch.setattr(quantiles, "_split", lambda *a: passes.append(1) or split(*a))
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    ordered = sorted(values)
+    low, high = ordered[(len(values) - 1) // 2], ordered[len(values) // 2]
+    assert quantiles.exact_medians(df, ["v"])["v"] == (low if low == high else low / 2 + high / 2)
+    assert len(passes) <= 8

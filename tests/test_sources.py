@@ -39,14 +39,22 @@ def test_inference_and_missing_tokens(spark, tmp_path, rows):
 
 def test_quoted_line_breaks_and_quotes(spark, tmp_path, rows):
     path = csv(tmp_path, 'a,b\n"one\ntwo",1\n"say ""hi"", ok",2\n')
-    assert rows(read_table(spark, path)) == [("one\ntwo", 1), ('say "hi", ok', 2)]
+    assert rows(read_table(spark, path, multi_line=True)) == [("one\ntwo", 1), ('say "hi", ok', 2)]
+    with pytest.raises(ValueError, match="multi_line"):
+        read_table(spark, path)
 
 
-def test_single_line_csv_stays_splittable(spark, tmp_path):
-    from tabwise.sources.readers import _spans_lines
+@pytest.mark.parametrize("multi_line", [False, True])
+def test_surplus_fields_raise_and_are_listed(spark, tmp_path, rows, multi_line):
+    from tabwise.sources.readers import csv_rejects
 
-    assert not _spans_lines(spark, csv(tmp_path, 'a,b\n"x, y",1\n'))
-    assert _spans_lines(spark, csv(tmp_path, 'a,b\n"x\ny",1\n', "u.csv"))
+    path = csv(tmp_path, 'a,b\n1,2\n3,4,5\n"x, ""y"", z",6\n7\n8,"9",\n5" pipe,1\n')
+    found = csv_rejects(spark, path, multi_line)
+    assert rows(found) == [('3,4,5', 3, False), ('8,"9",', 3, False)]
+    with pytest.raises(ValueError, match="more fields"):
+        read_table(spark, path, multi_line=multi_line)
+    short = csv(tmp_path, 'a,b\n1,2\n\n"x, ""y"", z",6\n7\n', "short.csv")
+    assert rows(read_table(spark, short, multi_line=multi_line)) == [('1', 2), ('7', None), ('x, "y", z', 6)]
 
 
 def test_type_suffixes_are_text(spark, tmp_path, rows):
@@ -56,9 +64,11 @@ def test_type_suffixes_are_text(spark, tmp_path, rows):
     assert rows(df, "num") == [(-0.002,), (0.5,), (1.0,)]
 
 
-def test_huge_integers_fall_back(spark, tmp_path):
-    path = csv(tmp_path, "n\n1\n99999999999999999999\n")
-    assert types(read_table(spark, path)) == {"n": "double"}
+def test_huge_integers_stay_apart(spark, tmp_path):
+    path = csv(tmp_path, f"n,m,d\n12345678901234567890,1,1\n12345678901234567891,{'9' * 50},1.5\n")
+    df = read_table(spark, path)
+    assert types(df) == {"n": "decimal(38,0)", "m": "string", "d": "double"}
+    assert df.select("n").distinct().count() == 2
 
 
 def test_format_gate(spark, tmp_path):
