@@ -167,11 +167,11 @@ def _searches(lists: DataFrame, percent: int) -> DataFrame:
 
     Of two components the smaller one's nodes search the other.  A node looks through its
     lists, which lie in rows of bounded length, and what it finds is named by component.
+    ``lists`` carry each node's label and its component's number of members.
     """
-    sizes = lists.select("node", "label").distinct().groupBy("label").agg(F.count("*").alias("members"))
     mixed = lists.groupBy("value").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("length"))
     # A list of two is done: one was the other's pivot.
-    rows = lists.join(mixed.where("lo <> hi and length > 2").select("value", "length"), "value").join(sizes, "label")
+    rows = lists.join(mixed.where("lo <> hi and length > 2").select("value", "length"), "value")
     rows = stage(rows.withColumn("order", F.struct("members", "label")).select("value", "length", "node", "bits", "n", "order"), "mixed-lists")
     part = F.pmod(F.xxhash64("node"), F.ceil(F.col("length") / LIST_PART))
     parts = rows.groupBy("value", part.alias("part")).agg(F.collect_list(F.struct("bits", "n", "order")).alias("members"))
@@ -329,7 +329,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = PERCENT) ->
     named = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     sets = stage_by_node(full_sets(docs, named, words), "sets")
     labels = components(_confirmed(pairs, sets, percent))
-    members = lists.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    # Sizes meet the nodes, not the many list rows of each; a node without a link is alone.
+    sizes = labels.groupBy("label").agg(F.count("*").alias("members"))
+    members = lists.join(labels.join(sizes, "label"), "node", "left").withColumns(
+        {"label": F.coalesce("label", "node"), "members": F.coalesce("members", F.lit(1))}
+    )
     searches = stage(_searches(members, percent), "searches")
     inside = members.select("node", "label").distinct()
     labels = _relabel(labels, _search_links(searches, inside, docs, words, percent))
