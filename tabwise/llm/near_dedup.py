@@ -115,10 +115,11 @@ def stage_by_node(df: DataFrame, name: str) -> DataFrame:
 
 
 def inverted_lists(nodes: DataFrame) -> DataFrame:
-    """value, node, bits, n, count, weight: each node under the rarer half of its sketch.
+    """node, bits, n, weight, v: a row per node with the (value, count) it is listed under,
+    the rarer half of its sketch.
 
     ``count`` is how many nodes retain the value; values of a single node are left out.
-    ``weight`` tells how much company a node has.
+    ``weight`` tells how much company a node has.  ``_entries`` makes the lists' rows.
     """
     postings = nodes.select("node", F.explode("sketch").alias("value"))
     counts = postings.groupBy("value").agg(F.count("*").alias("count")).where("count > 1")
@@ -132,12 +133,14 @@ def inverted_lists(nodes: DataFrame) -> DataFrame:
         .select("node", "bits", "n", listed.alias("v"))
         .where(F.size("v") > 0)
         .withColumn("weight", F.aggregate("v", F.lit(0).cast("long"), lambda s, x: s + x["count"]))
-        .select(F.col("v.value").alias("values"), F.col("v.count").alias("counts"), "node", "bits", "n", "weight")
-        .select(F.explode(F.arrays_zip("values", "counts")).alias("e"), "node", "bits", "n", "weight")
-        .select(F.col("e.values").alias("value"), F.col("e.counts").alias("count"), "node", "bits", "n", "weight")
     )
 
 
+def _entries(lists: DataFrame) -> DataFrame:
+    """A row per node and value, with ``value`` and ``count`` in place of ``v``."""
+    return lists.withColumn("e", F.explode("v")).withColumns({"value": F.col("e.value"), "count": F.col("e.count")}).drop("v", "e")
+
+
 def _may_link(bits_a: Column, n_a: Column, bits_b: Column, n_b: Column, percent: int) -> Column:
     """Whether sizes and digest bits allow a link.
 
@@ -151,38 +154,57 @@ def _may_link(bits_a: Column, n_a: Column, bits_b: Column, n_b: Column, percent:
     return (100 * F.least(n_a, n_b) >= percent * F.greatest(n_a, n_b)) & (different <= allowed)
 
 
-def _pivot_pairs(lists: DataFrame, percent: int) -> DataFrame:
+def _pivot_pairs(entries: DataFrame, percent: int) -> DataFrame:
     """Each list's members with its pivot, the one with the most company."""
-    pivots = lists.groupBy("value").agg(
+    pivots = entries.groupBy("value").agg(
         F.max_by(F.struct("node", "bits", "n"), F.struct("weight", "node")).alias("p"), F.count("*").alias("length")
     ).where("length > 1")
-    met = lists.join(pivots, "value").where(
+    met = entries.join(pivots, "value").where(
         (F.col("node") != F.col("p.node")) & _may_link(F.col("bits"), F.col("n"), F.col("p.bits"), F.col("p.n"), percent)
     )
     return met.select(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b")).distinct()
 
 
-def _searches(lists: DataFrame, percent: int) -> DataFrame:
+def _searches(entries: DataFrame, percent: int) -> DataFrame:
     """(b, label): each node, with every larger component that may hold a node linked to it.
 
-    Of two components the smaller one's nodes search the other.  A node looks through its
-    lists, which lie in rows of bounded length, and what it finds is named by component.
-    ``lists`` carry each node's label and its component's number of members.
+    Of two components the smaller one's nodes search the other.  ``entries`` carry each
+    node's label and its component's number of members.  A list lies in parts of about
+    ``LIST_PART`` nodes; nodes below the list's largest component look through all its
+    parts, and what they find is named by component.  Joins are between parts, not nodes.
     """
-    mixed = lists.groupBy("value").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("length"))
+    # A value's count bounds its list, so parts can be dealt without the list's length.
+    part = F.pmod(F.xxhash64("node"), F.ceil(F.col("count") / LIST_PART))
+    member = F.struct("node", "bits", "n", F.struct("members", "label").alias("order"))
+    parts = stage(
+        entries.select("value", part.alias("part"), member.alias("m")).groupBy("value", "part")
+        .agg(F.collect_list("m").alias("nodes"), F.min("m.order").alias("lo"), F.max("m.order").alias("hi")),
+        "list-parts",
+    )
+    heads = parts.groupBy("value").agg(
+        F.min("lo").alias("least"), F.max("hi").alias("largest"), F.sum(F.size("nodes")).alias("length"), F.collect_list("part").alias("parts")
+    )
     # A list of two is done: one was the other's pivot.
-    rows = lists.join(mixed.where("lo <> hi and length > 2").select("value", "length"), "value")
-    rows = stage(rows.withColumn("order", F.struct("members", "label")).select("value", "length", "node", "bits", "n", "order"), "mixed-lists")
-    part = F.pmod(F.xxhash64("node"), F.ceil(F.col("length") / LIST_PART))
-    parts = rows.groupBy("value", part.alias("part")).agg(F.collect_list(F.struct("bits", "n", "order")).alias("members"))
-    seekers = rows.select("value", F.col("node").alias("b"), F.col("bits").alias("b_bits"), F.col("n").alias("b_n"), F.col("order").alias("b_order"))
-    found = F.transform(
-        F.filter("members", lambda m: (m["order"] > F.col("b_order")) & _may_link(m["bits"], m["n"], F.col("b_bits"), F.col("b_n"), percent)),
-        lambda m: m["order"]["label"],
+    mixed = heads.where("least <> largest and length > 2").select("value", "largest", "parts")
+    seeking = (
+        parts.join(mixed, "value")
+        .select("value", F.filter("nodes", lambda m: m["order"] < F.col("largest")).alias("seekers"), "parts")
+        .where(F.size("seekers") > 0)
+        .select("value", "seekers", F.explode("parts").alias("part"))
+    )
+
+    def components_for(b: Column) -> Column:
+        near = F.filter("nodes", lambda m: (m["order"] > b["order"]) & _may_link(m["bits"], m["n"], b["bits"], b["n"], percent))
+        return F.array_distinct(F.transform(near, lambda m: m["order"]["label"]))
+
+    met = seeking.join(parts.select("value", "part", "nodes"), ["value", "part"]).select(
+        F.filter(
+            F.transform("seekers", lambda b: F.struct(b["node"].alias("b"), components_for(b).alias("labels"))),
+            lambda found: F.size(found["labels"]) > 0,
+        ).alias("found")
     )
     return (
-        parts.join(seekers, "value").select("b", F.array_distinct(found).alias("found")).where(F.size("found") > 0)
-        .select("b", F.explode("found").alias("label")).distinct()
+        met.select(F.explode("found").alias("f")).select("f.b", F.explode("f.labels").alias("label")).distinct()
     )
 
 
@@ -325,17 +347,17 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = PERCENT) ->
         "nodes",
     )
     lists = stage(inverted_lists(nodes), "lists")
-    pairs = stage(_estimated(_pivot_pairs(lists, percent), nodes, percent), "pairs")
+    pairs = stage(_estimated(_pivot_pairs(_entries(lists), percent), nodes, percent), "pairs")
     named = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     sets = stage_by_node(full_sets(docs, named, words), "sets")
     labels = components(_confirmed(pairs, sets, percent))
-    # Sizes meet the nodes, not the many list rows of each; a node without a link is alone.
+    # Labels and sizes meet the nodes, not the many list rows of each; a node without a link is alone.
     sizes = labels.groupBy("label").agg(F.count("*").alias("members"))
     members = lists.join(labels.join(sizes, "label"), "node", "left").withColumns(
         {"label": F.coalesce("label", "node"), "members": F.coalesce("members", F.lit(1))}
     )
-    searches = stage(_searches(members, percent), "searches")
-    inside = members.select("node", "label").distinct()
+    searches = stage(_searches(_entries(members), percent), "searches")
+    inside = members.select("node", "label")
     labels = _relabel(labels, _search_links(searches, inside, docs, words, percent))
     node_of = nodes.select("key", "node")
     node_of = node_of.join(labels, "node", "left").select("key", F.coalesce("label", "node").alias("component_id"))

@@ -59,26 +59,50 @@ def test_tokens_equal_the_library():
         assert encoder(texts) == [encoder.whole([t])[0] if t else b"" for t in texts]
 
 
+def alike(texts, words):
+    """doc_id: (size of the set, least doc_id reachable, kept), by comparing all pairs."""
+    sets = {}
+    for i, t in texts.items():
+        w = re.findall(r"[^\x20\x09-\x0D]+", t or "")
+        w = [x.translate({k: k + 32 for k in range(65, 91)}) for x in w]
+        sets[i] = {tuple(w[k : k + words]) for k in range(max(1, len(w) - words + 1))} if w else set()
+    links = [(a, b) for a in sets for b in sets if sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    label = {k: k for k in sets}
+    while any(label[a] != label[b] for a, b in links):
+        for a, b in links:
+            label[a] = label[b] = min(label[a], label[b])
+    return {k: (len(sets[k]), label[k], label[k] == k) for k in sets}
+
+
 def test_near_duplicates(spark, docs, none):
     for words in (2, 5):
         got = {r["doc_id"]: r for r in near_dedup.near_duplicates(docs, words).collect()}
-        sets = {}
-        for i, t in enumerate(TEXTS):
-            w = re.findall(r"[^\x20\x09-\x0D]+", t or "")
-            w = [x.translate({k: k + 32 for k in range(65, 91)}) for x in w]
-            sets[3 * i] = {tuple(w[k : k + words]) for k in range(max(1, len(w) - words + 1))} if w else set()
-        label = {k: k for k in sets}
-        for _ in range(4):
-            for a in sets:
-                for b in sets:
-                    if sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
-                        label[a] = label[b] = min(label[a], label[b])
-        assert {k: (r["n_shingles"], r["component_id"], r["kept"]) for k, r in got.items()} == {
-            k: (len(sets[k]), label[k], label[k] == k) for k in sets
-        }
+        assert {k: (r["n_shingles"], r["component_id"], r["kept"]) for k, r in got.items()} == alike(
+            {3 * i: t for i, t in enumerate(TEXTS)}, words
+        )
     assert near_dedup.near_duplicates(none).count() == 0
 
 
+def test_near_duplicates_over_parts_of_lists(spark, monkeypatch):
+    """Texts that drift from one another share long lists but link only to near ones."""
+    rng = random.Random(3)
+    texts = {}
+    for k in range(6):
+        words = prose(120, rng).split(" ")
+        for step in range(12):
+            texts[100 * k + step] = " ".join(words)
+            for _ in range(rng.randrange(2, 12)):
+                words[rng.randrange(40)] = f"new{rng.random()}"
+    common = prose(30, rng)
+    for k in range(20):
+        texts[1000 + k] = common + " " + prose(rng.randrange(1, 9), rng)
+    monkeypatch.setattr(near_dedup, "LIST_PART", 3)
+    monkeypatch.setattr(near_dedup, "BLOCK", 2)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = near_dedup.near_duplicates(docs, 2).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in got} == alike(texts, 2)
+
+
 def test_sharding(docs, none):
     rows = sharding.shard_documents(docs, 4).collect()
     assert len(rows) == len(TEXTS) + 1
