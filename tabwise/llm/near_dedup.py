@@ -165,17 +165,23 @@ def _pivot_pairs(entries: DataFrame, percent: int) -> DataFrame:
     return met.select(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b")).distinct()
 
 
+def _block() -> Column:
+    """The block of its component that a node lies in, from node and members."""
+    return F.pmod(F.xxhash64("node"), F.ceil(F.col("members") / BLOCK))
+
+
 def _searches(entries: DataFrame, percent: int) -> DataFrame:
-    """(b, label): each node, with every larger component that may hold a node linked to it.
+    """(b, label, block): each node, with every block of a larger component that may hold a
+    node linked to it.
 
     Of two components the smaller one's nodes search the other.  ``entries`` carry each
     node's label and its component's number of members.  A list lies in parts of about
     ``LIST_PART`` nodes; nodes below the list's largest component look through all its
-    parts, and what they find is named by component.  Joins are between parts, not nodes.
+    parts, and what they find is named by component and block.  Joins are between parts, not nodes.
     """
     # A value's count bounds its list, so parts can be dealt without the list's length.
     part = F.pmod(F.xxhash64("node"), F.ceil(F.col("count") / LIST_PART))
-    member = F.struct("node", "bits", "n", F.struct("members", "label").alias("order"))
+    member = F.struct("node", "bits", "n", F.struct("members", "label").alias("order"), _block().alias("block"))
     parts = stage(
         entries.select("value", part.alias("part"), member.alias("m")).groupBy("value", "part")
         .agg(F.collect_list("m").alias("nodes"), F.min("m.order").alias("lo"), F.max("m.order").alias("hi")),
@@ -193,41 +199,39 @@ def _searches(entries: DataFrame, percent: int) -> DataFrame:
         .select("value", "seekers", F.explode("parts").alias("part"))
     )
 
-    def components_for(b: Column) -> Column:
+    def blocks_for(b: Column) -> Column:
         near = F.filter("nodes", lambda m: (m["order"] > b["order"]) & _may_link(m["bits"], m["n"], b["bits"], b["n"], percent))
-        return F.array_distinct(F.transform(near, lambda m: m["order"]["label"]))
+        return F.array_distinct(F.transform(near, lambda m: F.struct(m["order"]["label"].alias("label"), m["block"].alias("block"))))
 
     met = seeking.join(parts.select("value", "part", "nodes"), ["value", "part"]).select(
         F.filter(
-            F.transform("seekers", lambda b: F.struct(b["node"].alias("b"), components_for(b).alias("labels"))),
-            lambda found: F.size(found["labels"]) > 0,
+            F.transform("seekers", lambda b: F.struct(b["node"].alias("b"), blocks_for(b).alias("blocks"))),
+            lambda found: F.size(found["blocks"]) > 0,
         ).alias("found")
     )
-    return (
-        met.select(F.explode("found").alias("f")).select("f.b", F.explode("f.labels").alias("label")).distinct()
-    )
+    found = met.select(F.explode("found").alias("f")).select("f.b", F.explode("f.blocks").alias("at"))
+    return found.select("b", "at.label", "at.block").distinct()
 
 
 def _search_links(searches: DataFrame, members: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """(a, b): for each search, one linked node of the component, if there is any.
+    """(a, b): for each search, one linked node of the block, if there is any.
 
-    ``members``: node, label.  A component's full sets lie in blocks, its searchers in
-    blocks too, and each pair of blocks is compared at once over the block's own
-    inverted index; nothing is sampled, and no task holds more than a block.
+    ``members``: node, label, members.  The full sets of a block meet its searchers,
+    which lie in teams, over the block's own inverted index; nothing is sampled, and no
+    task holds more than a block.  Only blocks that somebody searches are read.
     """
-    wanted = searches.select("label").distinct()
-    inside = members.join(wanted, "label")
-    sizes = inside.groupBy("label").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    sizes = sizes.join(searches.groupBy("label").agg(F.ceil(F.count("*") / BLOCK).alias("teams")), "label")
+    at = ["label", "block"]
+    teams = searches.groupBy(at).agg(F.ceil(F.count("*") / BLOCK).alias("teams"))
+    inside = stage(members.withColumn("block", _block()).select("node", *at).join(teams, at), "searched")
     nodes = inside.select("node").union(searches.select("b")).distinct()
     sets = stage_by_node(full_sets(docs, nodes, words), "sets")
+    held = inside.withColumn("team", F.explode(F.sequence(F.lit(0).cast("long"), F.col("teams") - 1)))
+    seekers = searches.withColumnRenamed("b", "node").join(teams, at).withColumn("team", F.pmod(F.xxhash64("node"), F.col("teams")))
 
-    def dealt(rows: DataFrame, own: str, other: str, side: int) -> DataFrame:
-        rows = rows.join(sizes, "label").withColumn(own, F.pmod(F.xxhash64("node"), F.col(f"{own}s")))
-        rows = rows.withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.col(f"{other}s") - 1)))
-        return rows.join(sets, "node").select("label", "block", "team", F.lit(side).alias("side"), "node", "packed")
+    def with_sets(rows: DataFrame, side: int) -> DataFrame:
+        return rows.join(sets, "node").select(*at, "team", F.lit(side).alias("side"), "node", "packed")
 
-    both = dealt(inside, "block", "team", 0).unionByName(dealt(searches.withColumnRenamed("b", "node"), "team", "block", 1))
+    both = with_sets(held, 0).unionByName(with_sets(seekers, 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, ids, arrays, index = None, [], [], None
@@ -357,7 +361,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = PERCENT) ->
         {"label": F.coalesce("label", "node"), "members": F.coalesce("members", F.lit(1))}
     )
     searches = stage(_searches(_entries(members), percent), "searches")
-    inside = members.select("node", "label")
+    inside = members.select("node", "label", "members")
     labels = _relabel(labels, _search_links(searches, inside, docs, words, percent))
     node_of = nodes.select("key", "node")
     node_of = node_of.join(labels, "node", "left").select("key", F.coalesce("label", "node").alias("component_id"))
