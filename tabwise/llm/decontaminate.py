@@ -1,14 +1,10 @@
-"""Benchmark decontamination by random-walk embedding and bit sampling.
+"""Benchmark decontamination by exact parts of the items and their edit distance.
 
-The CGK embedding reads a word sequence by a random walk that goes on or stays at each
-step depending on the word read; sequences within a small edit distance then agree in
-most steps, so edit distance becomes Hamming distance.  Several embeddings are taken of
-every item and of every window of a document's words as long as an item, and each is
-sampled several times at a few steps; windows that agree with an item in all steps of a
-sample are candidates.  The edit distance itself, over the whole item, confirms them.
-
-Before that, windows with more words foreign to all items of their length than edits are
-allowed are passed over; none of them can match.
+An item with at most e word edits in a document keeps one of any e + 1 parts of it
+unchanged, so every document with it has the words of one part in a row.  Each item is cut
+into e + 1 parts of equal length; where a part's words stand in a document, the edit
+distance over the whole item, over all places its run could be, decides.  No item within
+its limit is passed over.
 """
 
 from __future__ import annotations
@@ -22,18 +18,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabwise.llm.common import CHUNK_BYTES, SpanHash, buffer_of, chunks, mix, seeded, spans, table, text_or_empty
+from tabwise.llm.common import CHUNK_BYTES, SpanHash, buffer_of, chunks, mix, spans, table, text_or_empty
 
 #: Share of an item's words that may be edited.
 EDITS = 0.2
-EMBEDDINGS, SAMPLINGS, STEPS = 5, 8, 4
-#: A class of items has lengths up to this times its least.
-CLASS_RATIO = 1.25
-#: Steps of a walk by words of the window: after 1.6 a walk has read four fifths.
-WALK = 1.6
+#: Words of a part that are looked up; longer parts are found by their first ones.
+PART_WORDS = 8
 #: Text of the items that are searched for in one scan of the documents.
 ITEM_BYTES = 8 << 20
-SEED = 11
 
 _B = np.arange(256)
 _WORD = ((_B >= 48) & (_B <= 57)) | ((_B >= 65) & (_B <= 90)) | ((_B >= 97) & (_B <= 122)) | (_B >= 128)
@@ -94,7 +86,7 @@ def run_start(pattern: Sequence[int], text: Sequence[int]) -> int:
 
 
 class ItemIndex:
-    """Sampled embeddings of a block of items."""
+    """The parts of a block of items, by their words."""
 
     def __init__(self, ids: Sequence[int], texts: Sequence[str], edits: float = EDITS) -> None:
         words = words_of(pa.array(texts, pa.large_string()))
@@ -107,74 +99,53 @@ class ItemIndex:
             for i, s in enumerate(x.tolist()):
                 masks[s] |= 1 << i
             self.masks.append(dict(masks))
-        self.classes = []
-        order, i = sorted((k for k in range(len(self.items)) if len(self.items[k])), key=lambda k: len(self.items[k])), 0
-        while i < len(order):
-            size = len(self.items[order[i]])
-            j = i
-            while j < len(order) and len(self.items[order[j]]) <= max(size, size * CLASS_RATIO):
-                j += 1
-            self.classes.append(self._class(size, order[i:j]))
-            i = j
-
-    def _class(self, size: int, members: list[int]) -> dict:
-        steps = max(1, int(WALK * size))
-        draw = np.random.default_rng(SEED + size)
-        samples = np.sort(draw.integers(0, steps, (EMBEDDINGS, SAMPLINGS, STEPS)), axis=2)
-        heads = np.concatenate([self.items[k][:size] for k in members])
-        own = np.concatenate([self.items[k] for k in members])
-        known = np.zeros(1 << max(16, (256 * len(own) - 1).bit_length()), bool)  # the items' words, by hash
-        known[(own & np.uint64(len(known) - 1)).astype(np.int64)] = True
-        at = np.arange(len(members)) * size
-        tables = []
-        for e in range(EMBEDDINGS):
-            keys = _embed(heads, at, at + size, size, e, samples[e])
-            for key in keys:
-                order = np.argsort(key, kind="stable")
-                tables.append((key[order], np.array(members)[order]))
-        return {"size": size, "known": known, "edits": max(self.edits[k] for k in members), "samples": samples, "tables": tables}
-
-    def candidates(self, words: Words) -> set[tuple[int, int, int]]:
-        """(text, word, item): windows that agree with an item in some sample."""
-        symbols, n = words.symbols, len(words.symbols)
-        found: set[tuple[int, int, int]] = set()
-        text = np.searchsorted(words.first, np.arange(n), "right") - 1
-        stop = words.first[1:][text] if n else text
-        sums = np.zeros(n + 1, np.int64)
-        for c in self.classes:
-            size, known = c["size"], c["known"]
-            np.cumsum(known[(symbols & np.uint64(len(known) - 1)).astype(np.int64)], out=sums[1:])
-            end = np.minimum(np.arange(n) + size, stop)
-            at = np.flatnonzero(sums[end] - sums[:-1] >= size - c["edits"])
-            if not len(at):
+        parts: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        for k, x in enumerate(self.items):
+            cuts = [len(x) * j // (self.edits[k] + 1) for j in range(self.edits[k] + 2)]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if a < b:
+                    parts[min(b - a, PART_WORDS)].append((k, a))
+        self.parts = {}
+        keys = dict(_rows_of_words(words.symbols, max(parts, default=0)))
+        for size, places in parts.items():
+            item, at = np.array(places).T
+            key = keys[size][words.first[item] + at]
+            order = np.argsort(key, kind="stable")
+            known = np.zeros(1 << max(16, (256 * len(key) - 1).bit_length()), bool)  # the keys, by their low bits
+            known[(key & np.uint64(len(known) - 1)).astype(np.int64)] = True
+            self.parts[size] = (known, key[order], item[order], at[order])
+
+    def candidates(self, words: Words) -> Iterator[tuple[int, int, int, int]]:
+        """(text, item, first and last word): where an item that keeps a part can be."""
+        for size, key in _rows_of_words(words.symbols, max(self.parts, default=0)):
+            if size not in self.parts:
                 continue
-            for e in range(EMBEDDINGS):
-                for s, key in enumerate(_embed(symbols, at, end[at], size, e, c["samples"][e])):
-                    keys, members = c["tables"][e * SAMPLINGS + s]
-                    low, high = np.searchsorted(keys, key), np.searchsorted(keys, key, "right")
-                    for w in np.flatnonzero(high > low):
-                        p = int(at[w])
-                        found.update((int(text[p]), p, k) for k in members[low[w] : high[w]].tolist())
-        return found
+            known, keys, items, places = self.parts[size]
+            at = np.flatnonzero(known[(key & np.uint64(len(known) - 1)).astype(np.int64)])
+            text = np.searchsorted(words.first, at, "right") - 1
+            inside = at + size <= words.first[text + 1]
+            at, text = at[inside], text[inside]
+            low, high = np.searchsorted(keys, key[at]), np.searchsorted(keys, key[at], "right")
+            for w in np.flatnonzero(high > low).tolist():
+                t, p = int(text[w]), int(at[w])
+                for k, o in zip(items[low[w] : high[w]].tolist(), places[low[w] : high[w]].tolist(), strict=True):
+                    n, edits = len(self.items[k]), self.edits[k]
+                    yield t, k, max(int(words.first[t]), p - o - edits), min(int(words.first[t + 1]), p - o + n + edits)
 
     def matches(self, texts: pa.Array) -> list[tuple[int, int, int, int, int]]:
         """(text, item's place, distance, start byte, end byte) for each text and item in
         it, at the item's best run."""
         words = words_of(texts)
-        windows: dict[tuple[int, int], list[int]] = defaultdict(list)
-        for t, p, k in self.candidates(words):
-            windows[t, k].append(p)
+        regions: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
+        for t, k, a, b in self.candidates(words):
+            regions[t, k].append((a, b))
         offsets = buffer_of(texts)[1]
         out = []
-        for (t, k), places in sorted(windows.items()):
+        for (t, k), places in sorted(regions.items()):
             n, edits = len(self.items[k]), self.edits[k]
-            low, high = int(words.first[t]), int(words.first[t + 1])
-            best, seen = (edits + 1, 0, 0), -1
-            for p in sorted(places):
-                if p + n <= seen:
-                    continue  # the last region held this window
-                a, seen = max(low, p - edits), min(high, p + 2 * n + edits)
-                distance, end = edit_distance_within(self.masks[k], n, words.symbols[a:seen].tolist())
+            best = (edits + 1, 0, 0)
+            for a, b in _united(places):
+                distance, end = edit_distance_within(self.masks[k], n, words.symbols[a:b].tolist())
                 if distance < best[0]:
                     best = (distance, a, a + end)
             if best[0] <= edits:
@@ -185,26 +156,23 @@ class ItemIndex:
         return out
 
 
-def _embed(symbols: np.ndarray, at: np.ndarray, end: np.ndarray, size: int, embedding: int, samples: np.ndarray) -> np.ndarray:
-    """The sampled steps of one embedding, as a key for each sampling and start."""
-    keys = np.zeros((len(samples), len(at)), np.uint64)
-    where = at.copy()
-    padded = np.append(symbols, np.uint64(0))
-    salts = seeded(int(samples.max()) // 64 + 1, 100 + embedding)
-    choice = None
-    wanted = defaultdict(list)
-    for s, row in enumerate(samples.tolist()):
-        for j in row:
-            wanted[j].append(s)
-    for j in range(int(samples.max()) + 1):
-        if j % 64 == 0:
-            choice = mix(padded ^ salts[j // 64])
-        inside = where < end
-        place = np.where(inside, where, len(symbols))
-        for s in wanted.get(j, ()):
-            keys[s] = mix(keys[s] * np.uint64(3) + padded[place] * inside + np.uint64(j))
-        where += (choice[place] >> np.uint64(j % 64) & np.uint64(1)).astype(np.int64)
-    return keys
+def _rows_of_words(symbols: np.ndarray, most: int) -> Iterator[tuple[int, np.ndarray]]:
+    """For 1 to ``most`` words: the key of so many words in a row, by the first one."""
+    key = np.zeros(len(symbols), np.uint64)
+    for size in range(1, min(most, len(symbols)) + 1):
+        key = mix(key[: len(symbols) - size + 1] * np.uint64(3) + symbols[size - 1 :])
+        yield size, key
+
+
+def _united(places: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The places with those that overlap made one."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(places):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
 
 
 def item_blocks(benchmark: DataFrame) -> Iterator[ItemIndex]:

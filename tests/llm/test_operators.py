@@ -287,6 +287,31 @@ def test_decontamination(spark, docs):
     assert decontaminate.find_leaks(frame, bench.limit(0)).count() == 0
 
 
+def test_decontamination_of_long_edited_items():
+    """Mixed edits near the limit: each item that brute force finds, at its distance."""
+    rng = random.Random(21)
+    items = [prose(n, rng) for n in (1, 3, 4, 5, 7, 9, 14, 20, 21, 40, 58, 90, 150, 150, 250, 400, 500) for _ in range(4)]
+    texts = []
+    for item in items:
+        for rate in (0.15, 0.2):
+            w = item.split()
+            for _ in range(int(rate * len(w))):
+                at = rng.randrange(len(w))
+                w[at : at + rng.choice((0, 1, 1))] = [f"new{rng.random()}".replace(".", "")] * rng.choice((0, 1, 1))
+            texts.append(prose(rng.randrange(9), rng) + " " + " ".join(w) + " " + prose(60, rng))
+    index = decontaminate.ItemIndex(range(len(items)), items)
+    got = {(t, k): d for t, k, d, _, _ in index.matches(pa.array(texts))}
+    want = {}
+    for t, text in enumerate(texts):
+        symbols = decontaminate.words_of(pa.array([text])).symbols.tolist()
+        for k, n in enumerate(map(len, index.items)):
+            d, _ = decontaminate.edit_distance_within(index.masks[k], n, symbols)
+            if d <= index.edits[k]:
+                want[t, k] = d
+    assert got == want
+    assert sum(k == t // 2 for t, k in want) >= 0.9 * len(texts)
+
+
 def test_quality(spark):
     rng = random.Random(2)
     rows, labels = [], []
