@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabwise.llm.common import table, text_or_empty
+from tabwise.llm.standard_licenses import standard_texts
 
 #: The standard texts.
 MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
@@ -21,7 +22,7 @@ THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLI
 ISC = """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.
 
 THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""
-#: Licence, text: full texts with and without their title, and notices.
+#: Licence, text: those that the SQL holds; the query has the standard table besides.
 KNOWN = (
     ("MIT", MIT),
     ("MIT", "MIT License\n\n" + MIT),
@@ -78,8 +79,13 @@ def scan_licenses(docs: DataFrame, known: DataFrame) -> DataFrame:
     return found.groupBy("doc_id", "license").agg(F.max("whole").alias("whole"))
 
 
+def known_texts(spark: SparkSession) -> DataFrame:
+    """license, text: the build side of the query."""
+    return spark.createDataFrame([*KNOWN, *standard_texts()], "license string, text string")
+
+
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan_licenses(table(spark, sf_dir, "documents"), spark.createDataFrame(list(KNOWN), "license string, text string"))
+    return scan_licenses(table(spark, sf_dir, "documents"), known_texts(spark))
 
 
 def _canonical_sql(text: str) -> str:

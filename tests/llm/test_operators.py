@@ -18,6 +18,7 @@ from tabwise.llm import (
     packing,
     quality,
     sharding,
+    standard_licenses,
     token_files,
     url_filter,
     warc,
@@ -178,6 +179,18 @@ def test_license_scan(spark, none, monkeypatch):
     assert licenses.scan_licenses(docs, known.limit(0)).count() == 0
 
 
+def test_standard_licenses(spark):
+    read = lambda name: (standard_licenses.TEXTS / f"{name}.txt").read_text()
+    bsd = read("BSD-2-Clause").replace("<year> <owner>", "2020, A B\nAll rights reserved.".split("\n")[0])
+    texts = {name: read(name) for name in ("Apache-2.0", "GPL-3.0", "LGPL-2.1", "MPL-2.0", "CC-BY-SA-4.0", "CC0-1.0", "Unlicense", "GFDL-1.3")}
+    texts |= {"BSD-2-Clause": bsd, "MIT": "This project is licensed under the terms of the MIT license.", "AGPL-3.0": "SPDX-License-Identifier: AGPL-3.0-or-later"}
+    header = "// " + standard_licenses.APACHE_HEADER.replace("\n", "\n// ")
+    rows = [*texts.items(), ("Apache-2.0", "// Copyright 2020 A B\n//\n" + header), ("CC-BY-4.0", "Published under CC BY 4.0")]
+    docs = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string")
+    got = licenses.scan_licenses(docs, licenses.known_texts(spark)).collect()
+    assert {(r["doc_id"], r["license"]) for r in got if r["whole"]} == {(i, name) for i, (name, _) in enumerate(rows)}
+
+
 def test_configurations_reach_the_optimum():
     found = packing.configurations([60, 40, 30], [10, 10, 20], 100)
     assert sum(x for _, x in found) == pytest.approx(50 / 3)
