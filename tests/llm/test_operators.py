@@ -191,6 +191,24 @@ def test_standard_licenses(spark):
     assert {(r["doc_id"], r["license"]) for r in got if r["whole"]} == {(i, name) for i, (name, _) in enumerate(rows)}
 
 
+def test_licenses_within_texts(spark, monkeypatch):
+    mit, apache = licenses.MIT, (standard_licenses.TEXTS / "Apache-2.0.txt").read_text()
+    first, *rest = mit.split("\n\n")
+    cases = [
+        (f"# A project\n\nSome words.\n\n## License\n\n{mit}\n\nMore words.", False), (f"The MIT License (MIT)\n\nCopyright (c) 2020 A B\n\n{mit}", True),
+        (f"Copyright (c) 2020 A B\nAll rights reserved.\n\n{mit}", True), (f"MIT License\nCopyright Jane Doe\n{mit}\n\nint main() {{}}", False),
+        (f"Copyright Jane Doe\n\n{mit}", True), (first + "\n\nwords between\n\n" + "\n\n".join(rest), None), ("\n\n".join([*rest, first]), None),
+        ("\n\n".join([first, *rest, first, *rest]), False), ("\n\n".join([first, first, rest[0]]), None),
+    ]
+    rows = [(i, t) for i, (t, _) in enumerate(cases)] + [(90, f"Readme\n\n{apache}\n\nend"), (91, first), (91, "\n\n".join(rest))]
+    want = {(i, "MIT", w) for i, (_, w) in enumerate(cases) if w is not None} | {(90, "Apache-2.0", False)}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    known = spark.createDataFrame([("MIT", mit), ("Apache-2.0", apache)], "license string, text string")
+    for most in (licenses.MAX_BROADCAST, 0):
+        monkeypatch.setattr(licenses, "MAX_BROADCAST", most)
+        assert {tuple(r) for r in licenses.scan_licenses(docs, known).collect()} == want
+
+
 def test_configurations_reach_the_optimum():
     found = packing.configurations([60, 40, 30], [10, 10, 20], 100)
     assert sum(x for _, x in found) == pytest.approx(50 / 3)
