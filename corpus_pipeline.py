@@ -11,13 +11,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabwise.functions.staging import scratch_path
+from tabwise.functions.staging import scratch_path, stage
 from tabwise.llm import decontaminate, near_dedup, packing, quality
 from tabwise.llm.common import table
 from tabwise.llm.tokens import vocabulary
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
+#: Numbers the rows of a stage, as doc_id can be null or repeated.
+ROW = "row_of_stage"
 VOCABULARY, END_ID = "byte_bpe_50k.json", 2
 
 
@@ -27,11 +29,14 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each group of near-duplicates (five-word shingles, similarity 0.8) the
-    document with the least id; one whose id is null only if it is alike to no other."""
-    found = near_dedup.near_duplicates(docs)
-    others = found.where("doc_id is not null and not kept").select("doc_id").distinct()
-    return docs.join(others.hint("merge"), "doc_id", "left_anti").select(docs.columns)
+    """Keeps of each group of near-duplicates (five-word shingles, similarity 0.8) one row:
+    of those with the least id any one; one whose id is null only if no other has an id."""
+    rows = stage(docs.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
+    found = near_dedup.near_duplicates(rows.select(F.col(ROW).alias("doc_id"), "text"))
+    groups = rows.select(ROW, "doc_id").join(found.select(F.col("doc_id").alias(ROW), "component_id").hint("merge"), ROW)
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", ROW)).getField(ROW)
+    kept = groups.groupBy("component_id").agg(first.alias(ROW)).select(ROW)
+    return rows.join(kept.hint("merge"), ROW, "left_semi").select(docs.columns)
 
 
 def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -377,3 +377,16 @@ def test_pipeline(spark):
     kept = {r["doc_id"] for r in found.collect()}
     assert 0 < len(kept) < docs.count()
     assert {r["doc_id"] for r in packed.select("doc_id").distinct().collect()} == kept
+
+
+def test_pipeline_near_dedup_of_null_and_repeated_ids(spark):
+    import corpus_pipeline
+
+    rng = random.Random(8)
+    a, b, c, d = (prose(80, rng) for _ in range(4))
+    rows = [(5, a), (None, a), (None, a + " more"), (None, b), (None, b), (None, b + " more"), (7, c), (7, c), (7, d), (3, a + " and"), (None, None), (9, "")]
+    docs = spark.createDataFrame([(i, t, n) for n, (i, t) in enumerate(rows)], "doc_id long, text string, n int")
+    got = [tuple(r) for r in corpus_pipeline.one_of_each(spark, docs, "").collect()]
+    assert sorted(i for i, _, _ in got if i is not None) == [3, 7, 7, 9]
+    assert {t for i, t, _ in got if i == 7} == {c, d}
+    assert sorted(n for i, _, n in got if i is None)[-1] == 10 and sum(i is None for i, _, _ in got) == 2
