@@ -390,3 +390,30 @@ def test_pipeline_near_dedup_of_null_and_repeated_ids(spark):
     assert sorted(i for i, _, _ in got if i is not None) == [3, 7, 7, 9]
     assert {t for i, t, _ in got if i == 7} == {c, d}
     assert sorted(n for i, _, n in got if i is None)[-1] == 10 and sum(i is None for i, _, _ in got) == 2
+
+
+def test_pipeline_stages_against_plain_code(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(13)
+    texts = [prose(rng.randrange(30, 90), rng) for _ in range(12)]
+    texts += [texts[0] + " more words", texts[1], prose(20, rng) + " " + texts[2] + " " + prose(20, rng)]
+    items = [texts[2], prose(30, rng)]
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = alike(dict(enumerate(texts)), 5)
+    got = corpus_pipeline.one_of_each(spark, docs, "").collect()
+    assert {r["doc_id"] for r in got} == {i for i, x in found.items() if x[2]} and len(got) == 13
+    words = [[*re.findall(r"\w+", t.lower())] for t in texts]
+
+    def distance(item, text):
+        row = [0] * (len(text) + 1)
+        for i, p in enumerate(item, 1):
+            new = [i]
+            for j, t in enumerate(text, 1):
+                new.append(min(row[j - 1] + (p != t), row[j] + 1, new[-1] + 1))
+            row = new
+        return min(row)
+
+    clean = {i for i, w in enumerate(words) if all(distance(x, w) > len(x) // 5 for x in (re.findall(r"\w+", t.lower()) for t in items))}
+    assert {r["doc_id"] for r in corpus_pipeline.uncontaminated(spark, docs, str(tmp_path)).collect()} == clean == set(range(15)) - {2, 14}
