@@ -1,6 +1,8 @@
 """The registered queries at the smallest scale, against DuckDB."""
 
 import os
+import shutil
+import subprocess
 import sys
 
 import pytest
@@ -44,3 +46,20 @@ def test_query_equals_sql(spark, db, name):
     got = table_of(df.columns, df.collect())
     cursor = db.execute(entry.oracle_sql()[name])
     assert got == table_of([d[0] for d in cursor.description], cursor.fetchall())
+
+
+def test_entry_without_the_subpackage(tmp_path):
+    """A tree without the optional folders still imports and keeps the library's queries."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    shutil.copytree(os.path.join(root, "tabwise"), tmp_path / "tabwise", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    for keep_pipeline in (True, False):
+        place = tmp_path / ("with" if keep_pipeline else "without")
+        place.mkdir()
+        shutil.copytree(tmp_path / "tabwise", place / "tabwise")
+        for name in ["__spark_entry__.py"] + ["corpus_pipeline.py"] * keep_pipeline:
+            if os.path.exists(os.path.join(root, name)):
+                shutil.copy(os.path.join(root, name), place / name)
+        code = "import __spark_entry__ as e; print(len(e.queries()), 'pipeline' in e.queries(), set(e.oracle_sql()) == set(e.queries()))"
+        path = os.pathsep.join(p for p in sys.path if p and os.path.abspath(p) != root)
+        done = subprocess.run([sys.executable, "-c", code], cwd=place, env=os.environ | {"PYTHONPATH": path}, capture_output=True, text=True, check=True)
+        assert done.stdout.split() == [str(len(all_queries())), "False", "True"]
