@@ -6,20 +6,23 @@ have each length, and its size depends on the capacity alone:
 1. Large pieces, longest first, are cut into groups of equally many; each counts as
    long as its group's longest.  With these few sizes the mixes that fill a sequence
    (configurations) are optimised by a linear programme with column generation.
-2. The real pieces take the places.  Their true lengths leave room in the sequences,
-   which is counted by size of room.
+2. The real pieces take the places.  Runs of sequences with equal contents follow from
+   the counts, and with them the room that the true lengths leave.
 3. The pieces left over and the small ones go, longest first, each where it leaves the
    least room.  Sequences with equal room and pieces of equal length are handled
-   together, so this too works on counts.
+   together, so this too works on counts.  Sequences whose room is too small for usual
+   small pieces may be undone first; the better of a few such plans counts.
 
-The driver sees counts by length and by room.  Pieces are numbered within their length
-by Spark, and look their sequence up in the plan by (length, number).
+The driver sees counts by length.  Pieces are numbered within their length by Spark, and
+look their sequence up in the plan by (length, number).
 """
 
 from __future__ import annotations
 
+import itertools
 import struct
 import zlib
+from bisect import bisect_left, bisect_right
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -40,7 +43,11 @@ SMALL_PART = 4
 GROUPS = 160
 #: Rows that one numbering task is meant to hold.
 NUMBERED_ROWS = 1_000_000
-MAX_PIVOTS = 4000
+MAX_PIVOTS = 2000
+#: How far, in parts of it, the linear programme may end above its optimum.
+GAP = 1e-4
+#: Plans that are compared: sequences with room, but less than this, are undone.
+KEPT_ROOMS = (0, 16, 64, CAPACITY)
 
 
 def tokenized_pieces(docs: DataFrame, vocabulary_path: str, end_id: int, capacity: int = CAPACITY) -> DataFrame:
@@ -74,36 +81,39 @@ def tokenized_pieces(docs: DataFrame, vocabulary_path: str, end_id: int, capacit
 
 def configurations(sizes: list[int], demand: list[int], capacity: int) -> list[tuple[np.ndarray, float]]:
     """(copies of each size, sequences) of a linear programme's optimum: the fewest
-    sequences, in fractions, that hold ``demand`` pieces of each size."""
+    sequences, in fractions (to ``GAP``), that hold ``demand`` pieces of each size.
+
+    The inverse basis is kept by elementwise row operations: library calls for linear
+    algebra start threads of their own, which the driver's surroundings may not allow.
+    """
     m = len(sizes)
     size, d = np.array(sizes), np.array(demand, float)
     columns = np.diag(capacity // size).astype(float)
-    inverse = np.linalg.inv(columns)
-    x = inverse @ d
-    steps = np.arange(capacity + 1)
-    for pivot in range(MAX_PIVOTS):
-        if pivot % 64 == 63:
-            inverse = np.linalg.inv(columns)
-            x = inverse @ d
-        value = np.ones(m) @ inverse
-        # The most valuable content of one sequence, by room.
-        best, pick = np.zeros(capacity + 1), np.full(capacity + 1, -1)
-        useful = np.flatnonzero(value > 1e-12)
-        for c in steps[size[useful].min() :]:
-            fit = useful[size[useful] <= c]
-            gain = value[fit] + best[c - size[fit]]
-            k = int(gain.argmax())
-            best[c], pick[c] = (gain[k], fit[k]) if gain[k] > best[c - 1] + 1e-12 else (best[c - 1], -1)
-        if best[capacity] <= 1 + 1e-7:
+    inverse = np.diag(1.0 / (capacity // size))
+    x = d * inverse.diagonal()
+    most = capacity // int(size.min())
+    room = np.arange(capacity + 1)[None, :] - size[:, None]  # what a size leaves of each room
+    room[room < 0] = capacity + 1  # the last place holds "does not fit"
+    for _ in range(MAX_PIVOTS):
+        value = inverse.sum(axis=0)
+        # The most valuable content of one sequence, by room and number of pieces.
+        layers = [np.append(np.zeros(capacity + 1), -np.inf)]
+        picks = []
+        for _ in range(most):
+            gain = value[:, None] + layers[-1][room]
+            pick = gain.argmax(axis=0)
+            top = gain[pick, np.arange(capacity + 1)]
+            better = top > layers[-1][:-1] + 1e-12
+            picks.append(np.where(better, pick, -1))
+            layers.append(np.append(np.where(better, top, layers[-1][:-1]), -np.inf))
+        if layers[-1][capacity] <= 1 + GAP:
             break
         new, c = np.zeros(m), capacity
-        while c > 0:
-            if pick[c] < 0:
-                c -= 1
-            else:
+        for pick in reversed(picks):
+            if pick[c] >= 0:
                 new[pick[c]] += 1
                 c -= size[pick[c]]
-        change = inverse @ new
+        change = (inverse * new).sum(axis=1)
         rows = np.flatnonzero(change > 1e-9)
         out = rows[np.argmin(x[rows] / change[rows])]
         step = x[out] / change[out]
@@ -111,100 +121,146 @@ def configurations(sizes: list[int], demand: list[int], capacity: int) -> list[t
         x[out] = step
         columns[:, out] = new
         inverse[out] /= change[out]
-        others = np.arange(m) != out
-        inverse[others] -= np.outer(change[others], inverse[out])
+        change[out] = 0
+        inverse -= change[:, None] * inverse[out]
     return [(columns[:, j].astype(int), max(0.0, float(x[j]))) for j in range(m)]
 
 
+@dataclass
+class Sequences:
+    """``n`` sequences with equal contents: of each part (length, low, per) sequence j holds
+    the pieces numbered low + j * per and on, ``per`` of them."""
+
+    n: int
+    room: int
+    parts: list[tuple[int, int, int]]
+
+
 @dataclass
 class Plan:
-    """Where the pieces of a length go, by their number: ``places`` rows are (length,
-    low, n, skip, per, target, base): number i is in sequence base + (skip + i - low) // per
-    among those of ``target`` (-1: sequences this plan opened, from ``base``)."""
+    """Where the pieces of a length go, by their number: ``places`` rows are (length, low,
+    n, per, base): number i from low on, n of them, is in sequence base + (i - low) // per."""
 
     opened: int = 0
-    places: list[tuple[int, int, int, int, int, int, int]] = field(default_factory=list)
-    left: dict[int, list[tuple[int, int]]] = field(default_factory=lambda: defaultdict(list))  # length: (low, n)
+    places: list[tuple[int, int, int, int, int]] = field(default_factory=list)
 
 
-def plan_large(counts: dict[int, int], capacity: int, groups: int = GROUPS) -> Plan:
-    """Sequences for the pieces whose lengths are in ``counts``, but for those left over."""
-    plan, lengths = Plan(), sorted(counts, reverse=True)
-    total = sum(counts.values())
+def plan_large(counts: dict[int, int], capacity: int, groups: int = GROUPS) -> tuple[list[Sequences], dict[int, list[tuple[int, int]]]]:
+    """Sequences for the pieces whose lengths are in ``counts``, and the pieces left over:
+    by length, runs (low, n) of numbers."""
+    made: list[Sequences] = []
+    left: dict[int, list[tuple[int, int]]] = defaultdict(list)
+    lengths, total = sorted(counts, reverse=True), sum(counts.values())
     if not total:
-        return plan
+        return made, left
     first, at = {}, 0  # of each length, in the order from the longest
     for length in lengths:
         first[length], at = at, at + counts[length]
-    edges = [total * i // groups for i in range(groups + 1)]
+    starts = [first[n] for n in lengths]
     by_size: dict[int, list[int]] = {}  # rounded-up size: [low, high) in that order
+    edges = [total * i // groups for i in range(groups + 1)]
     for low, high in zip(edges, edges[1:], strict=False):
         if low < high:
-            longest = max(n for n in lengths if first[n] + counts[n] > low >= first[n])
+            longest = lengths[bisect_right(starts, low) - 1]
             by_size.setdefault(longest, [low, high])[1] = high
     sizes = sorted(by_size, reverse=True)
     taken = {s: by_size[s][0] for s in sizes}
 
-    def place(low: int, high: int, per: int, base: int) -> None:
-        for length in lengths:
-            a, b = max(low, first[length]), min(high, first[length] + counts[length])
-            if a < b:
-                plan.places.append((length, a - first[length], b - a, a - low, per, -1, base))
+    def runs(low: int, high: int) -> list[tuple[int, int, int]]:
+        """(length, low, n) of the places [low, high) in the order from the longest."""
+        out = []
+        while low < high:
+            k = bisect_right(starts, low) - 1
+            end = min(high, starts[k] + counts[lengths[k]])
+            out.append((lengths[k], low - starts[k], end - low))
+            low = end
+        return out
 
     for copies, share in configurations(sizes, [by_size[s][1] - by_size[s][0] for s in sizes], capacity):
-        bins = int(share + 1e-6)
-        for k in np.flatnonzero(copies):
-            size = sizes[k]
-            bins = min(bins, (by_size[size][1] - taken[size]) // int(copies[k]))
+        bins, slots = int(share + 1e-6), [(sizes[k], int(copies[k])) for k in np.flatnonzero(copies)]
+        for size, per in slots:
+            bins = min(bins, (by_size[size][1] - taken[size]) // per)
         if not bins:
             continue
-        for k in np.flatnonzero(copies):
-            size, per = sizes[k], int(copies[k])
-            place(taken[size], taken[size] + bins * per, per, plan.opened)
+        # Where a slot goes on to the next length, a new run of equal sequences starts.
+        cuts = {0, bins}
+        for size, per in slots:
+            for p in starts[bisect_right(starts, taken[size]) : bisect_left(starts, taken[size] + bins * per)]:
+                cuts |= {(p - taken[size]) // per, -(-(p - taken[size]) // per)}
+        for a, b in itertools.pairwise(sorted(cuts)):
+            parts = []
+            for size, per in slots:
+                found = runs(taken[size] + a * per, taken[size] + b * per)
+                parts += [(length, low, n // (b - a)) for length, low, n in found]
+            made.append(Sequences(b - a, capacity - sum(n * per for n, _, per in parts), parts))
+        for size, per in slots:
             taken[size] += bins * per
-        plan.opened += bins
     for s in sizes:
-        for length in lengths:
-            a, b = max(taken[s], first[length]), min(by_size[s][1], first[length] + counts[length])
-            if a < b:
-                plan.left[length].append((a - first[length], b - a))
-    return plan
+        for length, low, n in runs(taken[s], by_size[s][1]):
+            left[length].append((low, n))
+    return made, left
 
 
-def plan_best_fit(items: dict[int, list[tuple[int, int]]], rooms: dict[int, int], capacity: int, opened: int) -> Plan:
-    """Each piece, longest first, where it leaves the least room.
+def plan_best_fit(items: dict[int, list[tuple[int, int]]], rooms: dict[int, list[tuple[int, int]]], capacity: int, plan: Plan) -> Plan:
+    """Adds each piece, longest first, where it leaves the least room.
 
-    ``items``: by length, the runs (low, n) of numbers.  ``rooms``: how many sequences
-    have each size of room.  Sequences that get pieces are named by (room at the start,
-    number among those); new ones by -1 and their number from ``opened`` on.
+    ``items``: by length, the runs (low, n) of numbers.  ``rooms``: by size of room, the
+    runs (base, n) of opened sequences that have it; others are opened as needed.
     """
-    plan = Plan(opened)
-    cohorts: dict[int, list[tuple[int, int, int]]] = defaultdict(list)  # room: (target, base, n)
-    for room, n in rooms.items():
-        if room and n:
-            cohorts[room].append((room, 0, n))
+    cohorts = {room: list(runs) for room, runs in rooms.items() if room}
+    open_rooms = sum(1 << room for room in cohorts)
     for length in sorted(items, reverse=True):
         for low, n in items[length]:
             while n:
-                room = min((r for r, c in cohorts.items() if r >= length and c), default=None)
-                if room is None:
-                    new = -(-n // (capacity // length))
-                    cohorts[capacity].append((-1, plan.opened, new))
-                    plan.opened += new
-                    room = capacity
+                fit = open_rooms >> length
+                if fit:
+                    room = length + (fit & -fit).bit_length() - 1
+                    base, size = cohorts[room].pop()
+                    if not cohorts[room]:
+                        open_rooms &= ~(1 << room)
+                else:
+                    room, base, size = capacity, plan.opened, -(-n // (capacity // length))
+                    plan.opened += size
                 per = room // length
-                target, base, size = cohorts[room].pop()
                 used, per = (min(size, n // per), per) if n >= per else (1, n)
-                rest = room - per * length
-                plan.places.append((length, low, used * per, 0, per, target, base))
+                plan.places.append((length, low, used * per, per, base))
                 low, n = low + used * per, n - used * per
-                if rest:
-                    cohorts[rest].append((target, base, used))
-                if used < size:
-                    cohorts[room].append((target, base + used, size - used))
+                for rest, run in ((room - per * length, (base, used)), (room, (base + used, size - used))):
+                    if rest and run[1]:
+                        cohorts.setdefault(rest, []).append(run)
+                        open_rooms |= 1 << rest
     return plan
 
 
+def plan_packing(counts: dict[int, int], capacity: int) -> Plan:
+    """The plan with the fewest sequences over a few ways to go on from the configurations.
+
+    All sequences that the configurations fill are kept, or only those whose room is none
+    or large enough for usual small pieces; the others' pieces are packed anew by best fit
+    with the small ones.
+    """
+    small = capacity // SMALL_PART
+    made, left = plan_large({n: c for n, c in counts.items() if n > small}, capacity)
+    best = None
+    for least in KEPT_ROOMS:
+        plan, rooms = Plan(), defaultdict(list)
+        items = {n: list(runs) for n, runs in left.items()} | {n: [(0, c)] for n, c in counts.items() if n <= small}
+        for s in made:
+            if s.room and s.room < least:
+                for length, low, per in s.parts:
+                    items.setdefault(length, []).append((low, s.n * per))
+                continue
+            plan.places += [(length, low, s.n * per, per, plan.opened) for length, low, per in s.parts]
+            rooms[s.room].append((plan.opened, s.n))
+            plan.opened += s.n
+        plan = plan_best_fit(items, rooms, capacity, plan)
+        if best is None or plan.opened < best.opened:
+            best = plan
+        if best.opened * capacity < sum(n * c for n, c in counts.items()) + capacity:
+            break  # no plan has fewer
+    return best
+
+
 def numbered(rows: DataFrame, kind: str, by: list[str], total: int) -> DataFrame:
     """Adds ``number``: 0, 1, ... among the rows of equal ``kind``, in no set order.
 
@@ -225,19 +281,7 @@ def numbered(rows: DataFrame, kind: str, by: list[str], total: int) -> DataFrame
     )
 
 
-PLACES = "length long, low long, n long, skip long, per long, target long, base long"
-
-
-def _look_up(rows: DataFrame, plan: Plan) -> DataFrame:
-    """Adds target and place (the sequence's number among the target's)."""
-    places = rows.sparkSession.createDataFrame(plan.places, PLACES)
-    # At most a few rows for each length and group.
-    return (
-        rows.join(F.broadcast(places), "length")
-        .where((F.col("number") >= F.col("low")) & (F.col("number") < F.col("low") + F.col("n")))
-        .withColumn("place", F.col("base") + F.floor((F.col("skip") + F.col("number") - F.col("low")) / F.col("per")))
-        .drop("low", "n", "skip", "per", "base")
-    )
+PLACES = "length long, low long, n long, per long, base long"
 
 
 def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
@@ -254,28 +298,20 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     counts = {r["length"]: r["n"] for r in rest.groupBy("length").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return full
-    total = sum(counts.values())
-    rest = stage(numbered(rest, "length", ["doc_id", "piece", "ids_crc32"], total), "numbered-pieces")
-
-    small = capacity // SMALL_PART
-    first = plan_large({n: c for n, c in counts.items() if n > small}, capacity)
-    items = dict(first.left) | {n: [(0, c)] for n, c in counts.items() if n <= small}
-    placed = _look_up(rest, first).select(*columns, F.col("place").alias("sequence_id"))
-    rooms = placed.groupBy("sequence_id").agg((capacity - F.sum("length")).alias("room")).where("room > 0")
-    n_rooms = {r["room"]: r["n"] for r in rooms.groupBy("room").agg(F.count("*").alias("n")).collect()}
-    second = plan_best_fit(items, n_rooms, capacity, first.opened)
-    found = _look_up(rest, second)
-    new = found.where("target = -1").select(*columns, F.col("place").alias("sequence_id"))
-    open_rooms = numbered(rooms, "room", ["sequence_id"], sum(n_rooms.values())).select(
-        F.col("room").alias("target"), F.col("number").alias("place"), "sequence_id"
+    rest = stage(numbered(rest, "length", ["doc_id", "piece", "ids_crc32"], sum(counts.values())), "numbered-pieces")
+    # A few rows for each length and group: the plan's size depends on the capacity alone.
+    places = spark.createDataFrame(plan_packing(counts, capacity).places, PLACES)
+    placed = (
+        rest.join(F.broadcast(places), "length")
+        .where((F.col("number") >= F.col("low")) & (F.col("number") < F.col("low") + F.col("n")))
+        .withColumn("sequence_id", F.col("base") + F.floor((F.col("number") - F.col("low")) / F.col("per")))
     )
-    filled = found.where("target >= 0").join(open_rooms, ["target", "place"]).select(*columns, "sequence_id")
     within = Window.partitionBy("sequence_id").orderBy("doc_id", "piece", "ids_crc32").rowsBetween(
         Window.unboundedPreceding, 0
     )
-    mixed = placed.unionByName(new).unionByName(filled)  # a sequence holds at most ``capacity`` pieces
-    mixed = mixed.withColumn("offset", F.sum("length").over(within) - F.col("length"))
-    return full.unionByName(mixed)
+    # A sequence holds at most ``capacity`` pieces.
+    placed = placed.select(*columns, "sequence_id").withColumn("offset", F.sum("length").over(within) - F.col("length"))
+    return full.unionByName(placed)
 
 
 def pack_documents(docs: DataFrame, vocabulary_path: str, end_id: int, capacity: int = CAPACITY) -> DataFrame:
