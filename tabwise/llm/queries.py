@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tabwise.llm import (
+    conversations,
     decontaminate,
     fingerprints,
     licenses,
@@ -34,6 +35,7 @@ def all_queries() -> dict[str, Query]:
         "op8_fingerprints": fingerprints.op8_fingerprints,
         "op9_url_filter": url_filter.op9_url_filter,
         "op10_quality": quality.op10_quality,
+        "op12_conversation_repair": conversations.op12_conversation_repair,
     }
 
 
