@@ -25,15 +25,15 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def chunks(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa.RecordBatch]:
-    """The batches in slices of about ``CHUNK_BYTES`` of text, one row at least."""
+def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", size: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of about ``size`` bytes of text, one row at least."""
     for batch in batches:
         column = batch.column(batch.schema.get_field_index(text))
         offsets = np.frombuffer(column.buffers()[1], np.int32 if column.type == pa.string() else np.int64)
         offsets = offsets[column.offset : column.offset + len(column) + 1]
         start = 0
         while start < len(column):
-            end = int(np.searchsorted(offsets, offsets[start] + CHUNK_BYTES, side="right")) - 1
+            end = int(np.searchsorted(offsets, offsets[start] + size, side="right")) - 1
             end = min(max(end, start + 1), len(column))
             yield batch.slice(start, end - start)
             start = end

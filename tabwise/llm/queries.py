@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tabwise.llm import (
+    collocations,
     conversations,
     decontaminate,
     fingerprints,
@@ -16,6 +17,7 @@ from tabwise.llm import (
     quality,
     sharding,
     token_files,
+    top_k,
     url_filter,
     warc,
 )
@@ -35,7 +37,9 @@ def all_queries() -> dict[str, Query]:
         "op8_fingerprints": fingerprints.op8_fingerprints,
         "op9_url_filter": url_filter.op9_url_filter,
         "op10_quality": quality.op10_quality,
+        "op11_top_k": top_k.op11_top_k,
         "op12_conversation_repair": conversations.op12_conversation_repair,
+        "op13_collocations": collocations.op13_collocations,
     }
 
 
@@ -45,4 +49,7 @@ def all_oracles() -> dict[str, str]:
         "op3_license_scan": licenses.OP3_SQL,
         "op7_warc": warc.OP7_SQL,
         "op9_url_filter": url_filter.OP9_SQL,
+        "op11_top_k": top_k.op11_top_k,
+        "op11_top_k": top_k.OP11_SQL,
+        "op13_collocations": collocations.OP13_SQL,
     }
