@@ -63,6 +63,48 @@ def number_of(df: DataFrame, name: str) -> Column:
     return value_of(df, name).cast("double")
 
 
+def summable(df: DataFrame, name: str) -> Column:
+    """The column in a type whose sum neither overflows nor loses digits; see ``exact_sum``."""
+    data_type = df.schema[name].dataType
+    if isinstance(data_type, T.BooleanType):
+        return ref(name).cast("bigint")
+    if isinstance(data_type, T.LongType):
+        return ref(name).cast("decimal(19,0)")
+    if isinstance(data_type, T.IntegralType):
+        return ref(name).cast("bigint")
+    return ref(name) if isinstance(data_type, T.DecimalType) else number_of(df, name)
+
+
+#: Beyond this a double does not fit the single-precision half of a pair.
+PAIR_LIMIT = 1e38
+
+
+def exact_sum(value: Column, data_type: T.DataType) -> Column:
+    """The sum of ``summable`` values of a column of that type.
+
+    Whole numbers and decimals are summed as such, in a wider type.  A double is summed
+    as a pair: its first 24 bits, which add up without rounding as long as the total is no
+    more than 2**28 times the single values, and the rest, 2**24 times smaller.  So cents
+    survive, and the order of addition does not show.
+    """
+    if isinstance(data_type, (T.BooleanType, T.IntegralType, T.DecimalType)):
+        return F.sum(value)
+    fits = F.abs(value) < PAIR_LIMIT
+    coarse = F.when(fits, value.cast("float").cast("double")).otherwise(value)
+    return F.sum(coarse) + F.sum(F.when(fits, value - coarse).when(value.isNotNull(), 0.0))
+
+
+def exact_total(df: DataFrame, name: str) -> Column:
+    """The exact sum of a column; 0 without values."""
+    return F.coalesce(exact_sum(summable(df, name), df.schema[name].dataType), F.lit(0))
+
+
+def exact_mean(df: DataFrame, name: str) -> Column:
+    """The exact sum as a double, by the number of values; NULL without values."""
+    value = summable(df, name)
+    return F.try_divide(exact_sum(value, df.schema[name].dataType).cast("double"), F.count(value))
+
+
 def contains_any(name: Column, words: Iterable[str]) -> Column:
     """True where the lower-cased text holds any of the (plain) words."""
     return F.lower(name).rlike("|".join(words))

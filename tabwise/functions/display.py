@@ -22,6 +22,11 @@ def count(value: Column) -> Column:
     return F.format_number(value, 0)
 
 
+def flag_count(value: Column) -> Column:
+    """A count of flags as plain digits; a negative one counts rows, and is grouped."""
+    return F.when(value > 0, value.cast("string")).otherwise(count(F.abs(value)))
+
+
 def every_digit(value: Column) -> Column:
     """Grouped, with all decimals the number has and at least one."""
     return _formatted(value, "#,##0.0###############")

@@ -1,20 +1,32 @@
 """Chart series: trends, top-N, counts, scatter points, correlations.
 
 A batch of charts is returned in long form, one row per drawn value:
-``chart_id, chart_type, slot, pos, label, series, x, value``.
+``chart_id, chart_type, slot, title, pos, label, series, x, value``.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Iterator, Sequence
 from functools import reduce
 from itertools import combinations
 from typing import NamedTuple
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabwise.functions.columns import by_position, entries_per_row, number_of, ref, value_of
+from tabwise.functions.columns import (
+    PAIR_LIMIT,
+    by_position,
+    entries_per_row,
+    exact_sum,
+    number_of,
+    ref,
+    summable,
+    value_of,
+)
 from tabwise.functions.dates import date_of, month_label
 
 TOP_CATEGORIES = 10
@@ -25,19 +37,23 @@ MAX_CHARTS = 6
 PRIMARY_CHARTS = 4
 TOP_SEGMENTS = 5
 PAIRS_PER_PASS = 300
-SUMS_PER_PASS = 64
+#: A spread this far below the squares of the values may be rounding.
+LOST_SPREAD = 1e-9
 
 
 # --- single series -----------------------------------------------------------
 
 
 def _sum_by(df: DataFrame, label: Column, y: str) -> DataFrame:
-    """(label, value): totals per label; NULL labels dropped, empty sums are 0."""
+    """(label, value): totals per label; NULL labels dropped, empty sums are 0.
+
+    Whole numbers and decimals stay exact, in a wider type of their own.
+    """
     return (
-        df.select(label.alias("label"), number_of(df, y).alias("v"))
+        df.select(label.alias("label"), summable(df, y).alias("v"))
         .where(F.col("label").isNotNull())
         .groupBy("label")
-        .agg(F.coalesce(F.sum("v"), F.lit(0.0)).alias("value"))
+        .agg(F.coalesce(exact_sum(F.col("v"), df.schema[y].dataType), F.lit(0)).alias("value"))
     )
 
 
@@ -135,15 +151,16 @@ def segment_means(
 def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(col_a, col_b, r): Pearson correlation of all pairs, both ways, and the diagonal.
 
-    Over rows that have both values; 0 where it is undefined, as for a constant
-    column.  A first pass finds counts and means.  Pairs of columns without gaps
-    are then plain sums of centred products in one aggregate; pairs with gaps
-    need statistics of their common rows and are summed up pair by pair.  Either
-    way a task shuffles one small row per pair at most.
+    Over rows that have both values; 0 where it is undefined, as for a constant column.
+    Two scans whatever the number of columns: one finds counts, means and ranges, and one
+    adds up Gram matrices of the centred and scaled columns, and of their masks, so that
+    every pair gets the sums over its common rows.  A pair whose common rows leave hardly
+    any spread, or a column with infinities, is summed up by itself in one more.
     """
     columns = list(dict.fromkeys(columns))
+    spark = df.sparkSession
     if not columns:
-        return df.sparkSession.createDataFrame([], "col_a string, col_b string, r double")
+        return spark.createDataFrame([], "col_a string, col_b string, r double")
     numbers = df.select(*[number_of(df, c).alias(f"n{i}") for i, c in enumerate(columns)])
     facts = [
         agg(f"n{i}").alias(f"{name}{i}")
@@ -152,49 +169,99 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     ]
     seen = numbers.agg(F.count("*").alias("rows"), *facts).first()
     varying = [i for i in range(len(columns)) if seen[f"low{i}"] != seen[f"high{i}"]]
-    whole = {i for i in varying if seen[f"n{i}"] == seen["rows"]}
-    means = {i: seen[f"mean{i}"] for i in whole}
-
-    pairs = list(combinations(varying, 2))
-    dense = [p for p in pairs if whole.issuperset(p)]
-    gappy = [p for p in pairs if not whole.issuperset(p)]
-    passes = [_dense_pass(numbers, means, chunk) for chunk in _chunks(dense, SUMS_PER_PASS)]
-    passes += [_gappy_pass(numbers, chunk) for chunk in _chunks(gappy, PAIRS_PER_PASS)]
-    cells = F.array(F.struct("a", "b", "r"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"), "r"))
-    both_ways = [p.select(F.inline(cells)) for p in passes]
+    tame, scales = [], {}
+    for i in varying:
+        mean, low, high = (seen[f"{name}{i}"] for name in ("mean", "low", "high"))
+        scales[i] = max(abs(high - mean), abs(low - mean))
+        if math.isfinite(mean) and 0 < scales[i] < math.inf:
+            tame.append(i)
+    gaps = [i for i in tame if seen[f"n{i}"] < seen["rows"]]
+    known = {}
+    apart = [p for p in combinations(varying, 2) if not set(p) <= set(tame)]
+    if len(tame) > 1:
+        sums = _gram_sums(numbers, tame, {i: (seen[f"mean{i}"], scales[i]) for i in tame}, gaps)
+        known, unsure = _from_sums(sums)
+        apart += unsure
+    for chunk in _chunks(apart, PAIRS_PER_PASS):
+        known |= {(r["a"], r["b"]): r["r"] for r in _gappy_pass(numbers, chunk).collect()}
     # What is left is known: 1 on the diagonal, 0 for columns that do not vary.
-    fixed = [
-        (a, b, 1.0 if a == b and a in varying else 0.0)
+    cells = [
+        (columns[a], columns[b], 1.0 if a == b and a in varying else known.get((min(a, b), max(a, b)), 0.0))
         for a in range(len(columns))
         for b in range(len(columns))
-        if a == b or not (a in varying and b in varying)
     ]
-    known = df.sparkSession.createDataFrame(fixed, "a int, b int, r double")
-    names = F.array(*[F.lit(c) for c in columns])
-    return reduce(DataFrame.unionByName, [*both_ways, known]).select(
-        F.get(names, F.col("a")).alias("col_a"), F.get(names, F.col("b")).alias("col_b"), "r"
-    )
+    return spark.createDataFrame(cells, "col_a string, col_b string, r double")
 
 
 def _chunks(items: Sequence, size: int) -> list[Sequence]:
     return [items[i : i + size] for i in range(0, len(items), size)]
 
 
-def _dense_pass(
-    numbers: DataFrame, means: dict[int, float], pairs: Sequence[tuple[int, int]]
+#: Common rows, products, and the sums of values and squares of a and of b over them.
+SUMS = ("n", "sum_ab", "sum_a", "sum_b", "sum_aa", "sum_bb")
+
+
+def _gram_sums(
+    numbers: DataFrame, used: Sequence[int], centres: dict[int, tuple[float, float]], gaps: Sequence[int]
 ) -> DataFrame:
-    used = sorted({i for pair in pairs for i in pair})
-    centred = numbers.select(*[(F.col(f"n{i}") - means[i]).alias(f"d{i}") for i in used])
-    products = [*pairs, *[(i, i) for i in used]]
-    sums = centred.agg(
-        *[F.sum(F.col(f"d{i}") * F.col(f"d{j}")).alias(f"s{i}_{j}") for i, j in products]
-    )
-    rows = []
-    for i, j in pairs:
-        spread = F.sqrt(F.col(f"s{i}_{i}")) * F.sqrt(F.col(f"s{j}_{j}"))
-        r = F.coalesce(F.nanvl(F.try_divide(F.col(f"s{i}_{j}"), spread), F.lit(0.0)), F.lit(0.0))
-        rows.append(F.struct(F.lit(i).alias("a"), F.lit(j).alias("b"), r.alias("r")))
-    return sums.select(F.inline(F.array(*rows)))
+    """(a, b, *SUMS) for every pair of columns, a < b.
+
+    A task multiplies its batches, values by values and values by masks, and sends one
+    row a pair; these are added up by pair, so no task or the driver holds a matrix of rows.
+    """
+    k = len(used)
+    mean, scale = (np.array([centres[i][j] for i in used]) for j in (0, 1))
+    any_gaps = bool(gaps)
+    rows, cols = np.triu_indices(k, 1)
+    names = np.array(used, np.int32)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, products = 0, np.zeros((k, k))
+        common, sums, squares = np.zeros((k, k)), np.zeros((k, k)), np.zeros((k, k))
+        for batch in batches:
+            total += len(batch)
+            values = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns]).astype(float)
+            values = (values - mean) / scale
+            if any_gaps:
+                mask = ~np.isnan(values)
+                values[~mask] = 0.0
+                mask = mask.astype(float)
+                common += mask.T @ mask
+                sums += values.T @ mask
+                squares += (values * values).T @ mask
+            else:
+                sums += values.sum(axis=0)[:, None]
+                squares += (values * values).sum(axis=0)[:, None]
+            products += values.T @ values
+        if total:
+            if not any_gaps:
+                common += total
+            parts = (common, products, sums, sums.T, squares, squares.T)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(names[rows]), pa.array(names[cols]), *[pa.array(p[rows, cols]) for p in parts]], ["a", "b", *SUMS]
+            )
+
+    schema = "a int, b int, " + ", ".join(f"{n} double" for n in SUMS)
+    found = numbers.select(*[f"n{i}" for i in used]).mapInArrow(run, schema)
+    return found.groupBy("a", "b").agg(*[F.sum(n).alias(n) for n in SUMS])
+
+
+def _from_sums(sums: DataFrame) -> tuple[dict[tuple[int, int], float], list[tuple[int, int]]]:
+    """r of each pair, and the pairs whose spread is lost in rounding; one row a pair."""
+    known, unsure = {}, []
+    for r in sums.collect():
+        pair, n = (r["a"], r["b"]), r["n"]
+        if n < 2:
+            known[pair] = 0.0
+            continue
+        squares = [r["sum_aa"], r["sum_bb"]]
+        spreads = [q - s * s / n for q, s in zip(squares, (r["sum_a"], r["sum_b"]))]
+        if any(s <= LOST_SPREAD * q for s, q in zip(spreads, squares)):
+            unsure.append(pair)
+            continue
+        value = (r["sum_ab"] - r["sum_a"] * r["sum_b"] / n) / (math.sqrt(spreads[0]) * math.sqrt(spreads[1]))
+        known[pair] = max(-1.0, min(1.0, value))
+    return known, unsure
 
 
 def _gappy_pass(numbers: DataFrame, pairs: Sequence[tuple[int, int]]) -> DataFrame:
@@ -248,14 +315,13 @@ def chart_type_of(x_role: Column, y_role: Column, x_distinct: Column, asked: Col
     )
 
 
-def chart_types(
-    columns: DataFrame, pairs: Sequence[tuple], max_charts: int | None = MAX_CHARTS
-) -> DataFrame:
-    """(pos, x_col, y_col, title, chart_type) for asked (x, y[, type[, title]]) pairs.
+#: Why an asked pair gets no chart.
+NO_COLUMN, IDENTIFIER = "no such column", "identifier"
+ASKED_BEFORE, BEYOND_LIMIT = "asked before", "beyond the limit"
 
-    Pairs with an Identifier, with a column the table lacks, or asked before
-    are left out; the first ``max_charts`` of the others remain, None for all.
-    """
+
+def _judged_pairs(columns: DataFrame, pairs: Sequence[tuple], max_charts: int | None) -> DataFrame:
+    """The asked pairs with their chart types, and the reason for those left out."""
     full = [(*p, *([None] * (4 - len(p)))) for p in pairs]
     asked = columns.sparkSession.createDataFrame(
         [(i, *p) for i, p in enumerate(full)],
@@ -272,15 +338,25 @@ def chart_types(
     def usable(column: str, found: str) -> Column:
         return F.col(column).isNull() | F.coalesce(F.col(found) != "Identifier", F.lit(False))
 
-    chosen = (
-        asked.join(x_side, "x_col", "left")
-        .join(y_side, "y_col", "left")
-        .where(usable("x_col", "x_role") & usable("y_col", "y_role"))
+    known = asked.join(x_side, "x_col", "left").join(y_side, "y_col", "left")
+    fit = usable("x_col", "x_role") & usable("y_col", "y_role")
+    repeat = F.row_number().over(Window.partitionBy("x_col", "y_col", "fit").orderBy("pos"))
+    kept = F.col("fit") & (F.col("repeat") == 1)
+    # One row per asked pair.
+    drawn = F.count_if(kept).over(Window.orderBy("pos"))
+    missing = (F.col("x_col").isNotNull() & F.col("x_role").isNull()) | (
+        F.col("y_col").isNotNull() & F.col("y_role").isNull()
+    )
+    reason = (
+        F.when(missing, NO_COLUMN)
+        .when(~F.col("fit"), IDENTIFIER)
+        .when(F.col("repeat") > 1, ASKED_BEFORE)
+        .when(F.lit(False) if max_charts is None else F.col("drawn") > max_charts, BEYOND_LIMIT)
     )
-    repeat = F.row_number().over(Window.partitionBy("x_col", "y_col").orderBy("pos"))
-    charts = (
-        chosen.withColumn("repeat", repeat)
-        .where("repeat = 1")
+    return (
+        known.withColumn("fit", fit)
+        .withColumn("repeat", repeat)
+        .withColumn("drawn", drawn)
         .select(
             "pos",
             "x_col",
@@ -289,10 +365,29 @@ def chart_types(
             chart_type_of(
                 F.col("x_role"), F.col("y_role"), F.col("x_distinct"), F.col("asked")
             ).alias("chart_type"),
+            reason.alias("reason"),
         )
-        .orderBy("pos")
     )
-    return charts if max_charts is None else charts.limit(max_charts)
+
+
+def chart_types(
+    columns: DataFrame, pairs: Sequence[tuple], max_charts: int | None = MAX_CHARTS
+) -> DataFrame:
+    """(pos, x_col, y_col, title, chart_type) for asked (x, y[, type[, title]]) pairs.
+
+    Pairs with an Identifier, with a column the table lacks, or asked before
+    are left out; the first ``max_charts`` of the others remain, None for all.
+    """
+    judged = _judged_pairs(columns, pairs, max_charts)
+    return judged.where(F.col("reason").isNull()).drop("reason").orderBy("pos")
+
+
+def left_out(
+    columns: DataFrame, pairs: Sequence[tuple], max_charts: int | None = MAX_CHARTS
+) -> DataFrame:
+    """(pos, x_col, y_col, reason): the asked pairs that get no chart."""
+    judged = _judged_pairs(columns, pairs, max_charts)
+    return judged.where(F.col("reason").isNotNull()).select("pos", "x_col", "y_col", "reason").orderBy("pos")
 
 
 def plan_charts(
@@ -315,24 +410,33 @@ def plan_charts(
     return charts
 
 
+class Limits(NamedTuple):
+    """How many values a chart of a batch draws; None for all."""
+
+    categories: int | None = TOP_CATEGORIES
+    counts: int | None = TOP_COUNTS
+    points: int | None = SCATTER_POINTS
+
+
 class _Series(NamedTuple):
     chart: Chart
     label: Column
     value: Column
     limit: int | None
+    ordered: bool = False  # by label, not by value
 
 
-def _series_of(df: DataFrame, chart: Chart) -> _Series | None:
+def _series_of(df: DataFrame, chart: Chart, limits: Limits) -> _Series | None:
     """How a chart groups its rows; None for points and matrices."""
     if chart.x is None:
         return None
     category = value_of(df, chart.x).cast("string")
     if chart.chart_type == "line" and chart.y:
-        return _Series(chart, month_label(date_of(df, chart.x)), number_of(df, chart.y), None)
+        return _Series(chart, month_label(date_of(df, chart.x)), number_of(df, chart.y), None, True)
     if chart.chart_type in ("bar", "horizontalBar") and chart.y:
-        return _Series(chart, category, number_of(df, chart.y), TOP_CATEGORIES)
+        return _Series(chart, category, number_of(df, chart.y), limits.categories)
     if chart.chart_type in ("pie", "horizontalBar"):
-        return _Series(chart, category, F.lit(1.0), TOP_COUNTS)
+        return _Series(chart, category, F.lit(1.0), limits.counts)
     return None
 
 
@@ -340,9 +444,10 @@ def _grouped_series(df: DataFrame, series: Sequence[_Series]) -> DataFrame:
     """All grouped charts in one scan and one shuffle.
 
     Each row gives one (chart, label, value) entry per chart; they are summed
-    map-side, then ranked.  The rank limit is pushed below the ranking shuffle,
+    map-side as pairs, then ranked.  The rank limit is pushed below the ranking shuffle,
     so a chart over a key with many values sends only its leaders.  A month is
-    its own ranking group, so no month is ever dropped.
+    its own ranking group, so no month is ever dropped; neither is a label of a chart
+    without a limit.
     """
     entries = F.array(
         *[
@@ -352,26 +457,31 @@ def _grouped_series(df: DataFrame, series: Sequence[_Series]) -> DataFrame:
             for i, s in enumerate(series)
         ]
     )
-    lines = [i for i, s in enumerate(series) if s.limit is None]
+    lines = [i for i, s in enumerate(series) if s.ordered]
+    whole = [i for i, s in enumerate(series) if s.limit is None]
+    most = max((s.limit for s in series if s.limit is not None), default=1)
     limits = F.create_map(
         *[part for i, s in enumerate(series) for part in (F.lit(i), F.lit(s.limit or 1))]
     )
     is_line = F.col("chart").isin(*lines) if lines else F.lit(False)
+    is_whole = F.col("chart").isin(*whole) if whole else F.lit(False)
+    coarse = F.when(F.abs("v") < PAIR_LIMIT, F.col("v").cast("float").cast("double")).otherwise(F.col("v"))
+    fine = F.when(F.abs("v") < PAIR_LIMIT, F.col("v") - coarse).when(F.col("v").isNotNull(), 0.0)
     sums = (
         df.select(F.inline(entries))
         .where(F.col("label").isNotNull())
         .groupBy("chart", "label")
-        .agg(F.coalesce(F.sum("v"), F.lit(0.0)).alias("value"))
-        .withColumn("group", F.when(is_line, F.col("label")).otherwise(F.lit("")))
+        .agg(F.coalesce(F.sum(coarse) + F.sum(fine), F.lit(0.0)).alias("value"))
+        .withColumn("group", F.when(is_whole, F.col("label")).otherwise(F.lit("")))
     )
     by_value = Window.partitionBy("chart", "group").orderBy(F.desc("value"), "label")
     leaders = (
         sums.withColumn("rank", F.row_number().over(by_value))
-        .where(F.col("rank") <= TOP_CATEGORIES)
+        .where(F.col("rank") <= most)
         .where(F.col("rank") <= limits[F.col("chart")])
     )
-    # Months and at most ten leaders per chart are numbered here.
-    in_chart = Window.partitionBy("chart").orderBy("group", "rank", "label")
+    # Months and the leaders of each chart are numbered here.
+    in_chart = Window.partitionBy("chart").orderBy(F.when(is_line, F.col("label")), F.desc("value"), "label")
     return leaders.select(
         "chart",
         (F.row_number().over(in_chart) - 1).alias("pos"),
@@ -399,6 +509,7 @@ def chart_batch(
     charts: Sequence[Chart],
     numerics: Sequence[str] = (),
     order_by: Sequence[str] = (),
+    limits: Limits = Limits(),
 ) -> DataFrame:
     """All series of a dashboard in long form.
 
@@ -407,7 +518,7 @@ def chart_batch(
     ones, so nothing needs caching.  ``numerics`` are the heatmap's columns.
     """
     parts = []
-    series = [s for s in (_series_of(df, c) for c in charts) if s is not None]
+    series = [s for s in (_series_of(df, c, limits) for c in charts) if s is not None]
     if series:
         described = F.array(*[_description(s.chart) for s in series])
         grouped = _grouped_series(df, series)
@@ -418,7 +529,10 @@ def chart_batch(
         )
     for chart in charts:
         if chart.chart_type == "scatter" and chart.x and chart.y:
-            points = scatter_points(df, chart.x, chart.y, order_by).select(
+            points = scatter_points(df, chart.x, chart.y, order_by, limits.points)
+            if limits.points is None:  # every point, unnumbered
+                points = points.withColumns({"pos": F.lit(None).cast("int"), "label": F.lit(None).cast("string")})
+            points = points.select(
                 "pos", "label", F.lit(None).cast("string").alias("series"), "x",
                 F.col("y").alias("value"),
             )
@@ -430,7 +544,7 @@ def chart_batch(
     if not parts:
         return df.sparkSession.createDataFrame(
             [],
-            "chart_id string, chart_type string, slot string, pos int, label string, "
+            "chart_id string, chart_type string, slot string, title string, pos int, label string, "
             "series string, x double, value double",
         )
     return reduce(DataFrame.unionByName, parts)
@@ -441,4 +555,5 @@ def _description(chart: Chart) -> Column:
         F.lit(chart.chart_id).alias("chart_id"),
         F.lit(chart.chart_type).alias("chart_type"),
         F.lit(chart.slot).alias("slot"),
+        F.lit(chart.title).alias("title"),
     )

@@ -77,12 +77,27 @@ def standardize_dates(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.withColumns({c: iso_day(date_of(df, c)) for c in columns})
 
 
+def distinct_row_medians(df: DataFrame, columns: Sequence[str]) -> dict[str, float | None]:
+    """Medians over the distinct rows.
+
+    Rows are reduced to a digest and the listed columns before they are deduplicated, and
+    only those columns are written for the passes that follow; whole rows never are.
+    """
+    columns = list(columns)
+    narrow = df.select(
+        row_fingerprint(df).alias("digest"), *[number_of(df, c).alias(f"v{i}") for i, c in enumerate(columns)]
+    )
+    values = stage(narrow.dropDuplicates(["digest"]).drop("digest"), "distinct-values")
+    found = exact_medians(values, values.columns)
+    return {c: found[f"v{i}"] for i, c in enumerate(columns)}
+
+
 def clean(df: DataFrame, columns: DataFrame) -> DataFrame:
     """The whole cleaning pipeline; ``columns`` is the profile with roles.
 
-    Medians are taken after deduplication.  Where a numeric column has NULLs the
-    deduplicated rows are written once to the shared folder, so that the median
-    passes read single columns and do not repeat the shuffle of whole rows.
+    Medians are taken of the deduplicated rows and enter the plan as constants, so the
+    cleaned table is one pass over the input with one shuffle, and is written by whoever
+    wants it written.
     """
     tags = columns.select("column", "nulls", "is_date", "is_numeric").collect()
     found = kinds(df)
@@ -93,10 +108,10 @@ def clean(df: DataFrame, columns: DataFrame) -> DataFrame:
     text = [c for c in other if found[c] == "string"]
     booleans = [c for c in other if found[c] == "bool" and c in nulls]
 
-    rows = drop_duplicates(nan_to_null(df))
+    df = nan_to_null(df)
+    rows = drop_duplicates(df)
     if to_impute:
-        rows = stage(rows, "deduplicated")
-        rows = impute_median(rows, to_impute)
+        rows = impute_median(rows, to_impute, distinct_row_medians(df, to_impute))
     # A boolean that needs a placeholder becomes text.
     rows = rows.withColumns({c: F.initcap(ref(c).cast("string")) for c in booleans})
     rows = fill_unknown(rows, [c for c in [*text, *booleans] if c in nulls])

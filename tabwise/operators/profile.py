@@ -15,6 +15,7 @@ from tabwise.functions.columns import (
     aggregate_long,
     by_position,
     entries_per_row,
+    exact_total,
     has_word,
     kind_of,
     kinds,
@@ -24,7 +25,7 @@ from tabwise.functions.columns import (
     value_of,
 )
 from tabwise.functions.dates import looks_like_date, micros
-from tabwise.operators.quantiles import Spread, exact_medians
+from tabwise.operators.quantiles import Spread, bracket, exact_medians
 
 # Texts longer than this are compared by digest, so a shuffle moves 64
 # characters and not a document.
@@ -33,6 +34,8 @@ DIGEST_ABOVE = 64
 # Counts near these values decide a role; fast mode recounts them exactly.
 BOOLEAN_COUNT, FEW_COUNT = 2, 10
 TEXT_RATIO, KEY_RATIOS = 0.5, (0.8, 0.95)
+# No longer text has the shape of a date, so none is carried along.
+LONGEST_DATE = 10
 # Three deviations of the default distinct-count sketch.
 FAST_BAND = 0.15
 
@@ -202,16 +205,16 @@ def numeric_summary(df: DataFrame, exact: bool = True) -> DataFrame:
         number = number_of(df, c)
         found = {
             "mean": F.avg(number), "min_num": F.min(number), "max_num": F.max(number),
-            "n": F.count(number),
+            "n": F.count(number), "bracket": bracket(number),
         }
         return found if exact else found | {"median": F.percentile_approx(number, 0.5)}
 
     basic = aggregate_long(df, "column", [(c, stats(c)) for c in columns])
     if not exact:
-        return basic.drop("n")
+        return basic.drop("n", "bracket")
     rows = basic.collect()
     middles = exact_medians(
-        df, columns, {r["column"]: Spread(r["n"], r["min_num"], r["max_num"]) for r in rows}
+        df, columns, {r["column"]: Spread(r["n"], r["min_num"], r["max_num"], r["bracket"]) for r in rows}
     )
     return df.sparkSession.createDataFrame(
         [(r["column"], r["mean"], r["min_num"], r["max_num"], middles[r["column"]]) for r in rows],
@@ -224,14 +227,37 @@ def string_lengths(df: DataFrame) -> DataFrame:
     return aggregate_long(df, "column", [(c, {"avg_len": F.avg(F.length(ref(c)))}) for c in columns])
 
 
-def date_likeness(df: DataFrame) -> DataFrame:
-    """Share of non-null values shaped like a date, per text column."""
+def date_likeness(df: DataFrame, sample: int | None = None) -> DataFrame:
+    """Share of non-null values shaped like a date, per text column.
+
+    Over all values; with ``sample``, over that many different values at most, drawn by
+    hash: the values fall into as many parts and the one with the least digest speaks for
+    its part.  So the draw depends on the values alone, and one aggregate of fixed size
+    makes it for all columns.
+    """
     columns = [c for c, k in kinds(df).items() if k == "string"]
-    return aggregate_long(
-        df, "column", [(c, {"date_like_ratio": _date_share(c)}) for c in columns]
+    if sample is None:
+        return aggregate_long(
+            df, "column", [(c, {"date_like_ratio": _date_share(c)}) for c in columns]
+        )
+    drawn = aggregate_long(df, "column", [(c, _drawn_values(c, sample)) for c in columns])
+    found = F.array_compact(F.array(*[F.col(f"part{i}") for i in range(sample)]))
+    like = F.aggregate(found, F.lit(0), lambda n, v: n + looks_like_date(v["value"]).cast("int"))
+    return drawn.select(
+        "column", F.coalesce(F.try_divide(like, F.size(found)), F.lit(0.0)).alias("date_like_ratio")
     )
 
 
+def _drawn_values(name: str, sample: int) -> dict[str, Column]:
+    value = F.when(F.length(ref(name)) <= LONGEST_DATE, ref(name)).otherwise(F.lit(""))
+    digest = F.md5(ref(name))
+    part = F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint") % sample
+    row = F.struct(digest.alias("digest"), value.alias("value"))
+    return {
+        f"part{i}": F.min(F.when(ref(name).isNotNull() & (part == i), row)) for i in range(sample)
+    }
+
+
 def _date_share(name: str) -> Column:
     return F.coalesce(F.avg(looks_like_date(ref(name)).cast("int")), F.lit(0.0))
 
@@ -288,10 +314,14 @@ def column_profile(df: DataFrame, exact: bool = True, median: bool = True) -> Da
     charts built on it do not profile again.  One wide aggregate first; exact
     mode adds the distinct counts and the median passes.  ``exact=False`` takes
     sketches in the wide aggregate instead and recounts only the columns whose
-    count decides a role.  ``median=False`` leaves medians out; roles need none.
+    count decides a role; a sketch that is off by more than ``FAST_BAND`` could still give
+    a wrong one.  ``median=False`` leaves medians out; roles need none.
     """
     found = kinds(df)
     stats = {c: _column_stats(df, c, k) for c, k in found.items()}
+    if exact and median:
+        for c in numeric_columns(df):
+            stats[c]["bracket"] = bracket(number_of(df, c))
     if not exact:
         for c, k in found.items():
             stats[c] |= _sketches(df, c, k, median)
@@ -303,7 +333,7 @@ def column_profile(df: DataFrame, exact: bool = True, median: bool = True) -> Da
     if exact and median:
         numeric = numeric_columns(df)
         spread = {
-            c: Spread(f["rows"] - f["nulls"], f["min_num"], f["max_num"])
+            c: Spread(f["rows"] - f["nulls"], f["min_num"], f["max_num"], f["bracket"])
             for c, f in facts.items()
             if c in numeric
         }
@@ -354,32 +384,51 @@ def _is_decisive(name: str, kind: str, stats: dict) -> bool:
 # --- derived metrics ---------------------------------------------------------
 
 
+# Names, formulas and reasons of the suggestions.
+RATIO_METRIC = ("Cost-to-Revenue Ratio", "Cost / Revenue", "Financial performance ratio analysis.")
+UNIT_METRIC = ("Average Unit Price", "{0} / Quantity", "Unit economics calculation.")
+
+
 def derived_suggestions(columns: DataFrame) -> DataFrame:
-    """(metric_name, formula): a ratio of two currency columns, a unit price."""
+    """(metric_name, formula, rationale): a ratio of two currency columns, a unit price."""
     facts = columns.agg(
         F.count_if("is_currency").alias("n"),
         F.min_by("column", F.when(F.col("is_currency"), F.col("pos"))).alias("first"),
         F.bool_or(F.col("column") == "Quantity").alias("has_quantity"),
     )
-    ratio = F.struct(
-        F.lit("Cost-to-Revenue Ratio").alias("metric_name"), F.lit("Cost / Revenue").alias("formula")
-    )
-    unit = F.struct(
-        F.lit("Average Unit Price").alias("metric_name"),
-        F.concat(F.col("first"), F.lit(" / Quantity")).alias("formula"),
-    )
+
+    def suggestion(texts: tuple[str, str, str]) -> Column:
+        name, formula, reason = (F.lit(t) for t in texts)
+        formula = F.replace(formula, F.lit("{0}"), F.coalesce("first", F.lit("")))
+        return F.struct(name.alias("metric_name"), formula.alias("formula"), reason.alias("rationale"))
+
     return facts.select(
         F.inline(
             F.array_compact(
                 F.array(
-                    F.when(F.col("n") >= 2, ratio),
-                    F.when((F.col("n") >= 1) & F.col("has_quantity"), unit),
+                    F.when(F.col("n") >= 2, suggestion(RATIO_METRIC)),
+                    F.when((F.col("n") >= 1) & F.col("has_quantity"), suggestion(UNIT_METRIC)),
                 )
             )
         )
     )
 
 
+def derived_totals(df: DataFrame, ratios: dict[str, tuple[str, str]]) -> DataFrame:
+    """(metric_name, numerator, denominator, value): each ratio of the column totals.
+
+    Totals are exact sums in one pass; NULL where the lower one is 0.
+    """
+    return aggregate_long(
+        df,
+        "metric_name",
+        [
+            (name, {side: exact_total(df, c).cast("double") for side, c in zip(("numerator", "denominator"), pair)})
+            for name, pair in ratios.items()
+        ],
+    ).withColumn("value", F.try_divide("numerator", "denominator"))
+
+
 def derived_metrics(df: DataFrame, ratios: dict[str, tuple[str, str]]) -> DataFrame:
     """Add one column per ``{name: (numerator, denominator)}``; NULL where undefined."""
     return df.withColumns(

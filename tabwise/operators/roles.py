@@ -6,13 +6,14 @@ their size follows the schema and never the data.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabwise.functions import keywords as kw
-from tabwise.functions.columns import NUMERIC_KINDS, contains_any
+from tabwise.functions.columns import NUMERIC_KINDS, contains_any, kinds
 from tabwise.functions.dates import DATE_SHARE
 
 ID_RATIO = 0.8
@@ -25,6 +26,22 @@ PERCENT_MAX = 105
 PERCENT_MIN_TOP = 1.5
 
 
+# Types, titles and descriptions of the chart candidates.
+CHART_KINDS = {
+    "trend": "line", "bar": "bar", "pie": "pie", "scatter": "scatter", "correlation_heatmap": "heatmap",
+}
+CHART_TEXTS = {
+    "trend": ("{y} Trend Over Time", "Analysis of {y} trends chronologically across {x}."),
+    "bar": ("Total {y} by {x}", "Comparison of cumulative {y} performance across {x} segments."),
+    "pie": ("Distribution by {x}", "Segment share breakdown for {x} categories."),
+    "scatter": ("{x} vs {y} Correlation", "Statistical dispersion mapping of {x} against {y}."),
+    "correlation_heatmap": (
+        "Variable Correlation Matrix",
+        "Pearson correlation coefficient heatmap showing relationships between all numeric variables.",
+    ),
+}
+
+
 def _kind_in(*kinds: str) -> Column:
     return F.col("kind").isin(*kinds)
 
@@ -145,8 +162,17 @@ def relationships(columns: DataFrame) -> DataFrame:
     )
 
 
+def schema_columns(df: DataFrame) -> DataFrame:
+    """(pos, column, kind) of a table's columns, from its schema; no row is read."""
+    rows = [(i, c, k) for i, (c, k) in enumerate(kinds(df).items())]
+    return df.sparkSession.createDataFrame(rows, "pos int, column string, kind string")
+
+
 def detect_domain(columns: DataFrame, mode: str = "substring") -> DataFrame:
-    """One row: the business domain told by the column names."""
+    """One row: the business domain told by the column names.
+
+    ``columns`` is a profile or, as only names count, ``schema_columns``.
+    """
     if mode == "exact":
         table, default = kw.DOMAIN_EXACT, kw.DOMAIN_EXACT_DEFAULT
         tests = [(d, F.bool_or(F.lower("column").isin(*words))) for d, words in table]
@@ -160,7 +186,7 @@ def detect_domain(columns: DataFrame, mode: str = "substring") -> DataFrame:
 
 
 def chart_candidates(columns: DataFrame, limit: int = 4) -> DataFrame:
-    """(pos, chart_id, chart_type, x_col, y_col): the first charts worth drawing."""
+    """(pos, chart_id, chart_type, x_col, y_col, title, description): the first charts worth drawing."""
 
     def named(role_name: str) -> Column:
         of_role = F.when(
@@ -175,19 +201,27 @@ def chart_candidates(columns: DataFrame, limit: int = 4) -> DataFrame:
         named("Boolean").alias("booleans"),
     )
 
-    def chart(chart_id: Column, chart_type: str, x: Column | None, y: Column | None) -> Column:
+    def chart(chart_id: Column, kind: str, x: Column | None, y: Column | None) -> Column:
         nothing = F.lit(None).cast("string")
+        x, y = (nothing if c is None else c for c in (x, y))
+        names = {"x": F.coalesce(x, F.lit("")), "y": F.coalesce(y, F.lit(""))}
+
+        def worded(text: str) -> Column:
+            parts = re.split(r"\{(x|y)\}", text)  # every second part is a name
+            return F.concat(*[names[p] if i % 2 else F.lit(p) for i, p in enumerate(parts)])
+
         return F.struct(
             chart_id.alias("chart_id"),
-            F.lit(chart_type).alias("chart_type"),
-            (nothing if x is None else x).alias("x_col"),
-            (nothing if y is None else y).alias("y_col"),
+            F.lit(CHART_KINDS[kind]).alias("chart_type"),
+            x.alias("x_col"),
+            y.alias("y_col"),
+            *[worded(t).alias(n) for n, t in zip(("title", "description"), CHART_TEXTS[kind])],
         )
 
     def joined(*parts) -> Column:
         return F.concat_ws("_", *parts)
 
-    def pairs(prefix: str, chart_type: str, xs: Column) -> Column:
+    def pairs(kind: str, xs: Column) -> Column:
         first_two = F.slice("numerics", 1, 2)
         return F.flatten(
             F.transform(
@@ -195,8 +229,8 @@ def chart_candidates(columns: DataFrame, limit: int = 4) -> DataFrame:
                 lambda x: F.transform(
                     first_two,
                     lambda y: chart(
-                        joined(F.lit(prefix), x["column"], y["column"]),
-                        chart_type,
+                        joined(F.lit(kind), x["column"], y["column"]),
+                        kind,
                         x["column"],
                         y["column"],
                     ),
@@ -217,11 +251,11 @@ def chart_candidates(columns: DataFrame, limit: int = 4) -> DataFrame:
     ).otherwise(none)
     heatmap = F.when(
         F.size("numerics") >= 3,
-        F.array(chart(F.lit("correlation_heatmap"), "heatmap", None, None)),
+        F.array(chart(F.lit("correlation_heatmap"), "correlation_heatmap", None, None)),
     ).otherwise(none)
     all_charts = F.concat(
-        pairs("trend", "line", F.col("dates")),
-        pairs("bar", "bar", F.slice("categoricals", 1, 2)),
+        pairs("trend", F.col("dates")),
+        pairs("bar", F.slice("categoricals", 1, 2)),
         pies,
         scatter,
         heatmap,

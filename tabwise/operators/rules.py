@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from typing import Any, NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -45,67 +46,97 @@ def _as_violations(counts: DataFrame, rule: str, text: str, severity: str) -> Da
     )
 
 
-def negative_rule(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """One WARNING per column with negative values; all columns in one pass."""
-    return _as_violations(
-        _negative_counts(df, columns), NEGATIVE_RULE, NEGATIVE_TEXT, WARNING
-    )
-
-
 def _no_counts(df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame([], "column string, n bigint")
 
 
-def _negative_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    if not columns:
-        return _no_counts(df)
-    return aggregate_long(
-        df, "column", [(c, {"n": F.count_if(number_of(df, c) < 0)}) for c in columns]
+def negative_rule(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """One WARNING per column with negative values; all columns in one pass."""
+    counts = (
+        aggregate_long(df, "column", [(c, {"n": F.count_if(number_of(df, c) < 0)}) for c in columns])
+        if columns
+        else _no_counts(df)
     )
+    return _as_violations(counts, NEGATIVE_RULE, NEGATIVE_TEXT, WARNING)
 
 
-def z_scores(df: DataFrame, columns: Sequence[str]) -> list[Column]:
-    """The z-score of every listed column: sample deviation, NULL where undefined.
+class Moments(NamedTuple):
+    """What both rules need to know of a column: values, mean, sample deviation, negatives."""
 
-    A column with infinite values has no finite deviation and so no scores.
+    count: int
+    mean: float | None
+    deviation: float | None
+    negative: int
 
-    One pass over the table finds the statistics of all columns; they enter the
-    plan as constants.
+
+def moment_aggregates(df: DataFrame, columns: Sequence[str]) -> dict[str, Column]:
+    """Named aggregates from which ``moments_of`` reads the moments.
+
+    They are centred and merge without loss, so they can ride along in any pass over the
+    rows, such as the one that writes them.
     """
-    parts = []
+    found = {}
     for i, c in enumerate(columns):
         value = number_of(df, c)
-        parts += [
-            F.avg(value).alias(f"mean{i}"),
-            F.when(F.count(value) > MIN_VALUES, F.stddev_samp(value)).alias(f"sd{i}"),
-        ]
-    stats = df.agg(*parts).first()
-    return [
-        (number_of(df, c) - stats[f"mean{i}"]) / stats[f"sd{i}"]
-        if stats[f"sd{i}"] and math.isfinite(stats[f"sd{i}"])
-        else F.lit(None).cast("double")
-        for i, c in enumerate(columns)
-    ]
+        found |= {
+            f"count{i}": F.count(value), f"mean{i}": F.avg(value),
+            f"deviation{i}": F.stddev_samp(value), f"negative{i}": F.count_if(value < 0),
+        }
+    return found
 
 
-def outlier_rule(df: DataFrame, columns: Sequence[str], limit: float = Z_LIMIT) -> DataFrame:
-    """One INFO per column with values further than ``limit`` deviations out."""
-    return _as_violations(
-        _outlier_counts(df, columns, limit), OUTLIER_RULE, OUTLIER_TEXT, INFO
-    )
+def moments_of(values: Mapping[str, Any], columns: Sequence[str]) -> dict[str, Moments]:
+    return {c: Moments(*[values[f"{field}{i}"] for field in Moments._fields]) for i, c in enumerate(columns)}
 
 
-def _outlier_counts(df: DataFrame, columns: Sequence[str], limit: float) -> DataFrame:
+def moments(df: DataFrame, columns: Sequence[str]) -> dict[str, Moments]:
+    """The moments of all columns in one pass."""
+    columns = list(dict.fromkeys(columns))
     if not columns:
-        return _no_counts(df)
-    return aggregate_long(
-        df,
-        "column",
-        [
-            (c, {"n": F.count_if(F.abs(z) > limit)})
-            for c, z in zip(columns, z_scores(df, columns))
-        ],
+        return {}
+    aggregates = moment_aggregates(df, columns)
+    return moments_of(df.agg(*[a.alias(n) for n, a in aggregates.items()]).first().asDict(), columns)
+
+
+def z_scores(
+    df: DataFrame, columns: Sequence[str], known: Mapping[str, Moments] | None = None
+) -> list[Column]:
+    """The z-score of every listed column: sample deviation, NULL where undefined.
+
+    A column with infinite values has no finite deviation and so no scores.  The moments
+    enter the plan as constants; where they are not known, one pass finds them.
+    """
+    known = moments(df, columns) if known is None else known
+
+    def score(c: str) -> Column:
+        m = known[c]
+        if m.count <= MIN_VALUES or not m.deviation or not math.isfinite(m.deviation):
+            return F.lit(None).cast("double")
+        return (number_of(df, c) - m.mean) / m.deviation
+
+    return [score(c) for c in columns]
+
+
+def outlier_rule(
+    df: DataFrame,
+    columns: Sequence[str],
+    limit: float = Z_LIMIT,
+    known: Mapping[str, Moments] | None = None,
+) -> DataFrame:
+    """One INFO per column with values further than ``limit`` deviations out."""
+    counts = (
+        aggregate_long(
+            df,
+            "column",
+            [
+                (c, {"n": F.count_if(F.abs(z) > limit)})
+                for c, z in zip(columns, z_scores(df, columns, known))
+            ],
+        )
+        if columns
+        else _no_counts(df)
     )
+    return _as_violations(counts, OUTLIER_RULE, OUTLIER_TEXT, INFO)
 
 
 def outlier_rows(
@@ -133,10 +164,19 @@ def violations(
     negative_columns: Sequence[str],
     outlier_columns: Sequence[str],
     limit: float = Z_LIMIT,
+    known: Mapping[str, Moments] | None = None,
 ) -> DataFrame:
-    """All violations: negatives first, then outliers."""
-    return negative_rule(df, negative_columns).unionByName(
-        outlier_rule(df, outlier_columns, limit)
+    """All violations: negatives first, then outliers.
+
+    Two scans: one for the moments and negatives of all columns, which is saved where
+    they are ``known``, and one that flags outliers.
+    """
+    known = moments(df, [*negative_columns, *outlier_columns]) if known is None else known
+    negatives = df.sparkSession.createDataFrame(
+        [(c, known[c].negative) for c in negative_columns], "column string, n bigint"
+    )
+    return _as_violations(negatives, NEGATIVE_RULE, NEGATIVE_TEXT, WARNING).unionByName(
+        outlier_rule(df, outlier_columns, limit, known)
     )
 
 

@@ -283,15 +283,25 @@ CANDIDATES = """, d AS (
   WHERE role IN ('Categorical', 'Boolean')
 ), every AS (
   SELECT 1 AS g, i, j, 'trend_' || x || '_' || y AS chart_id, 'line' AS chart_type, x AS x_col,
-    y AS y_col FROM d, n WHERE j <= 2
-  UNION ALL SELECT 2, i, j, 'bar_' || x || '_' || y, 'bar', x, y FROM c, n WHERE i <= 2 AND j <= 2
-  UNION ALL SELECT 3, i, 0, 'pie_' || x, 'pie', x, NULL FROM s
+    y AS y_col, y || ' Trend Over Time' AS title,
+    'Analysis of ' || y || ' trends chronologically across ' || x || '.' AS description
+    FROM d, n WHERE j <= 2
+  UNION ALL SELECT 2, i, j, 'bar_' || x || '_' || y, 'bar', x, y, 'Total ' || y || ' by ' || x,
+    'Comparison of cumulative ' || y || ' performance across ' || x || ' segments.'
+    FROM c, n WHERE i <= 2 AND j <= 2
+  UNION ALL SELECT 3, i, 0, 'pie_' || x, 'pie', x, NULL, 'Distribution by ' || x,
+    'Segment share breakdown for ' || x || ' categories.' FROM s
     WHERE i <= 2 AND "distinct" BETWEEN 2 AND 10
-  UNION ALL SELECT 4, 0, 0, 'scatter_' || a.y || '_' || b.y, 'scatter', a.y, b.y
+  UNION ALL SELECT 4, 0, 0, 'scatter_' || a.y || '_' || b.y, 'scatter', a.y, b.y,
+    a.y || ' vs ' || b.y || ' Correlation',
+    'Statistical dispersion mapping of ' || a.y || ' against ' || b.y || '.'
     FROM n a, n b WHERE a.j = 1 AND b.j = 2
-  UNION ALL SELECT 5, 0, 0, 'correlation_heatmap', 'heatmap', NULL, NULL FROM n WHERE j = 3
+  UNION ALL SELECT 5, 0, 0, 'correlation_heatmap', 'heatmap', NULL, NULL, 'Variable Correlation Matrix',
+    'Pearson correlation coefficient heatmap showing relationships between all numeric variables.'
+    FROM n WHERE j = 3
 )
-SELECT CAST(row_number() OVER (ORDER BY g, i, j) - 1 AS INT) AS pos, chart_id, chart_type, x_col, y_col
+SELECT CAST(row_number() OVER (ORDER BY g, i, j) - 1 AS INT) AS pos, chart_id, chart_type, x_col,
+  y_col, title, description
 FROM every QUALIFY pos < 4"""
 
 
@@ -305,6 +315,7 @@ def _kpis(table: str, lines: Sequence[tuple[str, str, str, str]]) -> str:
 
 
 MONEY, COUNT = "'$' || format('{:,.2f}', CAST(v AS DOUBLE))", "format('{:,}', CAST(v AS BIGINT))"
+DIGITS = "CAST(v AS VARCHAR)"
 CENTS = "sum(CAST({} AS DECIMAL(18, 2)))"
 
 SALES_LINES = [
@@ -379,6 +390,89 @@ LOG = (
 )
 
 
+BIG_MONEY = """big AS (
+  SELECT l_suppkey, l_orderkey, l_returnflag, l_tax, CAST(CAST(l_extendedprice AS DECIMAL(15, 2))
+    * 1000000000::DECIMAL(10, 0) + 0.01::DECIMAL(3, 2) AS DECIMAL(28, 2)) AS price FROM lineitem
+)"""
+
+SAMPLED = (
+    "SELECT '{c}' AS \"column\", round(coalesce(avg(CAST(regexp_matches(v, '" + DATE_SHAPE
+    + "') AS INT)), 0), 6) AS date_like_ratio FROM (SELECT arg_min({c}, md5({c})) AS v FROM dirty "
+    "WHERE {c} IS NOT NULL GROUP BY CAST('0x' || substr(md5({c}), 1, 8) AS BIGINT) % 10)"
+)
+
+LEFT_OUT = """, asked AS (
+  SELECT * FROM (VALUES (0, 'o_orderdate', 'o_totalprice'), (1, 'o_orderpriority', 'o_totalprice'),
+    (2, 'o_orderstatus', NULL), (3, 'o_orderkey', 'o_totalprice'), (4, 'o_orderstatus', NULL),
+    (5, 'o_missing', 'o_totalprice'), (6, 'o_custkey', 'o_totalprice'), (7, NULL, NULL)) AS a(pos, x_col, y_col)
+), judged AS (
+  SELECT a.*, x.role AS x_role, y.role AS y_role,
+    (x_col IS NULL OR coalesce(x.role <> 'Identifier', FALSE))
+      AND (y_col IS NULL OR coalesce(y.role <> 'Identifier', FALSE)) AS fit
+  FROM asked a LEFT JOIN roled x ON x."column" = a.x_col LEFT JOIN roled y ON y."column" = a.y_col
+), numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY x_col, y_col, fit ORDER BY pos) AS repeat FROM judged
+), drawn AS (
+  SELECT *, count(*) FILTER (fit AND repeat = 1) OVER (ORDER BY pos) AS drawn FROM numbered
+)
+SELECT CAST(pos AS INT) AS pos, x_col, y_col, CASE
+    WHEN (x_col IS NOT NULL AND x_role IS NULL) OR (y_col IS NOT NULL AND y_role IS NULL) THEN 'no such column'
+    WHEN NOT fit THEN 'identifier' WHEN repeat > 1 THEN 'asked before' ELSE 'beyond the limit' END AS reason
+FROM drawn WHERE NOT fit OR repeat > 1 OR drawn > 4"""
+
+
+def _correlation_wide(n: int = 60) -> str:
+    """All pairs of sixty columns in one aggregate."""
+    columns = ", ".join(
+        f"CASE WHEN {'(l_orderkey + %d) %% 11 <> 0' % i if i % 2 else 'TRUE'} THEN "
+        f"CAST(l_quantity * {i % 13} + l_extendedprice / 100 * {i * 7 % 5} + l_partkey * {i * 3 % 4} "
+        f"+ l_linenumber * {i + 1} AS DOUBLE) END AS c{i}"
+        for i in range(n)
+    )
+    cells = ", ".join(
+        f"{{'col_a': 'c{a}', 'col_b': 'c{b}', 'r': round(coalesce(corr(c{a}, c{b}), 0), 6)}}"
+        for a in range(n)
+        for b in range(n)
+    )
+    return f"SELECT cell.* FROM (SELECT unnest([{cells}]) AS cell FROM (SELECT {columns} FROM lineitem))"
+
+
+def _batch_all() -> str:
+    def months(value: str) -> str:
+        return f"SELECT strftime(o_orderdate, '%Y-%m') AS label, sum({value}) AS value FROM orders GROUP BY 1"
+
+    def by(label: str, value: str, limit: str = "") -> str:
+        return f"SELECT {label} AS label, {value} AS value FROM orders GROUP BY 1 ORDER BY 2 DESC, 1 {limit}"
+
+    series = [
+        ("o_orderdate", "o_totalprice", "line", "Sales by month", months("o_totalprice"), "label"),
+        ("o_orderpriority", "o_totalprice", "bar", "Sales by priority", by("o_orderpriority", "sum(o_totalprice)", "LIMIT 3"), "value DESC, label"),
+        ("o_orderstatus", None, "pie", "Orders by state", by("o_orderstatus", "count(*)"), "value DESC, label"),
+        ("o_orderpriority", None, "pie", "Orders by priority", by("o_orderpriority", "count(*)"), "value DESC, label"),
+        ("o_orderstatus", "o_totalprice", "bar", "Sales by state", by("o_orderstatus", "sum(o_totalprice)", "LIMIT 3"), "value DESC, label"),
+        ("o_orderdate", "o_custkey", "line", "Customer numbers by month", months("o_custkey"), "label"),
+    ]
+    parts = [
+        f"SELECT 'chart_{x}_{y}_{kind}' AS chart_id, '{kind}' AS chart_type, "
+        f"'{'primary' if i < 4 else 'supporting'}' AS slot, '{title}' AS title, "
+        f"CAST(row_number() OVER (ORDER BY {order}) - 1 AS INT) AS pos, label, NULL::VARCHAR AS series, "
+        f"NULL::DOUBLE AS x, round(CAST(value AS DOUBLE), 4) AS value FROM ({body})"
+        for i, (x, y, kind, title, body, order) in enumerate(series)
+    ]
+    parts.append(
+        "SELECT 'chart_o_custkey_o_totalprice_scatter', 'scatter', 'supporting', 'Sales over customers', pos, "
+        "'Rec ' || pos, NULL, x, round(value, 4) FROM (SELECT o_custkey AS x, o_totalprice AS value, "
+        "row_number() OVER (ORDER BY o_orderkey, o_custkey, o_totalprice) - 1 AS pos FROM orders) WHERE pos < 200"
+    )
+    parts.append(
+        "SELECT 'chart_None_None_heatmap', 'heatmap', 'supporting', 'Correlations', pos, a, b, NULL, "
+        "CASE WHEN a = b THEN 1.0 ELSE round(r, 4) END FROM (SELECT corr(o_custkey, o_totalprice) AS r FROM orders), "
+        "(VALUES (0, 'o_custkey', 'o_custkey'), (1, 'o_custkey', 'o_totalprice'), (2, 'o_totalprice', 'o_custkey'), "
+        "(3, 'o_totalprice', 'o_totalprice')) AS cell(pos, a, b)"
+    )
+    return " UNION ALL ".join(f"({p})" if "LIMIT" in p else p for p in parts)
+
+
 def all_oracles() -> dict[str, str]:
     lineitem = [c for c, _ in TABLES["lineitem"]]
     numbers = [c for c, k in TABLES["lineitem"] if k in ("int", "float")]
@@ -433,8 +527,10 @@ def all_oracles() -> dict[str, str]:
             "renamed AS (SELECT *, l_quantity AS Quantity FROM lineitem)",
         )
         + """, money AS (SELECT count(*) AS n, min_by("column", pos) AS first FROM roled WHERE is_currency)
-SELECT 'Cost-to-Revenue Ratio' AS metric_name, 'Cost / Revenue' AS formula FROM money WHERE n >= 2
-UNION ALL SELECT 'Average Unit Price', first || ' / Quantity' FROM money WHERE n >= 1""",
+SELECT 'Cost-to-Revenue Ratio' AS metric_name, 'Cost / Revenue' AS formula,
+  'Financial performance ratio analysis.' AS rationale FROM money WHERE n >= 2
+UNION ALL SELECT 'Average Unit Price', first || ' / Quantity', 'Unit economics calculation.'
+FROM money WHERE n >= 1""",
         "column_roles_fast": _roled("lineitem") + ' SELECT "column", kind, role FROM roled',
         "role_tags": _roled("lineitem")
         + ' SELECT "column", is_date, is_numeric, is_categorical, is_primary_key, is_foreign_key, '
@@ -583,7 +679,21 @@ UNION ALL SELECT 1, 'Total volume across all ' || count(*)
                 ("Rows", "count(*)", COUNT, "row count"),
                 ("Quantity", "avg(l_quantity)", "format('{:.2f}', v)", "plain mean"),
                 ("Absent", "min(NULL::DOUBLE)", "'N/A'", "missing column"),
-                ("Returned", "count(*) FILTER (l_returnflag = 'R')", COUNT, "flag count"),
+                ("Returned", "count(*) FILTER (l_returnflag = 'R')", DIGITS, "flag count"),
+            ],
+        ),
+        "kpi_spec_decimal": f"WITH {BIG_MONEY} SELECT 'Gross' AS title, "
+        "CAST(sum(price) AS VARCHAR) AS digits, 'decimal' AS description FROM big "
+        "UNION ALL SELECT 'Keys', CAST(sum(l_orderkey) AS VARCHAR) || '.00', 'long' FROM big",
+        "kpi_spec_flags": f"WITH {BIG_MONEY} "
+        + _kpis(
+            "big",
+            [
+                ("Taxed", "count(*) FILTER (l_tax > 0.04)", MONEY, "sum"),
+                ("Share", "avg(CAST(l_tax > 0.04 AS INT))", MONEY, "mean as money"),
+                ("Plain", "avg(CAST(l_tax > 0.04 AS INT))", "format('{:.2f}', v)", "plain mean"),
+                ("Returned", "count(*) FILTER (l_returnflag = 'R')", DIGITS, "flag count"),
+                ("Text", "min(NULL::DOUBLE)", "'N/A'", "no number"),
             ],
         ),
         "kpi_default_specs": _kpis(
@@ -597,6 +707,54 @@ UNION ALL SELECT 1, 'Total volume across all ' || count(*)
                  "Aggregate volume of invoices processed."),
             ],
         ),
+        "date_likeness_sampled": f"WITH {DIRTY} "
+        + _each(["o_orderstatus", "o_orderdate", "o_orderpriority"], SAMPLED),
+        "duplicate_count_nan": "SELECT count(*) - (SELECT count(*) FROM (SELECT DISTINCT o_orderkey, "
+        "o_custkey, CASE WHEN o_orderkey % 3 <> 0 THEN o_totalprice END FROM orders)) "
+        "AS duplicate_count FROM orders, range(2)",
+        "numeric_summary_extreme": "WITH e AS (SELECT CASE WHEN o_orderkey % 2 = 0 THEN 1 ELSE -1 END "
+        "* CAST('1e' || (o_orderkey % 61 - 30) AS DOUBLE) AS magnitudes, "
+        "CASE WHEN o_orderkey % 100 = 0 THEN 1e300 ELSE 1.0::DOUBLE + (o_orderkey % 9) * "
+        "2.220446049250313e-16::DOUBLE END AS neighbours, (o_orderkey % 5) * 5e-324::DOUBLE AS denormals, "
+        "1e308::DOUBLE + (o_orderkey % 7) * 1e307::DOUBLE AS huge FROM orders) "
+        + _each(
+            ["magnitudes", "neighbours", "denormals", "huge"],
+            "SELECT '{c}' AS \"column\", min({c}) AS min_num, max({c}) AS max_num, median({c}) AS median FROM e",
+        ),
+        "derived_totals": "SELECT 'unit_price' AS metric_name, round(n, 4) AS numerator, "
+        "round(d, 4) AS denominator, round(n / d, 4) AS value FROM (SELECT CAST("
+        + CENTS.format("l_extendedprice") + " AS DOUBLE) AS n, sum(l_quantity) AS d FROM lineitem) "
+        "UNION ALL SELECT 'tax_share', round(n, 4), round(d, 4), round(n / d, 4) FROM (SELECT CAST("
+        + CENTS.format("l_tax") + " AS DOUBLE) AS n, CAST(" + CENTS.format("l_discount")
+        + " AS DOUBLE) AS d FROM lineitem)",
+        "outlier_rule_inf": _outlier("events", "value") + " UNION ALL " + _outlier("events", "user_id")
+        + " UNION ALL " + _negative("events", "value") + " UNION ALL "
+        + _negative("(SELECT CASE WHEN event_id % 1000 = 0 THEN 1 ELSE value END AS spiked FROM events)", "spiked"),
+        "top_categories_decimal": f"WITH {BIG_MONEY} SELECT CAST(l_suppkey AS VARCHAR) AS label, "
+        "CAST(sum(price) AS VARCHAR) AS value FROM big GROUP BY 1 ORDER BY sum(price) DESC, 1 LIMIT 10",
+        "correlation_inf": "SELECT a AS col_a, b AS col_b, CASE WHEN a = b THEN 1.0 WHEN a = 'l_tax' OR b = 'l_tax' "
+        "THEN 0.0 ELSE r END AS r FROM (VALUES ('l_quantity'), ('l_extendedprice'), ('l_tax')) x(a), "
+        "(VALUES ('l_quantity'), ('l_extendedprice'), ('l_tax')) y(b), "
+        "(SELECT round(corr(l_quantity, l_extendedprice), 6) AS r FROM lineitem)",
+        "correlation_wide": _correlation_wide(),
+        "chart_left_out": _roled("orders") + LEFT_OUT,
+        "chart_batch_all": _batch_all(),
+        "csv_types": "SELECT CAST(o_orderkey AS VARCHAR) AS whole, "
+        "CASE WHEN o_orderkey % 5 <> 0 THEN CAST(o_orderkey * 2 AS VARCHAR) END AS gappy, "
+        "'1234567890' || lpad(CAST(o_orderkey AS VARCHAR), 10, '0') AS long_number, "
+        "CASE WHEN o_orderkey % 7 <> 0 THEN o_orderkey || '.5' END AS fraction, "
+        "CASE o_orderkey % 3 WHEN 0 THEN 'true' WHEN 1 THEN 'false' END AS flag, "
+        "CASE WHEN o_orderkey % 11 <> 0 THEN 'x' || o_orderkey END AS word, "
+        "'bigint,bigint,decimal(38,0),double,boolean,string' AS types FROM orders",
+        "csv_rejects": "SELECT o_orderkey || ',' || o_orderstatus || CASE WHEN o_orderkey % 97 = 0 "
+        "THEN ',surplus,' || o_orderkey ELSE ',\"open ' || o_orderkey END AS record, "
+        "CASE WHEN o_orderkey % 97 = 0 THEN 4 ELSE 3 END AS fields, o_orderkey % 97 <> 0 AS open "
+        "FROM orders WHERE o_orderkey % 97 = 0 OR o_orderkey % 89 = 0",
+        "csv_multiline": "SELECT o_orderkey AS key, o_orderstatus AS state, CASE WHEN o_orderkey % 3 = 0 "
+        "THEN 'first' || chr(10) || '7,F,second ' || o_orderkey || chr(10) || chr(10) || '\"third\"' "
+        "ELSE 'plain ' || o_orderkey END AS note FROM orders",
+        "cleaned_gaps": f"WITH {CLEANED} "
+        + _each(DIRTY_NAMES, "SELECT '{c}' AS \"column\", count(*) - count({c}) AS nulls FROM cleaned"),
         "csv_roundtrip": f"WITH {DIRTY} SELECT * FROM dirty",
         "json_roundtrip": "SELECT * FROM customer",
         "report_tables": f"WITH {CLEANED.replace('cleaned AS', 'cleaned_rows AS')}"

@@ -17,6 +17,7 @@ from tabwise.operators import charts, clean, governance, insights, kpi, profile,
 from tabwise.operators.timeseries import time_series_structure
 from tabwise.plans import analysis
 from tabwise.sources import run_log, sinks
+from tabwise.sources.readers import csv_rejects as read_rejects
 from tabwise.sources.readers import read_table
 from tabwise.streaming.run_log import follow_log
 
@@ -113,6 +114,32 @@ def date_likeness(spark, sf):
     return rounded(profile.date_likeness(dirty_orders(spark, sf)), 6, "date_like_ratio")
 
 
+def date_likeness_sampled(spark, sf):
+    return rounded(profile.date_likeness(dirty_orders(spark, sf), sample=10), 6, "date_like_ratio")
+
+
+def duplicate_count_nan(spark, sf):
+    """Copies that differ only in NaN and NULL are duplicates."""
+    copies = F.explode(F.array(F.lit(0), F.lit(1))).alias("copy")
+    gap = F.when(F.col("copy") == 0, float("nan"))
+    df = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice", copies)
+    df = df.withColumn("o_totalprice", F.when(F.col("o_orderkey") % 3 == 0, gap).otherwise(F.col("o_totalprice")))
+    return profile.duplicate_count(df.drop("copy"))
+
+
+def numeric_summary_extreme(spark, sf):
+    """Medians over many magnitudes, neighbouring doubles, denormals and huge values."""
+    key = F.col("o_orderkey")
+    power = F.concat(F.lit("1e"), (key % 61 - 30).cast("string")).cast("double")
+    df = table(spark, sf, "orders").select(
+        F.when(key % 2 == 0, power).otherwise(-power).alias("magnitudes"),
+        F.when(key % 100 == 0, F.lit(1e300)).otherwise(1.0 + (key % 9) * F.lit(2.0**-52)).alias("neighbours"),
+        ((key % 5) * F.lit(5e-324)).alias("denormals"),
+        (F.lit(1e308) + (key % 7) * F.lit(1e307)).alias("huge"),
+    )
+    return profile.numeric_summary(df).select("column", "min_num", "max_num", "median")
+
+
 def column_profile(spark, sf):
     found = profile.column_profile(dirty_orders(spark, sf))
     digits = ("unique_ratio", "mean", "min_num", "max_num", "median", "avg_len", "date_like_ratio")
@@ -135,6 +162,12 @@ def derived_unit_price(spark, sf):
     return profile.derived_metrics(df, ratios)
 
 
+def derived_totals(spark, sf):
+    ratios = {"unit_price": ("l_extendedprice", "l_quantity"), "tax_share": ("l_tax", "l_discount")}
+    found = profile.derived_totals(table(spark, sf, "lineitem"), ratios)
+    return rounded(found, 4, "numerator", "denominator", "value")
+
+
 def derived_suggestions(spark, sf):
     df = table(spark, sf, "lineitem").withColumnRenamed("l_quantity", "Quantity")
     return profile.derived_suggestions(roled(df))
@@ -181,7 +214,7 @@ def relationships(spark, sf):
 
 def domain(spark, sf):
     parts = [
-        roles.detect_domain(profile.null_counts(table(spark, sf, t)), mode).select(
+        roles.detect_domain(roles.schema_columns(table(spark, sf, t)), mode).select(
             F.lit(t).alias("table_name"), F.lit(mode).alias("mode"), "domain"
         )
         for t in ("orders", "customer", "events")
@@ -265,6 +298,14 @@ def outlier_rule(spark, sf):
     )
 
 
+def outlier_rule_inf(spark, sf):
+    """A column with infinite values has no outliers; others are judged as ever."""
+    df = table(spark, sf, "events").withColumn(
+        "spiked", F.when(F.col("event_id") % 1000 == 0, float("inf")).otherwise(F.col("value"))
+    )
+    return rules.violations(df, ["value", "spiked"], ["value", "spiked", "user_id"])
+
+
 def outlier_rows(spark, sf):
     found = rules.outlier_rows(table(spark, sf, "events"), ["value"], keep=["event_id", "event_type"])
     return rounded(found, 6, "z")
@@ -325,6 +366,17 @@ def top_priorities(spark, sf):
     return rounded(found, 2, "value")
 
 
+def _big_money(spark, sf) -> DataFrame:
+    """Line items with prices of up to 18 digits and cents, more than a double holds."""
+    price = (F.col("l_extendedprice").cast("decimal(15,2)") * 1_000_000_000 + F.lit("0.01").cast("decimal(3,2)")).cast("decimal(28,2)")
+    return table(spark, sf, "lineitem").select("l_suppkey", "l_orderkey", "l_returnflag", "l_tax", price.alias("price"))
+
+
+def top_categories_decimal(spark, sf):
+    found = charts.top_categories(_big_money(spark, sf), "l_suppkey", "price")
+    return found.select("label", F.col("value").cast("decimal(38,2)").cast("string").alias("value"))
+
+
 def bottom_categories(spark, sf):
     found = charts.bottom_categories(table(spark, sf, "lineitem"), "l_suppkey", "l_extendedprice")
     return rounded(found, 2, "value")
@@ -369,6 +421,30 @@ def correlation_with_nulls(spark, sf):
     return rounded(found, 6, "r")
 
 
+def correlation_inf(spark, sf):
+    """Infinite values leave a column without correlations."""
+    df = table(spark, sf, "lineitem").select(
+        "l_quantity", "l_extendedprice",
+        F.when(F.col("l_orderkey") % 1000 == 1, float("inf")).otherwise(F.col("l_tax")).alias("l_tax"),
+    )
+    return rounded(charts.correlation_matrix(df, df.columns), 6, "r")
+
+
+WIDE = 60
+
+
+def correlation_wide(spark, sf):
+    """Sixty columns, every second one with gaps of its own."""
+
+    def mixed(i: int):
+        value = F.col("l_quantity") * (i % 13) + F.col("l_extendedprice") / 100 * (i * 7 % 5) + F.col("l_partkey") * (i * 3 % 4) + F.col("l_linenumber") * (i + 1)
+        gap = F.lit(i % 2 == 1) & ((F.col("l_orderkey") + i) % 11 == 0)
+        return F.when(~gap, value.cast("double")).alias(f"c{i}")
+
+    df = table(spark, sf, "lineitem").select(*[mixed(i) for i in range(WIDE)])
+    return rounded(charts.correlation_matrix(df, df.columns), 6, "r")
+
+
 ASKED_CHARTS: Sequence[tuple] = (
     ("o_orderdate", "o_totalprice", None, "How do sales develop?"),
     ("o_orderpriority", "o_totalprice", None, "Which priority sells most?"),
@@ -381,6 +457,31 @@ ASKED_CHARTS: Sequence[tuple] = (
 )
 
 
+def chart_left_out(spark, sf):
+    return charts.left_out(roled(table(spark, sf, "orders")), ASKED_CHARTS, max_charts=4)
+
+
+#: More pairs than a dashboard shows by default.
+ALL_CHARTS: Sequence[tuple] = (
+    ("o_orderdate", "o_totalprice", None, "Sales by month"),
+    ("o_orderpriority", "o_totalprice", None, "Sales by priority"),
+    ("o_orderstatus", None, None, "Orders by state"),
+    ("o_orderpriority", None, None, "Orders by priority"),
+    ("o_orderstatus", "o_totalprice", None, "Sales by state"),
+    ("o_custkey", "o_totalprice", None, "Sales over customers"),
+    ("o_orderdate", "o_custkey", None, "Customer numbers by month"),
+    (None, None, None, "Correlations"),
+)
+
+
+def chart_batch_all(spark, sf):
+    df = table(spark, sf, "orders")
+    planned = charts.plan_charts(roled(df), ALL_CHARTS, max_charts=None)
+    limits = charts.Limits(categories=3, counts=None, points=200)
+    batch = charts.chart_batch(df, planned, ["o_custkey", "o_totalprice"], ["o_orderkey"], limits)
+    return rounded(batch, 4, "value")
+
+
 def chart_type_choice(spark, sf):
     return charts.chart_types(roled(table(spark, sf, "orders")), ASKED_CHARTS)
 
@@ -393,7 +494,7 @@ def _batch(spark, sf) -> DataFrame:
 
 
 def chart_batch(spark, sf):
-    return _batch(spark, sf)
+    return _batch(spark, sf).drop("title")
 
 
 def chart_export(spark, sf):
@@ -480,6 +581,25 @@ def kpi_spec(spark, sf):
     return rounded(found, 4, "value")
 
 
+def kpi_spec_decimal(spark, sf):
+    """Sums of 18-digit prices and of keys, to the last digit."""
+    specs = (KpiSpec("Gross", "price", "SUM", "decimal"), KpiSpec("Keys", "l_orderkey", "SUM", "long"))
+    found = kpi.evaluate_kpis(_big_money(spark, sf), specs)
+    return found.select("title", F.regexp_replace("display", "[$,]", "").alias("digits"), "description")
+
+
+def kpi_spec_flags(spark, sf):
+    """Booleans count as 0 and 1; a flag count has no separators."""
+    df = _big_money(spark, sf).withColumn("taxed", F.col("l_tax") > 0.04)
+    specs = (
+        KpiSpec("Taxed", "taxed", "SUM", "sum"), KpiSpec("Share", "taxed", "AVERAGE", "mean as money"),
+        KpiSpec("Plain", "taxed", "OTHER", "plain mean"), KpiSpec("Returned", "l_returnflag", "COUNT", "flag count"),
+        KpiSpec("Text", "l_returnflag", "SUM", "no number"),
+    )
+    found = kpi.evaluate_kpis(df, specs, flag_column="l_returnflag", flag_value="R")
+    return rounded(found, 4, "value")
+
+
 def kpi_default_specs(spark, sf):
     df = table(spark, sf, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice")
     specs = kpi.default_kpi_specs(df.columns, "Sales & Revenue")
@@ -509,14 +629,70 @@ def json_roundtrip(spark, sf):
     )
 
 
+def csv_types(spark, sf):
+    """Text columns of every inferred type, with missing tokens, read back from CSV."""
+    key = F.col("o_orderkey")
+    df = table(spark, sf, "orders").select(
+        key.cast("string").alias("whole"),
+        F.when(key % 5 == 0, "NA").otherwise((key * 2).cast("string")).alias("gappy"),
+        F.concat(F.lit("1234567890"), F.lpad(key.cast("string"), 10, "0")).alias("long_number"),
+        F.when(key % 7 == 0, "").otherwise(F.concat(key.cast("string"), F.lit(".5"))).alias("fraction"),
+        F.when(key % 3 == 0, "True").when(key % 3 == 1, "False").otherwise("NaN").alias("flag"),
+        F.when(key % 11 == 0, "null").otherwise(F.concat(F.lit("x"), key.cast("string"))).alias("word"),
+    )
+    path = scratch_path(spark, "types") + ".csv"
+    sinks.write_table(df, path, "csv")
+    found = read_table(spark, path)
+    types = ",".join(f.dataType.simpleString() for f in found.schema.fields)
+    return found.select(*[F.col(c).cast("string") for c in found.columns], F.lit(types).alias("types"))
+
+
+def _csv_lines(spark, sf, line) -> str:
+    """The orders as lines of CSV files, each with a header row; a pattern of their folders."""
+    path, header = scratch_path(spark, "lines"), "key,state,note"
+    part = F.col("o_orderkey") % 4
+    lines = table(spark, sf, "orders").select(part.alias("part"), F.lit(1).alias("place"), line.alias("value"))
+    first = spark.range(4).select(F.col("id").alias("part"), F.lit(0).alias("place"), F.lit(header).alias("value"))
+    both = lines.unionByName(first).repartition("part").sortWithinPartitions("part", "place")
+    both.drop("place").write.partitionBy("part").text(path)
+    return f"{path}/*"
+
+
+def csv_rejects(spark, sf):
+    """Records with more fields than the header, or that end within a quoted field."""
+    key = F.col("o_orderkey").cast("string")
+    line = F.concat_ws(
+        ",", key, F.col("o_orderstatus"),
+        F.when(F.col("o_orderkey") % 97 == 0, F.concat(F.lit("surplus,"), key))
+        .when(F.col("o_orderkey") % 89 == 0, F.concat(F.lit('"open '), key))
+        .otherwise(F.concat(F.lit('"a, ""b"" '), key, F.lit('"'))),
+    )
+    return read_rejects(spark, _csv_lines(spark, sf, line))
+
+
+def csv_multiline(spark, sf):
+    """Quoted fields with line breaks, some of them looking like records of their own."""
+    key = F.col("o_orderkey").cast("string")
+    note = F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit('"first\n7,F,second '), key, F.lit('\n\n""third"""'))).otherwise(
+        F.concat(F.lit("plain "), key)
+    )
+    path = _csv_lines(spark, sf, F.concat_ws(",", key, F.col("o_orderstatus"), note))
+    return read_table(spark, path, "csv", multi_line=True)
+
+
+def cleaned_gaps(spark, sf):
+    """The gaps that cleaning leaves, as counted by the write of the cleaned table."""
+    df = dirty_orders(spark, sf)
+    return analysis.execute(df, analysis.discover(df)).gaps
+
+
 def report_tables(spark, sf):
     """The report tables, written and read back: row count, KPIs, audit."""
     df = dirty_orders(spark, sf)
     found = analysis.discover(df)
-    results = analysis.execute(df, found, certificate="formula")
-    paths = sinks.write_report_tables(
-        results.cleaned, results.scorecard, results.audit, scratch_path(spark, "report")
-    )
+    folder = scratch_path(spark, "report")
+    results = analysis.execute(df, found, certificate="formula", folder=folder)
+    paths = sinks.write_report_tables(None, results.scorecard, results.audit, folder)
     cleaned = spark.read.parquet(paths["cleaned_data"]).agg(F.count("*").alias("n"))
     parts = [
         cleaned.select(
@@ -594,7 +770,10 @@ def all_queries() -> dict[str, Query]:
         correlation_with_nulls, chart_type_choice, chart_batch, chart_export, segment_means,
         segment_insights, chart_insights, kpi_sales, kpi_rate_hr, kpi_rate_churn, kpi_generic,
         kpi_spec, kpi_default_specs, kpi_scorecard, csv_roundtrip, json_roundtrip, report_tables,
-        run_log_read, run_log_project, run_log_follow,
+        run_log_read, run_log_project, run_log_follow, date_likeness_sampled, duplicate_count_nan,
+        numeric_summary_extreme, derived_totals, outlier_rule_inf, top_categories_decimal,
+        correlation_inf, correlation_wide, chart_left_out, chart_batch_all, kpi_spec_decimal,
+        kpi_spec_flags, csv_types, csv_rejects, csv_multiline, cleaned_gaps,
     )
     found: dict[str, Query] = {q.__name__: q for q in plain}
     found.update({f"column_roles_{t}": _roles_of(t) for t in ROLE_TABLES})

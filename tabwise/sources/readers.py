@@ -17,6 +17,8 @@ INTEGER_SHAPE = r"^\s*[+-]?\d+\s*$"
 NUMBER_SHAPE = r"(?i)^\s*[+-]?((\d+\.?\d*|\.\d+)(e[+-]?\d+)?|inf|infinity)\s*$"
 #: In this order; text where none accepts all values.
 INFERRED = ("bigint", "decimal(38,0)", "double", "boolean")
+#: Column metadata of types that were inferred from text.
+INFERRED_MARK = "inferred_from_text"
 BOOLEAN_WORDS = ("True", "TRUE", "true", "False", "FALSE", "false")
 
 
@@ -126,7 +128,8 @@ def infer_types(
 
     One aggregate counts, for every column, how many present values each type
     accepts; a type is taken when it accepts all of them.  Integers beyond the decimal
-    stay text, as a double would make different ones equal.
+    stay text, as a double would make different ones equal.  The columns are marked as
+    inferred, and stay so through projections and Parquet.
     """
     names = text.columns
     aggs = []
@@ -148,7 +151,7 @@ def infer_types(
 
     return text.select(
         *[
-            _typed(_present(c, missing_tokens), chosen(i)).alias(c)
+            _typed(_present(c, missing_tokens), chosen(i)).alias(c, metadata={INFERRED_MARK: True})
             for i, c in enumerate(names)
         ]
     )
