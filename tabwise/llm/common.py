@@ -66,6 +66,23 @@ def seeded(n: int, seed: int) -> np.ndarray:
         return mix((np.arange(1, n + 1, dtype=np.uint64) + np.uint64(seed) * np.uint64(1 << 20)) * np.uint64(0x9E3779B97F4A7C15))
 
 
+def bitmap_of(hashes: DataFrame, bits: int) -> np.ndarray:
+    """A bitmap (``bits`` is a power of two) of 64-bit hashes, the only column; the driver
+    gets its set words, whose number ``bits`` bounds."""
+    slot = F.col(hashes.columns[0]).bitwiseAND(F.lit(bits - 1))
+    words = hashes.select(slot.alias("slot")).groupBy(F.shiftright("slot", 6).alias("word")).agg(
+        F.expr("bit_or(shiftleft(1L, cast(slot & 63 AS int)))").alias("set")
+    ).toArrow()
+    full = np.zeros(bits // 64, "<i8")
+    full[words["word"].to_numpy()] = words["set"].to_numpy()
+    return full.view(np.uint8)
+
+
+def in_bitmap(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    slot = hashes & np.uint64(8 * len(bitmap) - 1)
+    return (bitmap[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
+
 class SpanHash:
     """64-bit hashes of any spans of a byte buffer, from one running sum.
 

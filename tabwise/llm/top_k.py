@@ -4,7 +4,7 @@ The index holds vectors in blocks.  In a block every dimension is a posting list
 vectors, by falling component, cut into segments of one quantised impact.  A query takes
 segments of all dimensions by what they can add at most, the largest first, and adds up
 scores as it goes.  What a vector can still reach is its sum so far plus, for each
-dimension in which it has not been met, the most that the next segment there can add.  The
+dimension in which it has not been met, the most that the next segment of all can add.  The
 query stops in a block only when few vectors can still reach the k-th best score found,
 which proves that no other is among the best; these few are scored again exactly.
 
@@ -15,6 +15,7 @@ and two blocks of vectors; the work grows with queries times vectors, as asked.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,12 +29,15 @@ from tabwise.llm.common import table
 
 SCALE = 64
 #: Vectors of an index block, impacts of a posting list, index blocks of a slice.
-BLOCK, LEVELS, SLICE_BLOCKS = 4096, 16, 4
+BLOCK, LEVELS, SLICE_BLOCKS = 8192, 16, 2
 QUERY_BLOCK = 1024
 #: Shares of a block's postings after which a query looks whether it may stop.
-CHECKS = (1 / 16, 1 / 8, 1 / 4, 1 / 2, 1)
-#: A query stops when at most this share of the block's vectors has to be scored again.
-FEW = 1 / 16
+CHECKS = (1 / 8, 3 / 8, 7 / 16, 1 / 2, 5 / 8, 3 / 4, 1)
+#: A query stops when at most this share of the block's vectors has to be scored again:
+#: that costs less than the segments left.
+FEW = 1 / 5
+#: Whole numbers below this are exact as doubles.
+EXACT = float(1 << 53)
 
 
 def integer_vectors(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
@@ -105,45 +109,70 @@ class ImpactIndex:
         flat = np.arange(dims)[:, None] * LEVELS + level
         self.sizes = np.bincount(flat.ravel(), minlength=dims * LEVELS)
         self.starts = np.append(0, np.cumsum(self.sizes))[:-1]
-        self.vector, self.values = self.vector.ravel(), values.ravel()
+        self.vector, self.values = self.vector.ravel().astype(np.int32), values.ravel()
         filled = self.sizes > 0
         self.high, self.low = np.zeros(dims * LEVELS, np.int64), np.zeros(dims * LEVELS, np.int64)
         self.high[filled] = self.values[self.starts[filled]]
         self.low[filled] = self.values[(self.starts + self.sizes - 1)[filled]]
+        self.values = self.values.astype(float)
         self.dim = np.repeat(np.arange(dims), LEVELS)
+        self.doubles = matrix.astype(float)
+        self.met, self.added = np.zeros(n * dims, np.int64), np.zeros(n * dims)  # used again by each query
         self.largest = np.abs(values).max(axis=1) if n else np.zeros(dims)
 
-    def best(self, query: np.ndarray, own: int, k: int, known: list[tuple[int, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-        """Scores and places of vectors that may be among the k best, given the scores
-        ``known`` of k vectors elsewhere (or fewer); ``own`` is the query's row."""
+    def best(self, query: np.ndarray, own: int, k: int, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Scores and places of vectors that may be among the k best, given the falling
+        scores ``known`` of k vectors elsewhere (or fewer); ``own`` is the query's row."""
         weight = query[self.dim]
         used = np.flatnonzero((self.sizes > 0) & (weight != 0))
         bound = np.where(weight > 0, weight * self.high, weight * self.low)[used]
-        order = used[np.argsort(-bound, kind="stable")]
-        most = np.where(weight > 0, weight * self.high, weight * self.low).astype(float)
-        met = np.cumsum(self.sizes[order])
-        slack = 1e-12 * float((np.abs(query) * self.largest).sum())
-        floor = known[k - 1] if len(known) >= k else None
+        order = np.argsort(-bound, kind="stable")
+        bound, segments = bound[order].astype(float), used[order]
+        ends = np.cumsum(self.sizes[segments])
+        dims = int(np.count_nonzero(query))
+        limit = float((np.abs(query) * self.largest).sum())  # no score or part of one is larger
+        # One sum holds both the score and, in steps of ``one``, the dimensions met.
+        one = 2.0 ** math.ceil(math.log2(2 * limit + 2))
+        packed = one * (dims + 1) < EXACT
+        score, met_in, slack = np.zeros(self.n), np.zeros(self.n), 1e-12 * limit
+        floor, taken = known[k - 1] if len(known) >= k else None, 0
         for share in CHECKS:
-            taken = len(order) if share == 1 else int(np.searchsorted(met, share * met[-1])) + 1 if len(order) else 0
-            done, rest = order[:taken], order[taken:]
-            # The first segment left in each dimension has the most to add there.
-            ahead = np.zeros(self.dims)
-            ahead[self.dim[rest][::-1]] = most[rest][::-1]
-            sizes = self.sizes[done]
-            at = np.repeat(self.starts[done] - np.append(0, np.cumsum(sizes))[:-1], sizes) + np.arange(int(sizes.sum()))
-            dim = np.repeat(self.dim[done], sizes)
-            upper = np.bincount(self.vector[at], self.values[at] * query[dim] - ahead[dim], self.n) + ahead.sum()
-            likely = np.argpartition(-upper, 2 * k)[: 2 * k] if self.n > 2 * k else np.arange(self.n)
-            likely = likely[self.rows[likely] != own]
-            scores = np.sort(np.append(self.matrix[likely] @ query, known))[::-1]
-            if len(scores) >= k:
-                floor = int(scores[k - 1])
+            upto = len(segments) if share == 1 else int(np.searchsorted(ends, share * ends[-1])) + 1 if len(ends) else 0
+            if upto > taken:
+                now = segments[taken:upto]
+                runs = [slice(a, a + n) for a, n in zip(self.starts[now].tolist(), self.sizes[now].tolist(), strict=True)]
+                total = int(self.sizes[now].sum())
+                met, added = self.met[:total], self.added[:total]
+                np.concatenate([self.vector[run] for run in runs], out=met)
+                np.concatenate([self.values[run] for run in runs], out=added)
+                added *= np.repeat(weight[now].astype(float), self.sizes[now])
+                if packed:
+                    added += one
+                else:
+                    met_in += np.bincount(met, minlength=self.n)
+                score += np.bincount(met, added, self.n)
+                taken = upto
+            if packed:
+                met_in = np.rint(score / one)
+            so_far = score - met_in * one if packed else score
+            # No segment that is left can add more than the next one.
+            upper = so_far + (dims - met_in) * bound[taken] if taken < len(segments) else so_far
+            if floor is None or taken == len(segments):
+                likely = np.argpartition(-upper, 2 * k)[: 2 * k] if self.n > 2 * k else np.arange(self.n)
+                likely = likely[self.rows[likely] != own]
+                scores = np.sort(np.append(self.scores(likely, query, limit), known))[::-1]
+                floor = int(scores[k - 1]) if len(scores) >= k else None
             able = np.ones(self.n, bool) if floor is None else upper >= floor - slack
-            if share == 1 or able.sum() <= max(2 * k, FEW * self.n):
+            if np.count_nonzero(able) <= max(2 * k, FEW * self.n):
                 break
         places = np.flatnonzero(able & (self.rows != own))
-        return self.matrix[places] @ query, places
+        return self.scores(places, query, limit), places
+
+    def scores(self, places: np.ndarray, query: np.ndarray, limit: float) -> np.ndarray:
+        """Exact inner products; through doubles where these hold all sums."""
+        if limit < EXACT:
+            return (self.doubles[places] @ query.astype(float)).astype(np.int64)
+        return self.matrix[places] @ query
 
 
 def _leaders(k: int, held: tuple, scores: np.ndarray, ids: np.ndarray, rows: np.ndarray) -> tuple:

@@ -60,7 +60,7 @@ def test_a_query_stops_before_the_end(monkeypatch):
     monkeypatch.setattr(top_k.np, "bincount", lambda x, *a, **k: (read.append(len(x)), count(x, *a, **k))[1])
     for q in random.Random(2).sample(range(4000), 20):
         read.clear()
-        scores, places = index.best(matrix[q], q, 10, [])
+        scores, places = index.best(matrix[q], q, 10, np.zeros(0, np.int64))
         want = np.sort(np.delete(matrix @ matrix[q], q))[::-1][:10]
         assert (np.sort(scores)[::-1][:10] == want).all()
-        assert max(read) < matrix.size
+        assert sum(read) / 2 < matrix.size
