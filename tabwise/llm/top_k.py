@@ -3,10 +3,10 @@
 The index holds vectors in blocks.  In a block every dimension is a posting list of the
 vectors, by falling component, cut into segments of one quantised impact.  A query takes
 segments of all dimensions by what they can add at most, the largest first, and adds up
-scores as it goes.  What a vector can still reach is its sum so far plus, for each
-dimension in which it has not been met, the most that the next segment of all can add.  The
-query stops in a block only when few vectors can still reach the k-th best score found,
-which proves that no other is among the best; these few are scored again exactly.
+scores as it goes.  Once no segment that is left can add anything, the sum so far is the
+most that a vector can reach.  The query stops in a block only when few vectors can still
+reach the k-th best score found, which proves that no other is among the best; these few
+are scored again exactly.
 
 Blocks of queries meet slices of index blocks in Spark; a slice's best carry over from
 block to block, so later blocks stop sooner.  No task holds more than a block of queries
@@ -29,10 +29,11 @@ from tabwise.llm.common import table
 
 SCALE = 64
 #: Vectors of an index block, impacts of a posting list, index blocks of a slice.
-BLOCK, LEVELS, SLICE_BLOCKS = 8192, 16, 2
+BLOCK, LEVELS, SLICE_BLOCKS = 16384, 16, 1
 QUERY_BLOCK = 1024
-#: Shares of a block's postings after which a query looks whether it may stop.
-CHECKS = (1 / 8, 3 / 8, 7 / 16, 1 / 2, 5 / 8, 3 / 4, 1)
+#: Shares of the segments that can only lower scores, after which a query looks whether it
+#: may stop; those that can raise them are always taken.
+CHECKS = (0, 1 / 8, 1 / 4, 1 / 2, 1)
 #: A query stops when at most this share of the block's vectors has to be scored again:
 #: that costs less than the segments left.
 FEW = 1 / 5
@@ -109,7 +110,7 @@ class ImpactIndex:
         flat = np.arange(dims)[:, None] * LEVELS + level
         self.sizes = np.bincount(flat.ravel(), minlength=dims * LEVELS)
         self.starts = np.append(0, np.cumsum(self.sizes))[:-1]
-        self.vector, self.values = self.vector.ravel().astype(np.int32), values.ravel()
+        self.vector, self.values = self.vector.ravel(), values.ravel()
         filled = self.sizes > 0
         self.high, self.low = np.zeros(dims * LEVELS, np.int64), np.zeros(dims * LEVELS, np.int64)
         self.high[filled] = self.values[self.starts[filled]]
@@ -117,7 +118,7 @@ class ImpactIndex:
         self.values = self.values.astype(float)
         self.dim = np.repeat(np.arange(dims), LEVELS)
         self.doubles = matrix.astype(float)
-        self.met, self.added = np.zeros(n * dims, np.int64), np.zeros(n * dims)  # used again by each query
+        self.added = np.zeros(n)  # used again by each query
         self.largest = np.abs(values).max(axis=1) if n else np.zeros(dims)
 
     def best(self, query: np.ndarray, own: int, k: int, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -127,42 +128,31 @@ class ImpactIndex:
         used = np.flatnonzero((self.sizes > 0) & (weight != 0))
         bound = np.where(weight > 0, weight * self.high, weight * self.low)[used]
         order = np.argsort(-bound, kind="stable")
-        bound, segments = bound[order].astype(float), used[order]
-        ends = np.cumsum(self.sizes[segments])
-        dims = int(np.count_nonzero(query))
+        bound, segments = bound[order], used[order]
         limit = float((np.abs(query) * self.largest).sum())  # no score or part of one is larger
-        # One sum holds both the score and, in steps of ``one``, the dimensions met.
-        one = 2.0 ** math.ceil(math.log2(2 * limit + 2))
-        packed = one * (dims + 1) < EXACT
-        score, met_in, slack = np.zeros(self.n), np.zeros(self.n), 1e-12 * limit
+        score, slack, read = np.zeros(self.n), 1e-12 * limit, [0] * self.dims
         floor, taken = known[k - 1] if len(known) >= k else None, 0
+        raising = int(np.count_nonzero(bound > 0))
         for share in CHECKS:
-            upto = len(segments) if share == 1 else int(np.searchsorted(ends, share * ends[-1])) + 1 if len(ends) else 0
+            upto = raising + math.ceil(share * (len(segments) - raising))
             if upto > taken:
                 now = segments[taken:upto]
-                runs = [slice(a, a + n) for a, n in zip(self.starts[now].tolist(), self.sizes[now].tolist(), strict=True)]
-                total = int(self.sizes[now].sum())
-                met, added = self.met[:total], self.added[:total]
-                np.concatenate([self.vector[run] for run in runs], out=met)
-                np.concatenate([self.values[run] for run in runs], out=added)
-                added *= np.repeat(weight[now].astype(float), self.sizes[now])
-                if packed:
-                    added += one
-                else:
-                    met_in += np.bincount(met, minlength=self.n)
-                score += np.bincount(met, added, self.n)
+                # In a dimension the segments taken follow one another, from the end where
+                # they add most: they are read in one go.  None holds a vector twice.
+                postings = np.bincount(self.dim[now], self.sizes[now], self.dims).astype(np.int64)
+                for d in np.flatnonzero(postings).tolist():
+                    n, w = int(postings[d]), float(query[d])
+                    a = d * self.n + (read[d] if w > 0 else self.n - read[d] - n)
+                    added = np.multiply(self.values[a : a + n], w, out=self.added[:n])
+                    np.add.at(score, self.vector[a : a + n], added)
+                    read[d] += n
                 taken = upto
-            if packed:
-                met_in = np.rint(score / one)
-            so_far = score - met_in * one if packed else score
-            # No segment that is left can add more than the next one.
-            upper = so_far + (dims - met_in) * bound[taken] if taken < len(segments) else so_far
             if floor is None or taken == len(segments):
-                likely = np.argpartition(-upper, 2 * k)[: 2 * k] if self.n > 2 * k else np.arange(self.n)
+                likely = np.argpartition(-score, 2 * k)[: 2 * k] if self.n > 2 * k else np.arange(self.n)
                 likely = likely[self.rows[likely] != own]
                 scores = np.sort(np.append(self.scores(likely, query, limit), known))[::-1]
                 floor = int(scores[k - 1]) if len(scores) >= k else None
-            able = np.ones(self.n, bool) if floor is None else upper >= floor - slack
+            able = np.ones(self.n, bool) if floor is None else score >= floor - slack
             if np.count_nonzero(able) <= max(2 * k, FEW * self.n):
                 break
         places = np.flatnonzero(able & (self.rows != own))

@@ -56,11 +56,11 @@ def test_a_query_stops_before_the_end(monkeypatch):
     matrix = np.floor(centres[rng.integers(0, 40, 4000)] + rng.normal(size=(4000, 32)) * 2).astype(np.int64)
     index = top_k.ImpactIndex(np.arange(4000), np.arange(4000), matrix)
     read = []
-    count = np.bincount
-    monkeypatch.setattr(top_k.np, "bincount", lambda x, *a, **k: (read.append(len(x)), count(x, *a, **k))[1])
+    multiply = np.multiply
+    monkeypatch.setattr(top_k.np, "multiply", lambda x, *a, **k: (read.append(len(x)), multiply(x, *a, **k))[1])
     for q in random.Random(2).sample(range(4000), 20):
         read.clear()
         scores, places = index.best(matrix[q], q, 10, np.zeros(0, np.int64))
         want = np.sort(np.delete(matrix @ matrix[q], q))[::-1][:10]
         assert (np.sort(scores)[::-1][:10] == want).all()
-        assert sum(read) / 2 < matrix.size
+        assert sum(read) < matrix.size
