@@ -7,11 +7,9 @@ import re
 import zlib
 
 import numpy as np
-import pyarrow as pa
 import pytest
 
 from tabwise.llm import (
-    decontaminate,
     fingerprints,
     licenses,
     near_dedup,
@@ -287,62 +285,6 @@ def test_url_filter(spark):
     assert url_filter.filter_urls(pages, url_filter.rules_frame(spark, [])).where("verdict <> 'allow'").count() == 0
 
 
-def test_decontamination(spark, docs):
-    rng = random.Random(9)
-    items = [prose(rng.randrange(12, 60), rng) for _ in range(20)]
-    texts = {}
-    for k, item in enumerate(items):
-        w = item.split()
-        for rate in (0, 0.1):
-            v = list(w)
-            for _ in range(int(rate * len(w))):
-                v[rng.randrange(len(v))] = "changed"
-            texts[len(texts)] = prose(30, rng) + " " + " ".join(v).upper() + " " + prose(30, rng)
-    rows = [(i, t) for i, t in texts.items()] + [(1000, None), (1001, ""), (1002, prose(80, rng))]
-    bench = spark.createDataFrame([(k, t) for k, t in enumerate(items)] + [(99, None), (98, "")], "item_id long, text string")
-    frame = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {(r["doc_id"], r["item_id"]): r for r in decontaminate.find_leaks(frame, bench).collect()}
-    index = decontaminate.ItemIndex(range(len(items)), items)
-    brute = set()
-    for i, t in rows:
-        s = decontaminate.words_of(pa.array([t or ""])).symbols.tolist()
-        for k in range(len(items)):
-            d, _ = decontaminate.edit_distance_within(index.masks[k], len(index.items[k]), s)
-            if d <= index.edits[k]:
-                brute.add((i, k))
-                if (i, k) in got:
-                    assert got[i, k]["distance"] == d
-    assert set(got) <= brute and len(got) >= 0.95 * len(brute) and {(2 * k, k) for k in range(20)} <= set(got)
-    kept = {r["doc_id"] for r in decontaminate.drop_leaks(frame, bench).collect()}
-    assert kept == {i for i, _ in rows} - {i for i, _ in got}
-    assert decontaminate.find_leaks(frame, bench.limit(0)).count() == 0
-
-
-def test_decontamination_of_long_edited_items():
-    """Mixed edits near the limit: each item that brute force finds, at its distance."""
-    rng = random.Random(21)
-    items = [prose(n, rng) for n in (1, 3, 4, 5, 7, 9, 14, 20, 21, 40, 58, 90, 150, 150, 250, 400, 500) for _ in range(4)]
-    texts = []
-    for item in items:
-        for rate in (0.15, 0.2):
-            w = item.split()
-            for _ in range(int(rate * len(w))):
-                at = rng.randrange(len(w))
-                w[at : at + rng.choice((0, 1, 1))] = [f"new{rng.random()}".replace(".", "")] * rng.choice((0, 1, 1))
-            texts.append(prose(rng.randrange(9), rng) + " " + " ".join(w) + " " + prose(60, rng))
-    index = decontaminate.ItemIndex(range(len(items)), items)
-    got = {(t, k): d for t, k, d, _, _ in index.matches(pa.array(texts))}
-    want = {}
-    for t, text in enumerate(texts):
-        symbols = decontaminate.words_of(pa.array([text])).symbols.tolist()
-        for k, n in enumerate(map(len, index.items)):
-            d, _ = decontaminate.edit_distance_within(index.masks[k], n, symbols)
-            if d <= index.edits[k]:
-                want[t, k] = d
-    assert got == want
-    assert sum(k == t // 2 for t, k in want) >= 0.9 * len(texts)
-
-
 def test_quality(spark):
     rng = random.Random(2)
     rows, labels = [], []
