@@ -14,8 +14,8 @@
 A list of many members is not paired out.  First every member meets the pivot of the
 list, and what is linked is contracted into components.  Then a node that still shares a
 list with a larger component is compared with that component's full sets, block by
-block.  So a group of copies costs about its size, and no link between components is
-left unchecked.
+block; small components that share a list lie in blocks together.  So a group of copies
+costs about its size, and no link between components is left unchecked.
 """
 
 from __future__ import annotations
@@ -43,7 +43,6 @@ MARGIN = 5 * (0.8 * 0.2 / K) ** 0.5
 LIST_PART = 1000
 #: Sets that are compared at once.
 BLOCK = 500
-SET_BYTES = 6
 
 
 def _digest_bits(values: np.ndarray) -> list[int]:
@@ -82,10 +81,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):
-            packed = [
-                (v >> np.uint64(63 - 8 * SET_BYTES)).astype(">u8").view(np.uint8).reshape(-1, 8)[:, 8 - SET_BYTES :].tobytes()
-                for v in shingle_sets(batch.column(1), words)
-            ]
+            packed = [v.astype("<u8").tobytes() for v in shingle_sets(batch.column(1), words)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], ["node", "packed"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("node"), text_or_empty().alias("text"))
@@ -94,9 +90,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
 
 
 def _unpack(packed: bytes) -> np.ndarray:
-    out = np.zeros((len(packed) // SET_BYTES, 8), np.uint8)
-    out[:, 8 - SET_BYTES :] = np.frombuffer(packed, np.uint8).reshape(-1, SET_BYTES)
-    return out.view(">u8").ravel().astype(np.uint64)
+    return np.frombuffer(packed, "<u8")
 
 
 def _common(a: np.ndarray, b: np.ndarray) -> int:
@@ -111,7 +105,10 @@ def stage_by_node(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(spark, name)
     title = path.rsplit("/", 1)[-1].replace("-", "_")
     df.write.bucketBy(shuffle_partitions(spark), "node").format("parquet").option("path", path).saveAsTable(title)
-    return spark.table(title)
+    try:
+        return spark.table(title)  # resolved here, with its buckets
+    finally:
+        spark.sql(f"DROP TABLE {title}")  # the catalog's entry; the files are at the path
 
 
 def inverted_lists(nodes: DataFrame) -> DataFrame:
@@ -165,23 +162,37 @@ def _pivot_pairs(entries: DataFrame, percent: int) -> DataFrame:
     return met.select(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b")).distinct()
 
 
-def _block() -> Column:
-    """The block of its component that a node lies in, from node and members."""
-    return F.pmod(F.xxhash64("node"), F.ceil(F.col("members") / BLOCK))
+def _grouped(members: DataFrame) -> DataFrame:
+    """Adds group and block, in which other nodes search a node.
+
+    A component of ``BLOCK`` nodes or more is a group.  The nodes of smaller ones lie
+    together by the longest list that each is in, so many texts with a passage in common
+    are searched block by block too, not one by one.  The value's count bounds the group.
+    """
+    large = F.col("members") >= BLOCK
+    longest = F.get("v", F.size("v") - 1)
+    size = F.when(large, F.col("members")).otherwise(longest["count"])
+    return members.withColumns(
+        {
+            "group": F.when(large, F.col("label")).otherwise(longest["value"]),
+            "block": F.pmod(F.xxhash64("node"), F.ceil(size / BLOCK)),
+        }
+    )
 
 
 def _searches(entries: DataFrame, percent: int) -> DataFrame:
-    """(b, label, block): each node, with every block of a larger component that may hold a
-    node linked to it.
+    """(b, group, block): each node, with every block that may hold a node linked to it of
+    a larger component.
 
     Of two components the smaller one's nodes search the other.  ``entries`` carry each
-    node's label and its component's number of members.  A list lies in parts of about
-    ``LIST_PART`` nodes; nodes below the list's largest component look through all its
-    parts, and what they find is named by component and block.  Joins are between parts, not nodes.
+    node's label, its component's number of members, its group and block.  A list lies in
+    parts of about ``LIST_PART`` nodes; nodes below the list's largest component look through
+    all its parts, and what they find is named by group and block.  Joins are between parts,
+    not nodes.
     """
     # A value's count bounds its list, so parts can be dealt without the list's length.
     part = F.pmod(F.xxhash64("node"), F.ceil(F.col("count") / LIST_PART))
-    member = F.struct("node", "bits", "n", F.struct("members", "label").alias("order"), _block().alias("block"))
+    member = F.struct("node", "bits", "n", F.struct("members", "label").alias("order"), "group", "block")
     parts = stage(
         entries.select("value", part.alias("part"), member.alias("m")).groupBy("value", "part")
         .agg(F.collect_list("m").alias("nodes"), F.min("m.order").alias("lo"), F.max("m.order").alias("hi")),
@@ -201,7 +212,7 @@ def _searches(entries: DataFrame, percent: int) -> DataFrame:
 
     def blocks_for(b: Column) -> Column:
         near = F.filter("nodes", lambda m: (m["order"] > b["order"]) & _may_link(m["bits"], m["n"], b["bits"], b["n"], percent))
-        return F.array_distinct(F.transform(near, lambda m: F.struct(m["order"]["label"].alias("label"), m["block"].alias("block"))))
+        return F.array_distinct(F.transform(near, lambda m: F.struct(m["group"].alias("group"), m["block"].alias("block"))))
 
     met = seeking.join(parts.select("value", "part", "nodes"), ["value", "part"]).select(
         F.filter(
@@ -210,69 +221,70 @@ def _searches(entries: DataFrame, percent: int) -> DataFrame:
         ).alias("found")
     )
     found = met.select(F.explode("found").alias("f")).select("f.b", F.explode("f.blocks").alias("at"))
-    return found.select("b", "at.label", "at.block").distinct()
+    return found.select("b", "at.group", "at.block").distinct()
 
 
 def _search_links(searches: DataFrame, members: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """(a, b): for each search, one linked node of the block, if there is any.
+    """(a, b): for each search, one linked node of each of the block's components that has any.
 
-    ``members``: node, label, members.  The full sets of a block meet its searchers,
+    ``members``: node, label, group, block.  The full sets of a block meet its searchers,
     which lie in teams, over the block's own inverted index; nothing is sampled, and no
     task holds more than a block.  Only blocks that somebody searches are read.
     """
-    at = ["label", "block"]
+    at = ["group", "block"]
     teams = searches.groupBy(at).agg(F.ceil(F.count("*") / BLOCK).alias("teams"))
-    inside = stage(members.withColumn("block", _block()).select("node", *at).join(teams, at), "searched")
+    inside = stage(members.select("node", "label", *at).join(teams, at), "searched")
     nodes = inside.select("node").union(searches.select("b")).distinct()
     sets = stage_by_node(full_sets(docs, nodes, words), "sets")
     held = inside.withColumn("team", F.explode(F.sequence(F.lit(0).cast("long"), F.col("teams") - 1)))
     seekers = searches.withColumnRenamed("b", "node").join(teams, at).withColumn("team", F.pmod(F.xxhash64("node"), F.col("teams")))
+    seekers = seekers.withColumn("label", F.lit(None).cast("long"))
 
     def with_sets(rows: DataFrame, side: int) -> DataFrame:
-        return rows.join(sets, "node").select(*at, "team", F.lit(side).alias("side"), "node", "packed")
+        return rows.join(sets, "node").select(*at, "team", F.lit(side).alias("side"), "node", "packed", "label")
 
     both = with_sets(held, 0).unionByName(with_sets(seekers, 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, ids, arrays, index = None, [], [], None
+        group, ids, labels, arrays, index = None, [], [], [], None
         for batch in batches:
             links = []
-            for *key, side, node, packed in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+            for *key, side, node, packed, label in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
                 if key != group:
-                    group, ids, arrays, index = key, [], [], None
+                    group, ids, labels, arrays, index = key, [], [], [], None
                 if side == 0:
                     ids.append(node)
+                    labels.append(label)
                     arrays.append(_unpack(packed))
                     continue
                 if index is None and ids:
-                    index = _BlockIndex(arrays)
-                hit = index.linked(_unpack(packed), percent) if ids else None
-                if hit is not None:
-                    links.append((ids[hit], node))
+                    index = _BlockIndex(arrays, labels)
+                hits = index.linked(_unpack(packed), percent) if ids else ()
+                links += [(ids[hit], node) for hit in hits if ids[hit] != node]
             columns = list(zip(*links, strict=True)) if links else [(), ()]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["a", "b"])
 
-    order = ["label", "block", "team"]
+    order = ["group", "block", "team"]
     return both.repartition(shuffle_partitions(docs.sparkSession), *order).sortWithinPartitions(*order, "side").mapInArrow(run, "a long, b long")
 
 
 class _BlockIndex:
-    """The inverted index of a block of sets."""
+    """The inverted index of a block of sets, with the components they are known to be in."""
 
-    def __init__(self, sets: list[np.ndarray]) -> None:
-        self.sizes = np.array([len(x) for x in sets])
+    def __init__(self, sets: list[np.ndarray], labels: list[int]) -> None:
+        self.sizes, self.labels = np.array([len(x) for x in sets]), np.array(labels)
         values = np.concatenate(sets)
         order = np.argsort(values, kind="stable")
         self.values, self.owner = values[order], np.repeat(np.arange(len(sets)), self.sizes)[order]
 
-    def linked(self, found: np.ndarray, percent: int) -> int | None:
-        """The place of a set linked to ``found``, or None."""
+    def linked(self, found: np.ndarray, percent: int) -> list[int]:
+        """The place of one set linked to ``found`` for each component that has any."""
         low, high = np.searchsorted(self.values, found), np.searchsorted(self.values, found, "right")
         runs = high - low
         at = np.repeat(low - np.cumsum(runs) + runs, runs) + np.arange(int(runs.sum()))
         common = np.bincount(self.owner[at], minlength=len(self.sizes))
         hits = np.flatnonzero(100 * common >= percent * (self.sizes + len(found) - common))
-        return int(hits[0]) if len(hits) else None
+        return hits[np.unique(self.labels[hits], return_index=True)[1]].tolist()
 
 
 def _estimated(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
@@ -360,8 +372,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = PERCENT) ->
     members = lists.join(labels.join(sizes, "label"), "node", "left").withColumns(
         {"label": F.coalesce("label", "node"), "members": F.coalesce("members", F.lit(1))}
     )
+    members = _grouped(members)
     searches = stage(_searches(_entries(members), percent), "searches")
-    inside = members.select("node", "label", "members")
+    inside = members.select("node", "label", "group", "block")
     labels = _relabel(labels, _search_links(searches, inside, docs, words, percent))
     node_of = nodes.select("key", "node")
     node_of = node_of.join(labels, "node", "left").select("key", F.coalesce("label", "node").alias("component_id"))
