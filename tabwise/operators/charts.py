@@ -86,6 +86,38 @@ def value_counts(df: DataFrame, x: str, n: int = TOP_COUNTS) -> DataFrame:
     )
 
 
+#: Labels that the sketch of frequent values tracks, and how many of them are counted again.
+TRACKED, CANDIDATES = 100_000, 1_000
+#: A sketch of frequent values is off by this many times its rows over the labels tracked.
+SKETCH_ERROR = 3.5
+
+
+def frequent_values(df: DataFrame, x: str, n: int = TOP_COUNTS, tracked: int = TRACKED) -> DataFrame:
+    """``value_counts`` of a column with very many labels, without shuffling them all.
+
+    One scan keeps a mergeable sketch of frequent values; its leaders are counted
+    exactly in a second.  What the sketch left out is rarer than its error bound allows,
+    so the leaders are right if the n-th occurs more often than that; if not, as with
+    evenly spread labels, all labels are counted.
+    """
+    label = value_of(df, x).cast("string").alias("label")
+    labels = df.select(label).where(F.col("label").isNotNull())
+    candidates = max(n, min(CANDIDATES, tracked))
+    sketch = labels.agg(
+        F.count("*").alias("rows"), F.expr(f"approx_top_k(label, {candidates}, {tracked})").alias("top")
+    ).first()
+    names = [t["item"] for t in sketch["top"] or ()]
+    found = labels.where(F.col("label").isin(names)).groupBy("label").agg(F.count("*").alias("value"))
+    leaders = found.orderBy(F.desc("value"), "label").limit(n).collect()
+    # Twice the bound: what the sketch returns is certain to be above it, the rest is not above both.
+    bound = 2 * SKETCH_ERROR * sketch["rows"] / tracked
+    least_named = min((t["count"] for t in sketch["top"] or ()), default=0)
+    bound = max(bound, least_named + bound / 2 if len(names) == candidates else 0)
+    if len(leaders) < n or leaders[-1]["value"] <= bound:
+        return value_counts(df, x, n)
+    return df.sparkSession.createDataFrame(leaders, "label string, value bigint")
+
+
 def value_share(df: DataFrame, x: str, n: int = TOP_COUNTS) -> DataFrame:
     """``value_counts`` with each value's percent of the shown total."""
     shown = value_counts(df, x, n)

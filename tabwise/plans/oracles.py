@@ -602,6 +602,11 @@ WHERE x.role IN ('Date', 'Categorical', 'Boolean') AND y.role = 'Numerical'""",
         ),
         "value_counts": "SELECT event_type AS label, count(*) AS value FROM events "
         "WHERE event_type IS NOT NULL GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 6",
+        "frequent_values_even": "SELECT CAST(l_partkey AS VARCHAR) AS label, count(*) AS value FROM lineitem "
+        "GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 6",
+        "frequent_values_skewed": "SELECT CASE WHEN l_orderkey % 3 = 0 THEN 's' || l_orderkey % 7 "
+        "ELSE l_orderkey || '-' || l_linenumber || '-' || l_partkey END AS label, count(*) AS value FROM lineitem "
+        "GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5",
         "value_share": "WITH shown AS (SELECT event_type AS label, count(*) AS value FROM events "
         "GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 6) SELECT label, value, "
         "round(value * 100 / sum(value) OVER (), 1) AS share FROM shown",

@@ -386,6 +386,18 @@ def value_counts(spark, sf):
     return charts.value_counts(table(spark, sf, "events"), "event_type")
 
 
+def frequent_values_even(spark, sf):
+    """Labels so even that no sketch can tell the leaders: all are counted."""
+    return charts.frequent_values(table(spark, sf, "lineitem"), "l_partkey")
+
+
+def frequent_values_skewed(spark, sf):
+    """Very many labels, a few of them frequent: only those are counted exactly."""
+    key = F.col("l_orderkey")
+    label = F.when(key % 3 == 0, F.concat(F.lit("s"), (key % 7).cast("string"))).otherwise(F.concat_ws("-", key, "l_linenumber", "l_partkey"))
+    return charts.frequent_values(table(spark, sf, "lineitem").select(label.alias("label")), "label", 5)
+
+
 def value_share(spark, sf):
     return charts.value_share(table(spark, sf, "events"), "event_type")
 
@@ -773,7 +785,8 @@ def all_queries() -> dict[str, Query]:
         run_log_read, run_log_project, run_log_follow, date_likeness_sampled, duplicate_count_nan,
         numeric_summary_extreme, derived_totals, outlier_rule_inf, top_categories_decimal,
         correlation_inf, correlation_wide, chart_left_out, chart_batch_all, kpi_spec_decimal,
-        kpi_spec_flags, csv_types, csv_rejects, csv_multiline, cleaned_gaps,
+        kpi_spec_flags, csv_types, csv_rejects, csv_multiline, cleaned_gaps, frequent_values_even,
+        frequent_values_skewed,
     )
     found: dict[str, Query] = {q.__name__: q for q in plain}
     found.update({f"column_roles_{t}": _roles_of(t) for t in ROLE_TABLES})

@@ -222,3 +222,25 @@ def test_whole_numbers_with_gaps_from_text_are_no_identifiers(spark, tmp_path):
 def test_medians_of_distinct_rows(spark):
     df = spark.createDataFrame([(1, 1.0)] * 9 + [(2, 5.0), (3, 7.0), (4, None)], "digest int, v double")
     assert clean.distinct_row_medians(df, ["v"]) == {"v": 5.0}
+
+
+def test_frequent_values_count_only_the_leaders(spark, counted, monkeypatch):
+    rows = [(f"hot{i % 4}" if i % 2 else f"rare{i}",) for i in range(20_000)]
+    df, reads = counted(spark.createDataFrame([*rows, (None,)], "s string").repartition(4))
+    full = []
+    monkeypatch.setattr(charts, "value_counts", lambda *a: full.append(a) or df.limit(0))
+    got = [tuple(r) for r in charts.frequent_values(df, "s", 2, tracked=1000).collect()]
+    assert got == [("hot1", 5000), ("hot3", 5000)] and not full
+    assert reads() == 2
+    charts.frequent_values(df, "s", 3, tracked=1000)  # the third is as rare as all others
+    assert len(full) == 1
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_frequent_values_equal_exact_counts(spark, seed):
+    rng = random.Random(seed)
+    rows = [(f"v{int(rng.paretovariate(0.6))}",) for _ in range(5000)]
+    df = spark.createDataFrame(rows, "s string").repartition(3)
+    for tracked in (16, 200, 5000):
+        got = sorted(map(tuple, charts.frequent_values(df, "s", 5, tracked).collect()))
+        assert got == sorted(map(tuple, charts.value_counts(df, "s", 5).collect()))

@@ -1,6 +1,8 @@
 import datetime
 import json
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -167,3 +169,52 @@ def test_samples(spark):
     assert abs(big.where("Attrition = 'Yes'").count() / 20_000 - 0.15) < 0.01
     shares = {r[0]: r[1] / 20_000 for r in big.groupBy("Department").agg(F.count("*")).collect()}
     assert abs(shares["Research & Development"] - 0.35) < 0.02
+
+
+def test_records_across_splits(spark, tmp_path, rows):
+    """Line breaks, commas and quotes in quoted fields of files cut into many splits."""
+    rng = random.Random(3)
+    want, lines = [], []
+    for i in range(400):
+        text = "".join(rng.choice(['a', 'b,', '""', "\n", "\n\n", "7,x\n", " "]) for _ in range(rng.randrange(0, 30)))
+        lines.append(f'{i},"{text}",z')
+        want.append((i, text.replace('""', '"') or None, "z"))
+    (tmp_path / "t").mkdir()
+    for k in range(2):
+        body = "\n".join(["k,note,w", *lines[k::2]]) + ("\n" if k else "")
+        (tmp_path / "t" / f"{k}.csv").write_bytes(body.encode())
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("64", "700", before):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.files.openCostInBytes", "1")
+            got = read_table(spark, str(tmp_path / "t"), "csv", multi_line=True)
+            assert sorted(map(tuple, got.collect())) == sorted(want, key=lambda r: r[0])
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_crlf_and_blank_lines(spark, tmp_path, rows):
+    (tmp_path / "c.csv").write_bytes(b'a,b\r\n1,"x\r\ny"\r\n\r\n2,z\r\n')
+    got = read_table(spark, str(tmp_path / "c.csv"), multi_line=True)
+    assert rows(got) == [(1, "x\r\ny"), (2, "z")]
+
+
+def test_a_row_that_reads_like_the_header(spark, tmp_path, rows):
+    (tmp_path / "h.csv").write_text("a,b\n1,2\na,b\n3,4\n")
+    assert rows(read_table(spark, str(tmp_path / "h.csv"))) == [("1", "2"), ("3", "4"), ("a", "b")]
+
+
+def test_a_csv_is_read_twice(spark, tmp_path):
+    """Once for types and rejects, once for the rows."""
+    (tmp_path / "n.csv").write_text("a,b\n" + "\n".join(f"{i},x{i}" for i in range(50)))
+    group = "csv-scans"
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        df = read_table(spark, str(tmp_path / "n.csv"))
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert [f.dataType.simpleString() for f in df.schema] == ["bigint", "string"]
+    assert jobs <= 6  # two look at the first lines only
