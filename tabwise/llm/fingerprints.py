@@ -2,12 +2,13 @@
 
 A text is cut into paragraphs: lines, their sentences, and runs of ``RUN`` words of long
 sentences.  Each paragraph's digest (with the number of its earlier occurrences, so
-repeats count) is added to three cells; a cell holds a count, a sum of digests and a sum
-of check values.  Cells of two versions subtract; where one differing digest is alone in
-a cell it can be read off and taken out of its other cells, until all are recovered.  If
-some remain, both versions are sketched anew with twice the cells.  A digest carries its
-paragraph's length, so the likeness of two texts is the part of their bytes that lies in
-no differing paragraph.
+repeats count) is added to three cells; a cell holds a count, and sums of digests, of check
+values and of the paragraphs' lengths.  Cells of two versions subtract; where one differing
+digest is alone in a cell it can be read off with its length and taken out of its other
+cells, until all are recovered.  If some remain, both versions are sketched anew with twice
+the cells; with more cells than their paragraphs could need, the digests are compared one
+by one.  The likeness of two texts is the part of their bytes that lies in no differing
+paragraph.
 
 All documents of a slice are sketched and peeled together in array passes.
 """
@@ -29,34 +30,36 @@ from tabwise.llm.common import SpanHash, buffer_of, chunks, mix, seeded, shuffle
 CELLS = 24
 HASHES = 3
 RUN = 8
-_LENGTH = np.uint64(0xFFFF)
-_CELL = np.dtype([("count", "<i4"), ("sum", "<u8"), ("check", "<u4")])
+#: Cells for each paragraph beyond which a sketch is not tried again.
+MOST_CELLS = 8
+_CELL = np.dtype([("count", "<i4"), ("sum", "<u8"), ("check", "<u4"), ("size", "<i8")])
 
 
 @dataclass
 class Paragraphs:
-    """Digests of many texts' paragraphs; ``row`` tells the text."""
+    """Digests and lengths in bytes of many texts' paragraphs; ``row`` tells the text."""
 
     n: int
     row: np.ndarray
     key: np.ndarray
+    size: np.ndarray
 
     def of(self, wanted: np.ndarray) -> Paragraphs:
         """Those of the wanted texts, numbered in their order."""
         place = np.full(self.n, -1)
         place[wanted] = np.arange(len(wanted))
         row = place[self.row]
-        return Paragraphs(len(wanted), row[row >= 0], self.key[row >= 0])
+        return Paragraphs(len(wanted), row[row >= 0], self.key[row >= 0], self.size[row >= 0])
 
     def weights(self) -> np.ndarray:
-        return np.bincount(self.row, (self.key & _LENGTH).astype(float), self.n)
+        return np.bincount(self.row, self.size.astype(float), self.n)
 
 
 def paragraphs(texts: list[str]) -> Paragraphs:
     data, offsets = buffer_of(pa.array(texts, pa.large_string()))
     size = len(data)
     if not size:
-        return Paragraphs(len(texts), np.zeros(0, np.int64), np.zeros(0, np.uint64))
+        return Paragraphs(len(texts), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64))
     after_line = np.flatnonzero(data[:-1] == 10) + 1
     ends = np.flatnonzero(np.isin(data[:-2], list(b".!?")) & (data[1:-1] == 32)) + 2 if size > 2 else after_line[:0]
     cut = np.zeros(size, bool)
@@ -78,8 +81,8 @@ def paragraphs(texts: list[str]) -> Paragraphs:
     began = np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
     earlier = np.empty(len(order), np.uint64)
     earlier[order] = np.arange(len(order)) - began
-    key = mix(raw + earlier * np.uint64(0x9E3779B97F4A7C15)) & ~_LENGTH
-    return Paragraphs(len(texts), row, key | np.minimum(stops - starts, int(_LENGTH)).astype(np.uint64))
+    key = mix(raw + earlier * np.uint64(0x9E3779B97F4A7C15))
+    return Paragraphs(len(texts), row, key, stops - starts)
 
 
 def _places(key: np.ndarray, cells: int) -> list[np.ndarray]:
@@ -99,57 +102,65 @@ class Sketch:
     count: np.ndarray
     total: np.ndarray
     check: np.ndarray
+    size: np.ndarray
+
+    @property
+    def sums(self) -> tuple[np.ndarray, ...]:
+        return self.count, self.total, self.check, self.size
 
     @classmethod
     def of(cls, items: Paragraphs, cells: int) -> Sketch:
-        out = cls(*(np.zeros(items.n * cells, t) for t in (np.int64, np.uint64, np.uint64)))
-        out._add(items.row, items.key, np.ones(len(items.key), np.int64), cells)
-        return cls(*(x.reshape(items.n, cells) for x in (out.count, out.total, out.check)))
+        out = cls(*(np.zeros(items.n * cells, t) for t in (np.int64, np.uint64, np.uint64, np.int64)))
+        out._add(items.row, items.key, items.size, np.ones(len(items.key), np.int64), cells)
+        return cls(*(x.reshape(items.n, cells) for x in out.sums))
 
-    def _add(self, row: np.ndarray, key: np.ndarray, sign: np.ndarray, cells: int) -> None:
+    def _add(self, row: np.ndarray, key: np.ndarray, size: np.ndarray, sign: np.ndarray, cells: int) -> None:
         factor = sign.astype(np.uint64)  # -1 wraps, as the sums do
         for place in _places(key, cells):
             at = row * cells + place
             np.add.at(self.count, at, sign)
             np.add.at(self.total, at, key * factor)
             np.add.at(self.check, at, _check(key) * factor)
+            np.add.at(self.size, at, size * sign)
 
     def __sub__(self, other: Sketch) -> Sketch:
-        return Sketch(self.count - other.count, self.total - other.total, self.check - other.check)
+        return Sketch(*(a - b for a, b in zip(self.sums, other.sums, strict=True)))
 
     def take(self, rows: slice) -> Sketch:
-        return Sketch(self.count[rows], self.total[rows], self.check[rows])
+        return Sketch(*(x[rows] for x in self.sums))
 
     def text(self) -> list[str]:
         cells = np.zeros(self.count.shape, _CELL)
         cells["count"], cells["sum"], cells["check"] = self.count, self.total, self.check & np.uint64(0xFFFFFFFF)
+        cells["size"] = self.size
         return [base64.b64encode(c.tobytes()).decode() for c in cells]
 
-    def peel(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Of a difference: row, digest and side (1 or -1) of what was recovered, and the
-        rows of which nothing is left."""
+    def peel(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of a difference: row, digest, length and side (1 or -1) of what was recovered, and
+        the rows of which nothing is left."""
         n, cells = self.count.shape
-        rest = Sketch(*(x.copy().ravel() for x in (self.count, self.total, self.check)))
-        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        rest = Sketch(*(x.copy().ravel() for x in self.sums))
+        found: list[tuple[np.ndarray, ...]] = []
         while True:
             at = np.flatnonzero(np.abs(rest.count) == 1)
             sign = rest.count[at]
             key = rest.total[at] * sign.astype(np.uint64)
             pure = rest.check[at] == _check(key) * sign.astype(np.uint64)
-            row, key, sign = at[pure] // cells, key[pure], sign[pure]
+            row, key, sign, size = at[pure] // cells, key[pure], sign[pure], (rest.size[at] * sign)[pure]
             if not len(row):
                 break
             order = np.lexsort((key, row))
-            row, key, sign = row[order], key[order], sign[order]
+            row, key, sign, size = row[order], key[order], sign[order], size[order]
             new = np.ones(len(row), bool)
             new[1:] = (row[1:] != row[:-1]) | (key[1:] != key[:-1])
-            row, key, sign = row[new], key[new], sign[new]
-            found.append((row, key, sign))
-            rest._add(row, key, -sign, cells)
+            row, key, sign, size = row[new], key[new], sign[new], size[new]
+            found.append((row, key, size, sign))
+            rest._add(row, key, size, -sign, cells)
             if len(found) > 4 * cells:  # a false reading could go round for ever
                 break
-        left = (rest.count != 0) | (rest.total != 0) | (rest.check != 0)
-        parts = [np.concatenate([f[i] for f in found]) if found else np.zeros(0, t) for i, t in enumerate((np.int64, np.uint64, np.int64))]
+        left = (rest.count != 0) | (rest.total != 0) | (rest.check != 0) | (rest.size != 0)
+        kinds = (np.int64, np.uint64, np.int64, np.int64)
+        parts = [np.concatenate([f[i] for f in found]) if found else np.zeros(0, t) for i, t in enumerate(kinds)]
         return *parts, ~left.reshape(n, cells).any(axis=1)
 
 
@@ -158,14 +169,31 @@ def difference_weights(a: Paragraphs, b: Paragraphs, sketched: Sketch | None = N
     out, todo, cells = np.zeros(a.n), np.arange(a.n), CELLS
     while len(todo):
         if sketched is None:
-            sketched = Sketch.of(a.of(todo), cells) - Sketch.of(b.of(todo), cells)
-        row, key, _, done = sketched.peel()
-        got = np.bincount(row, (key & _LENGTH).astype(float), len(todo))
+            x, y = a.of(todo), b.of(todo)
+            most = np.bincount(np.concatenate((x.row, y.row)), minlength=len(todo)).max()
+            if cells > MOST_CELLS * most + CELLS:  # two digests of a text are one: no sketch tells them apart
+                out[todo] = _differing(x, y)
+                break
+            sketched = Sketch.of(x, cells) - Sketch.of(y, cells)
+        row, _, size, _, done = sketched.peel()
+        got = np.bincount(row, size.astype(float), len(todo))
         out[todo[done]] = got[done]
         todo, cells, sketched = todo[~done], 2 * cells, None
     return out
 
 
+def _differing(a: Paragraphs, b: Paragraphs) -> np.ndarray:
+    """The bytes in paragraphs that only one of two texts has, by comparing digests."""
+    row, key = np.concatenate((a.row, b.row)), np.concatenate((a.key, b.key))
+    size, side = np.concatenate((a.size, b.size)), np.repeat([1, -1], [len(a.row), len(b.row)])
+    order = np.lexsort((key, row))
+    first = np.ones(len(order), bool)
+    first[1:] = (row[order][1:] != row[order][:-1]) | (key[order][1:] != key[order][:-1])
+    group = np.cumsum(first) - 1
+    balance = np.abs(np.bincount(group, side[order], int(first.sum())))
+    return np.bincount(row[order][first], balance * size[order][first], a.n)
+
+
 def likeness(a: Paragraphs, b: Paragraphs, sketched: Sketch | None = None) -> np.ndarray:
     both = a.weights() + b.weights()
     return np.where(both > 0, 1 - difference_weights(a, b, sketched) / np.maximum(both, 1), 1.0)

@@ -177,8 +177,8 @@ def write_token_files(docs: DataFrame, vocabulary_path: str, end_id: int, *, fil
 
     Returns the manifest: part, path, n_docs, n_ids, one row per file; the files' order
     is that of ``part``.  A null text is empty and holds the end id alone; a null doc_id
-    comes first and is kept as null; rows that repeat a doc_id are ordered by their text
-    and all kept.  Other columns are ignored.  No rows: no files.
+    comes first and is kept as null; rows that repeat a doc_id are ordered by a hash of
+    their text, then by the text, and all kept.  Other columns are ignored.  No rows: no files.
     """
     spark = docs.sparkSession
     folder = storage.new_folder(spark, "token-files")
@@ -206,7 +206,7 @@ def write_token_files(docs: DataFrame, vocabulary_path: str, end_id: int, *, fil
     rows = (
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
         .repartitionByRange(files or shuffle_partitions(spark), "doc_id", F.xxhash64("text"))
-        .sortWithinPartitions("doc_id", "text")
+        .sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
     )
     return stage(rows.mapInArrow(write, "part int, path string, n_docs long, n_ids long"), "token-manifest")
 

@@ -29,8 +29,8 @@ RULES: tuple[Rule, ...] = (
     ("block", "example.com", "/de/"),
     ("allow", "org", "/fr/"),
 )
-#: Rules of at most this many rows are sent to every task; more are shuffled.
-BROADCAST_ROWS = 100_000
+#: Parts over which the rows of one URL are dealt.
+SALTS = 8
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -113,8 +113,6 @@ def filter_urls(
     known = rules.withColumn("r_digest", _digest(F.col("r_host"), F.col("r_path"))).withColumn(
         "short", _short(F.col("r_digest"))
     )
-    if shape["n"] <= BROADCAST_ROWS:
-        known = F.broadcast(known)
     order = F.struct(
         (F.length("r_host") + F.length("r_path")).alias("size"),
         F.length("r_host").alias("host_size"),
@@ -126,7 +124,10 @@ def filter_urls(
         .groupBy("host", "path")
         .agg(F.max_by(F.struct(F.concat("r_host", "r_path").alias("rule"), "r_verdict"), order).alias("best"))
     )
-    return rows.join(judged, ["host", "path"], "left").select(
+    # A URL may be that of a third of all rows: they meet one of several copies of its verdict.
+    judged = judged.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    dealt = rows.withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)))
+    return dealt.join(judged, ["host", "path", "salt"], "left").select(
         F.col("k").alias(key),
         "host",
         "path",

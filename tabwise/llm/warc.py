@@ -16,7 +16,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabwise.functions.staging import stage
@@ -28,8 +28,11 @@ SKIPPABLE = 0x184D2A5D
 DICTIONARY_BYTES = 64 << 10
 #: The dictionary is built from about this many rows picked by hash: a bounded sample.
 SAMPLE_ROWS = 400
-#: Of each sampled record, for the dictionary only; archived payloads are whole.
+#: Of each sampled record, from a place of its own, for the dictionary only; archived
+#: payloads are whole.
 SAMPLE_RECORD_BYTES = 16 << 10
+#: Parts over which the rows of one payload are dealt.
+SALTS = 16
 LEVEL = 3
 #: Fixed values of the format.
 REVISIT_PROFILE = "http://netpreservation.org/warc/1.1/revisit/identical-payload-digest"
@@ -105,7 +108,7 @@ def build_dictionary(samples: list[bytes]) -> bytes:
     """A trained dictionary; of too few samples, their own bytes."""
     import zstandard
 
-    samples = [s[:SAMPLE_RECORD_BYTES] for s in samples if s]
+    samples = [s for s in samples if s]
     size = min(DICTIONARY_BYTES, sum(map(len, samples)) // 16)
     if size >= 1024:
         try:
@@ -121,6 +124,12 @@ def _dictionary(data: bytes):
     return zstandard.ZstdCompressionDict(data) if len(data) >= 8 else None
 
 
+def _piece(name: str, size: int) -> Column:
+    """A part of a text from a place that its hash picks."""
+    spare = F.greatest(F.length(name) - size, F.lit(0))
+    return F.substring(F.col(name), (1 + F.pmod(F.xxhash64(name), spare + 1)).cast("int"), F.lit(size))
+
+
 def write_archives(
     pages: DataFrame, *, key: str = "page_id", url: str = "url", body: str = "html", date: str = "1970-01-01T00:00:00Z"
 ) -> DataFrame:
@@ -146,7 +155,7 @@ def write_archives(
     sample = [
         build_record(r["key"], r["url"], r["body"].encode(), None, date)
         for r in rows.where(picked)
-        .select("key", F.substring("url", 1, 2000).alias("url"), F.substring("body", 1, SAMPLE_RECORD_BYTES).alias("body"))
+        .select("key", F.substring("url", 1, 2000).alias("url"), _piece("body", SAMPLE_RECORD_BYTES).alias("body"))
         .limit(2 * SAMPLE_ROWS)
         .collect()
     ]
@@ -173,7 +182,11 @@ def write_archives(
             stream.close()
             yield pa.RecordBatch.from_pydict({"path": [uri], "n_records": pa.array([count], pa.int64())})
 
-    joined = rows.join(firsts, "digest", "left").select("key", "url", "body", "first")
+    # A payload may be that of a third of all rows: its rows meet one of several copies of
+    # its first id.
+    salted = firsts.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    dealt = rows.withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)))
+    joined = dealt.join(salted, ["digest", "salt"], "left").select("key", "url", "body", "first")
     return stage(joined.mapInArrow(write, "path string, n_records long"), "warc-manifest")
 
 

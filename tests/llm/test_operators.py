@@ -245,6 +245,10 @@ def test_warc(spark):
         assert r["payload_digest"] == warc.payload_digest((h or "").encode())
         assert (r["record_type"], r["refers_to"]) == (("response", None) if first == i + 1 else ("revisit", first))
     assert warc.read_archives(warc.write_archives(pages.limit(0))).count() == 0
+    odd = [(None, "u", "same"), (None, "u", "same"), (4, None, "same"), (4, "v", "other"), (9, "w", None), (8, "w", "")]
+    found = warc.read_archives(warc.write_archives(spark.createDataFrame(odd, "page_id long, url string, html string"))).collect()
+    seen = sorted(((r["page_id"], r["record_type"], r["refers_to"], r["payload_bytes"]) for r in found), key=repr)
+    assert seen == sorted([(None, "revisit", 4, 4), (None, "revisit", 4, 4), (4, "response", None, 4), (4, "response", None, 5), (9, "revisit", 8, 0), (8, "response", None, 0)], key=repr)
     record = warc.parse_record(warc.build_record(7, "u", b"a\r\n\r\nb", None, "d"))
     assert record["payload"] == b"a\r\n\r\nb" and record["page_id"] == 7
 
@@ -256,8 +260,8 @@ def test_fingerprints(docs, none):
     for (doc, t), (_, after) in zip(ordered, ordered[1:] + ordered[:1], strict=True):
         e = fingerprints.edited_text(t, after)
         p = fingerprints.paragraphs([t, e, after])
-        sets = [set(p.key[p.row == k].tolist()) for k in range(3)]
-        weigh = lambda s: sum(k & 0xFFFF for k in s)
+        sets = [set(zip(p.key[p.row == k].tolist(), p.size[p.row == k].tolist(), strict=True)) for k in range(3)]
+        weigh = lambda s: sum(size for _, size in s)
         like = [1 - weigh(sets[0] ^ o) / (weigh(sets[0]) + weigh(o)) if sets[0] or o else 1.0 for o in sets[1:]]
         want.append((doc, len(t), hashlib.sha256(e.encode()).hexdigest(), *[pytest.approx(x) for x in like]))
     got.sort(key=lambda r: (r["doc_id"], r["edited_sha256"]))
@@ -271,6 +275,21 @@ def test_fingerprints(docs, none):
     assert fingerprints.fingerprint_versions(none).count() == 0
 
 
+def test_fingerprints_of_long_words_and_null_ids(spark):
+    """One word of 200 KB weighs all its bytes."""
+    long = "w" * 200_000
+    texts = [(None, "a"), (None, None), (1, long), (2, long + " more words"), (2, long), (3, "")]
+    docs = spark.createDataFrame([(i, t, "k") for i, t in texts], "doc_id long, text string, place string")
+    got = {(r["doc_id"], r["n_chars"]): r for r in fingerprints.fingerprint_versions(docs).collect()}
+    assert len(got) == 6 and got[1, 200_000]["near_next"] == pytest.approx(1.0)  # the same text follows by order
+    with_more = got[2, 200_011]
+    assert with_more["near_edited"] < 0.01 and with_more["near_next"] <= 0.001
+    p = fingerprints.paragraphs([long, "x " * 50])
+    assert p.size.sum() == 200_100
+    one, two = (fingerprints.Paragraphs(1, np.zeros(3, np.int64), np.array(k, np.uint64), np.array([5, 5, 7])) for k in ([1, 1, 2], [1, 3, 2]))
+    assert fingerprints.difference_weights(one, two).tolist() == [10.0]  # a digest that comes twice
+
+
 def test_url_filter(spark):
     urls = [None, "", "no scheme", "http://net", "http://a.NET/x", "http://net/", "https://example.net/en/1?q", "http://x.example.net/en",
             "http://example.com/de/", "http://notexample.com/de/", "http://org/fr/#a", "http://a?b/c", "http://..net//", "a://b.org/fr/c://net/"]
@@ -283,6 +302,12 @@ def test_url_filter(spark):
         best = max(fit, default=(0, None, "allow"))
         assert (got[i]["host"], got[i]["path"], got[i]["rule"], got[i]["verdict"]) == (host, path, *best[1:])
     assert url_filter.filter_urls(pages, url_filter.rules_frame(spark, [])).where("verdict <> 'allow'").count() == 0
+    rules = url_filter.rules_frame(spark, url_filter.RULES)
+    many = [(None, "http://a.net/" + "x" * 50_000, "h", "p")] * 3 + [(7, None, "h", "p")] * 40 + [(7, "http://b.net/", "h", "p")] * 40
+    frame = spark.createDataFrame(many, "page_id long, url string, host string, path string")
+    judged = url_filter.filter_urls(frame, rules)
+    assert judged.columns[:3] == ["page_id", "host", "path"] and judged.where("verdict = 'block'").count() == 43 and judged.count() == 83
+    assert url_filter.filter_urls(frame.limit(0), rules).count() == 0
 
 
 def test_quality(spark):
