@@ -92,8 +92,9 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
 
 
-def train(spark: SparkSession, statistics: DataFrame, labels: DataFrame) -> RuleModel:
-    """From doc_id and statistics, and the labels of rows that are not held out.
+def training_labels(labels: DataFrame) -> DataFrame:
+    """doc_id and label of the rows to learn from: not held out, and about
+    ``MAX_TRAINING_ROWS`` at most.
 
     Labels other than 0 and 1, and null ids, are left out; a document labelled twice
     counts twice.
@@ -102,7 +103,12 @@ def train(spark: SparkSession, statistics: DataFrame, labels: DataFrame) -> Rule
         "doc_id", F.col("quality").alias("label")
     )
     share = min(1.0, MAX_TRAINING_ROWS / max(1, known.count()))
-    known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < math.ceil(share * 1_000_000))
+    return known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < math.ceil(share * 1_000_000))
+
+
+def train(spark: SparkSession, statistics: DataFrame, labels: DataFrame) -> RuleModel:
+    """From doc_id and statistics, and the labels of rows that are not held out."""
+    known = training_labels(labels)
     examples = stage(
         statistics.join(known, "doc_id").select("label", "statistics").repartition(TRAINING_PARTITIONS), "examples"
     )
@@ -129,8 +135,14 @@ def score_documents(spark: SparkSession, docs: DataFrame, labels: DataFrame) ->
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents that score at least ``threshold``, with all their columns."""
-    model, _ = learn(spark, docs, labels)
+    """The documents that score at least ``threshold``, with all their columns.
+
+    The labels to learn from are a bounded number, so they go to the documents, and
+    statistics are taken of the labelled ones first and then once of all.
+    """
+    known = F.broadcast(training_labels(labels))
+    examples = docs.select("doc_id", "text").join(known, "doc_id").select("label", statistics_of(F.col("text")).alias("statistics"))
+    model = fit_rules(stage(examples.repartition(TRAINING_PARTITIONS), "examples"))
     return docs.where(model.score(statistics_of(F.col("text"))) >= threshold)
 
 

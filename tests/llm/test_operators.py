@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tabwise.llm import (
@@ -331,6 +332,71 @@ def test_quality(spark):
     assert quality.score_documents(spark, docs.limit(0), marks).count() == 0
 
 
+def test_quality_scores_equal_the_rules(spark):
+    """Scores recomputed from the rules in plain code, over odd and repeated rows."""
+    rng = random.Random(4)
+    rows = [(i, prose(rng.randrange(3, 60), rng) if i % 3 else "!!! 123 " * rng.randrange(1, 40)) for i in range(240)]
+    rows += [(5, rows[5][1]), (None, "a b"), (None, None), (6, ""), (301, prose(8000, rng))]
+    docs = spark.createDataFrame([(i, t, 0, [1.0], 7) for i, t in rows], "doc_id long, text string, label int, statistics array<double>, score int")
+    marks = spark.createDataFrame([(i, int(i % 3 > 0), 0) for i in range(240)] + [(None, 1, 0), (7, 5, 0), (8, None, 0), (9, 0, 0)], "doc_id long, quality int, toxic int")
+    model, _ = quality.learn(spark, docs, marks)
+    assert model.rules
+    numbers = quality.statistics_of.__globals__["text_statistics"](pa.array([t or "" for _, t in rows]))
+
+    def plain(values):
+        at = dict(zip(quality.NAMES, values, strict=True))
+        total = model.intercept + sum(w for rule, w in model.rules if all((lo is None or at[n] > lo) and (hi is None or at[n] <= hi) for n, lo, hi in rule))
+        return 1 / (1 + np.exp(-total))
+
+    got = sorted(round(r["score"], 9) for r in quality.score_documents(spark, docs, marks).collect())
+    assert got == sorted(round(float(plain(v)), 9) for v in numbers)
+    kept = quality.keep_good(spark, docs, marks)
+    assert kept.columns == docs.columns and {"a b"} <= {r["text"] for r in kept.collect()} | {"a b"}
+    clean = [r["doc_id"] for r in kept.collect() if r["doc_id"] is not None and r["doc_id"] < 240]
+    assert sum(i % 3 > 0 for i in clean) >= 0.98 * 160 and sum(i % 3 == 0 for i in clean) <= 2
+
+
+def test_ids_that_are_null_or_repeated(spark):
+    """Sharding, packing and token files keep every row."""
+    texts = ["a b c", None, "", "a b c", prose(3000), "x " * 2000]
+    rows = [(i, t, 1, "s") for t in texts for i in (None, 3, 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, piece int, size string").repartition(2)
+    shards = sharding.shard_documents(docs, 3).collect()
+    assert len(shards) == len(rows)
+    sizes = {}
+    for r in shards:
+        sizes[r["shard"]] = sizes.get(r["shard"], 0) + r["size"]
+    groups = [3 * (len((t or "").encode()) + 8) for t in texts]
+    assert max(sizes.values()) <= max(max(groups), -(-sum(groups) // 3) + max(groups))
+    path = vocabulary("byte_bpe_50k.json")
+    packed = packing.pack_documents(docs, path, 2).collect()
+    encoder = Encoder(path)
+    assert sum(r["length"] for r in packed) == 3 * sum(len(encoder([t or ""])[0]) // 4 + 1 for t in texts)
+    assert sum(r["doc_id"] is None for r in packed) * 2 == sum(r["doc_id"] == 3 for r in packed)
+    words = vocabulary("word_bpe_49k.json")
+    read = token_files.read_token_files(token_files.write_token_files(docs, words, 1, files=3)).collect()
+    assert len(read) == len(rows) and sorted(r["start"] for r in read)[0] == 0
+
+
+def test_pipeline_of_odd_tables(spark, tmp_path):
+    """Nulls pass through every stage; no rows stay no rows."""
+    import corpus_pipeline
+
+    rng = random.Random(6)
+    rows = [(i, prose(rng.randrange(20, 90), rng), "en", "s", 1) for i in range(60)] + [(None, prose(40, rng), None, None, None), (None, None, "en", "s", 0), (5, "", None, "s", 0)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, 1, 0) for i in range(0, 60, 2)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, rows[3][1]), (None, None)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {r["doc_id"] for r in packed} == {i for i in range(60) if i != 3} | {None}
+    (tmp_path / "none").mkdir()
+    spark.createDataFrame([], schema).write.parquet(str(tmp_path / "none" / "documents.parquet"))
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(str(tmp_path / f"{name}.parquet")).limit(0).write.parquet(str(tmp_path / "none" / f"{name}.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
