@@ -66,11 +66,16 @@ def seeded(n: int, seed: int) -> np.ndarray:
         return mix((np.arange(1, n + 1, dtype=np.uint64) + np.uint64(seed) * np.uint64(1 << 20)) * np.uint64(0x9E3779B97F4A7C15))
 
 
+#: Parts of a 64-bit hash that each set a bit, by the bits below them.
+PROBES = (0, 19, 37)
+
+
 def bitmap_of(hashes: DataFrame, bits: int) -> np.ndarray:
-    """A bitmap (``bits`` is a power of two) of 64-bit hashes, the only column; the driver
-    gets its set words, whose number ``bits`` bounds."""
-    slot = F.col(hashes.columns[0]).bitwiseAND(F.lit(bits - 1))
-    words = hashes.select(slot.alias("slot")).groupBy(F.shiftright("slot", 6).alias("word")).agg(
+    """A bitmap (``bits`` is a power of two up to 2**27) with ``PROBES`` bits for each 64-bit
+    hash, the only column; the driver gets its set words, whose number ``bits`` bounds."""
+    hash_ = F.col(hashes.columns[0])
+    slots = F.array(*[F.shiftrightunsigned(hash_, n).bitwiseAND(F.lit(bits - 1)) for n in PROBES])
+    words = hashes.select(F.explode(slots).alias("slot")).groupBy(F.shiftright("slot", 6).alias("word")).agg(
         F.expr("bit_or(shiftleft(1L, cast(slot & 63 AS int)))").alias("set")
     ).toArrow()
     full = np.zeros(bits // 64, "<i8")
@@ -79,8 +84,12 @@ def bitmap_of(hashes: DataFrame, bits: int) -> np.ndarray:
 
 
 def in_bitmap(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    slot = hashes & np.uint64(8 * len(bitmap) - 1)
-    return (bitmap[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 == 1
+    """Which hashes may be in it; of others, those whose bits all happen to be set."""
+    found = np.ones(len(hashes), bool)
+    for n in PROBES:
+        slot = (hashes >> np.uint64(n)) & np.uint64(8 * len(bitmap) - 1)
+        found &= (bitmap[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 == 1
+    return found
 
 
 class SpanHash:

@@ -45,7 +45,7 @@ WALK = 1.6
 #: Parts over which the documents that share an item's key are dealt.
 SALTS = 16
 #: Bits of the bitmaps for each entry, and of the largest (16 MB).
-WORD_BITS, KEY_BITS, MOST_BITS = 256, 64, 1 << 27
+WORD_BITS, KEY_BITS, MOST_BITS = 64, 256, 1 << 27
 SEED = 11
 
 _B = np.arange(256)

@@ -12,7 +12,8 @@
 4. The full sets confirm the rest exactly.
 
 A list of many members is not paired out.  First every member meets the pivot of the
-list, and what is linked is contracted into components.  Then a node that still shares a
+list, and what is linked is contracted into components; what is left meets a member of the
+list's largest component.  Then a node that still shares a
 list with a larger component is compared with that component's full sets, block by
 block; small components that share a list lie in blocks together.  So a group of copies
 costs about its size, and no link between components is left unchecked.
@@ -40,9 +41,11 @@ WORDS = 4
 #: How far an estimate from sketches may lie below the similarity (5 sigma at K values).
 MARGIN = 5 * (0.8 * 0.2 / K) ** 0.5
 #: Members of a list that one row holds when components search each other.
-LIST_PART = 1000
+LIST_PART = 4000
 #: Sets that are compared at once.
 BLOCK = 500
+#: Lists at least this part as long as a node's longest may be the home of its group.
+LONG = 0.8
 
 
 def _digest_bits(values: np.ndarray) -> list[int]:
@@ -162,22 +165,46 @@ def _pivot_pairs(entries: DataFrame, percent: int) -> DataFrame:
     return met.select(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b")).distinct()
 
 
+def _power_of_two(x: Column) -> Column:
+    """The least power of two that is no smaller."""
+    return F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(F.lit(1.0), x)))).cast("long")
+
+
+def _share(pieces: Column) -> Column:
+    """The node's piece of a list or group; of a finer cut it lies within that of a coarser one."""
+    return F.pmod(F.xxhash64("node"), _power_of_two(pieces))
+
+
 def _grouped(members: DataFrame) -> DataFrame:
     """Adds group and block, in which other nodes search a node.
 
     A component of ``BLOCK`` nodes or more is a group.  The nodes of smaller ones lie
-    together by the longest list that each is in, so many texts with a passage in common
-    are searched block by block too, not one by one.  The value's count bounds the group.
+    together by one of the longest lists that each is in, so many texts with a passage in
+    common are searched block by block too, not one by one.
     """
     large = F.col("members") >= BLOCK
-    longest = F.get("v", F.size("v") - 1)
-    size = F.when(large, F.col("members")).otherwise(longest["count"])
-    return members.withColumns(
-        {
-            "group": F.when(large, F.col("label")).otherwise(longest["value"]),
-            "block": F.pmod(F.xxhash64("node"), F.ceil(size / BLOCK)),
-        }
+    longest = F.get("v", F.size("v") - 1)["count"]
+    near_longest = F.filter("v", lambda x: x["count"] >= LONG * longest)
+    home = F.array_min(F.transform(near_longest, lambda x: x["value"]))
+    members = members.withColumn("group", F.when(large, F.col("label")).otherwise(home))
+    # Groups that need no second block are not looked up.
+    sizes = members.groupBy("group").agg(F.count("*").alias("size")).where(F.col("size") > BLOCK)
+    sized = members.join(sizes, "group", "left").withColumn("block", _share(F.coalesce("size", F.lit(1)) / BLOCK))
+    return sized.drop("size")
+
+
+def _second_pivots(entries: DataFrame, percent: int) -> DataFrame:
+    """(a, b): each list's members outside its largest component with one node of that
+    component, picked by hash: most copies that the first pivot missed are linked to it."""
+    order = F.struct("members", "label")
+    heads = entries.groupBy("value").agg(
+        F.min(order).alias("least"), F.max(order).alias("largest"),
+        F.max_by(F.struct("node", "bits", "n"), F.struct("members", "label", F.xxhash64("node", "value"))).alias("p"),
+    ).where("least <> largest")
+    met = entries.join(heads, "value").where(
+        (order < F.col("largest")) & _may_link(F.col("bits"), F.col("n"), F.col("p.bits"), F.col("p.n"), percent)
     )
+    return met.select(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b")).distinct()
 
 
 def _searches(entries: DataFrame, percent: int) -> DataFrame:
@@ -191,7 +218,7 @@ def _searches(entries: DataFrame, percent: int) -> DataFrame:
     not nodes.
     """
     # A value's count bounds its list, so parts can be dealt without the list's length.
-    part = F.pmod(F.xxhash64("node"), F.ceil(F.col("count") / LIST_PART))
+    part = _share(F.col("count") / LIST_PART)
     member = F.struct("node", "bits", "n", F.struct("members", "label").alias("order"), "group", "block")
     parts = stage(
         entries.select("value", part.alias("part"), member.alias("m")).groupBy("value", "part")
@@ -345,6 +372,18 @@ def _relabel(labels: DataFrame, edges: DataFrame) -> DataFrame:
     return stage(moved.unionByName(fresh), "labels")
 
 
+def _members(lists: DataFrame, labels: DataFrame) -> DataFrame:
+    """The nodes of lists with their label and how many nodes share it.
+
+    Labels and sizes meet the nodes, not the many list rows of each; a node without a link
+    is alone.
+    """
+    sizes = labels.groupBy("label").agg(F.count("*").alias("members"))
+    return lists.join(labels.join(sizes, "label"), "node", "left").withColumns(
+        {"label": F.coalesce("label", "node"), "members": F.coalesce("members", F.lit(1))}
+    )
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row.
 
@@ -363,16 +402,14 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = PERCENT) ->
         "nodes",
     )
     lists = stage(inverted_lists(nodes), "lists")
-    pairs = stage(_estimated(_pivot_pairs(_entries(lists), percent), nodes, percent), "pairs")
-    named = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    sets = stage_by_node(full_sets(docs, named, words), "sets")
-    labels = components(_confirmed(pairs, sets, percent))
-    # Labels and sizes meet the nodes, not the many list rows of each; a node without a link is alone.
-    sizes = labels.groupBy("label").agg(F.count("*").alias("members"))
-    members = lists.join(labels.join(sizes, "label"), "node", "left").withColumns(
-        {"label": F.coalesce("label", "node"), "members": F.coalesce("members", F.lit(1))}
-    )
-    members = _grouped(members)
+    labels = None
+    for pivots in (_pivot_pairs, _second_pivots):
+        rows = lists if labels is None else _members(lists, labels)
+        pairs = stage(_estimated(pivots(_entries(rows), percent), nodes, percent), "pairs")
+        named = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+        links = _confirmed(pairs, stage_by_node(full_sets(docs, named, words), "sets"), percent)
+        labels = components(links) if labels is None else _relabel(labels, links)
+    members = _grouped(_members(lists, labels))
     searches = stage(_searches(_entries(members), percent), "searches")
     inside = members.select("node", "label", "group", "block")
     labels = _relabel(labels, _search_links(searches, inside, docs, words, percent))
