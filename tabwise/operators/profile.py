@@ -36,8 +36,10 @@ BOOLEAN_COUNT, FEW_COUNT = 2, 10
 TEXT_RATIO, KEY_RATIOS = 0.5, (0.8, 0.95)
 # No longer text has the shape of a date, so none is carried along.
 LONGEST_DATE = 10
-# Three deviations of the default distinct-count sketch.
-FAST_BAND = 0.15
+# Binary logarithm of a distinct-count sketch's registers: it is off by 1.6 % in two
+# thirds of cases, and by the band hardly ever.
+LOG_REGISTERS = 12
+FAST_BAND = 0.1
 
 
 # --- one value per row -------------------------------------------------------
@@ -60,7 +62,7 @@ def _comparable_text(df: DataFrame, name: str) -> Column:
     return F.when(F.length(text) > DIGEST_ABOVE, digest).otherwise(text)
 
 
-def _hashable(df: DataFrame, name: str) -> Column:
+def hashable(df: DataFrame, name: str) -> Column:
     return _as_text(df, name) if kind_of(df.schema[name].dataType) == "nested" else value_of(df, name)
 
 
@@ -72,7 +74,7 @@ def row_fingerprint(df: DataFrame) -> Column:
     chance that any two share a digest is below 10^-14.
     """
     gaps = F.concat(*[F.when(value_of(df, c).isNull(), "0").otherwise("1") for c in df.columns])
-    values = [_hashable(df, c) for c in df.columns]
+    values = [hashable(df, c) for c in df.columns]
     return F.struct(
         F.xxhash64(gaps, *values).alias("forward"),
         F.xxhash64(*reversed(values), gaps).alias("backward"),
@@ -284,10 +286,16 @@ def _column_stats(df: DataFrame, name: str, kind: str) -> dict[str, Column]:
     return stats
 
 
-def _sketches(df: DataFrame, name: str, kind: str, median: bool) -> dict[str, Column]:
+def distinct_sketch(df: DataFrame, name: str) -> Column:
+    """A mergeable sketch of a column's different values, a few kilobytes whatever their number."""
+    value = F.when(value_of(df, name).isNotNull(), F.xxhash64(hashable(df, name)))
+    return F.hll_sketch_agg(value, LOG_REGISTERS)
+
+
+def _sketches(df: DataFrame, name: str, kind: str, median: bool, counted: bool = True) -> dict[str, Column]:
     stats = {}
-    if kind != "nested":
-        stats["distinct"] = F.approx_count_distinct(value_of(df, name))
+    if kind != "nested" and counted:
+        stats["distinct"] = F.hll_sketch_estimate(distinct_sketch(df, name))
     if median and kind in NUMERIC_KINDS:
         stats["median"] = F.percentile_approx(number_of(df, name), 0.5)
     return stats
@@ -307,7 +315,9 @@ def _collect_stats(df: DataFrame, stats: dict[str, dict[str, Column]]) -> dict[s
     }
 
 
-def column_profile(df: DataFrame, exact: bool = True, median: bool = True) -> DataFrame:
+def column_profile(
+    df: DataFrame, exact: bool = True, median: bool = True, counts: DataFrame | None = None
+) -> DataFrame:
     """One row per column: kind, counts and statistics.
 
     Runs at once and holds its few rows as values, so that roles, rules and
@@ -315,17 +325,22 @@ def column_profile(df: DataFrame, exact: bool = True, median: bool = True) -> Da
     mode adds the distinct counts and the median passes.  ``exact=False`` takes
     sketches in the wide aggregate instead and recounts only the columns whose
     count decides a role; a sketch that is off by more than ``FAST_BAND`` could still give
-    a wrong one.  ``median=False`` leaves medians out; roles need none.
+    a wrong one.  ``counts`` (column, distinct), as ``merged_counts`` gives them from stored
+    sketches, take the place of sketches from this scan.  ``median=False`` leaves medians
+    out; roles need none.
     """
     found = kinds(df)
+    stored = {} if counts is None else {r["column"]: r["distinct"] for r in counts.select("column", "distinct").collect()}
     stats = {c: _column_stats(df, c, k) for c, k in found.items()}
     if exact and median:
         for c in numeric_columns(df):
             stats[c]["bracket"] = bracket(number_of(df, c))
     if not exact:
         for c, k in found.items():
-            stats[c] |= _sketches(df, c, k, median)
+            stats[c] |= _sketches(df, c, k, median, counted=c not in stored)
     facts = _collect_stats(df, stats)
+    for c in stored.keys() & facts.keys() if not exact else ():
+        facts[c]["distinct"] = stored[c]
     countable = [c for c, k in found.items() if k != "nested"]
     recount = countable if exact else [
         c for c in countable if _is_decisive(c, found[c], facts[c])

@@ -532,6 +532,7 @@ SELECT 'Cost-to-Revenue Ratio' AS metric_name, 'Cost / Revenue' AS formula,
 UNION ALL SELECT 'Average Unit Price', first || ' / Quantity', 'Unit economics calculation.'
 FROM money WHERE n >= 1""",
         "column_roles_fast": _roled("lineitem") + ' SELECT "column", kind, role FROM roled',
+        "column_roles_stored": _roled("lineitem") + ' SELECT "column", kind, role FROM roled',
         "role_tags": _roled("lineitem")
         + ' SELECT "column", is_date, is_numeric, is_categorical, is_primary_key, is_foreign_key, '
         "is_currency, is_percentage, is_geo, is_target FROM roled",

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tabwise.functions.kpi_tables import KpiSpec
 from tabwise.functions.staging import scratch_path
-from tabwise.operators import charts, clean, governance, insights, kpi, profile, roles, rules
+from tabwise.operators import charts, clean, governance, insights, kpi, profile, roles, rules, sketches
 from tabwise.operators.timeseries import time_series_structure
 from tabwise.plans import analysis
 from tabwise.sources import run_log, sinks
@@ -187,6 +187,15 @@ def column_roles_fast(spark, sf):
     return roled(table(spark, sf, "lineitem"), exact=False).select("column", "kind", "role")
 
 
+def column_roles_stored(spark, sf):
+    """Roles from sketches stored by month of shipping, counts near a border taken again."""
+    df, path = table(spark, sf, "lineitem"), scratch_path(spark, "sketches")
+    sketches.append_sketches(sketches.column_sketches(df, F.date_format("l_shipdate", "yyyy-MM")), path)
+    counts = sketches.merged_counts(sketches.read_sketches(spark, path))
+    found = profile.column_profile(df, exact=False, median=False, counts=counts)
+    return roles.assign_roles(found).select("column", "kind", "role")
+
+
 def role_tags(spark, sf):
     return roled(table(spark, sf, "lineitem")).select(
         "column", "is_date", "is_numeric", "is_categorical", "is_primary_key", "is_foreign_key",
@@ -786,7 +795,7 @@ def all_queries() -> dict[str, Query]:
         numeric_summary_extreme, derived_totals, outlier_rule_inf, top_categories_decimal,
         correlation_inf, correlation_wide, chart_left_out, chart_batch_all, kpi_spec_decimal,
         kpi_spec_flags, csv_types, csv_rejects, csv_multiline, cleaned_gaps, frequent_values_even,
-        frequent_values_skewed,
+        frequent_values_skewed, column_roles_stored,
     )
     found: dict[str, Query] = {q.__name__: q for q in plain}
     found.update({f"column_roles_{t}": _roles_of(t) for t in ROLE_TABLES})

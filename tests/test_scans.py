@@ -244,3 +244,19 @@ def test_frequent_values_equal_exact_counts(spark, seed):
     for tracked in (16, 200, 5000):
         got = sorted(map(tuple, charts.frequent_values(df, "s", 5, tracked).collect()))
         assert got == sorted(map(tuple, charts.value_counts(df, "s", 5).collect()))
+
+
+def test_stored_sketches_merge(spark, tmp_path):
+    from tabwise.operators import sketches
+
+    days = [spark.range(k * 4000, k * 4000 + 6000).select(F.col("id"), F.when(F.col("id") % 2 > 0, F.col("id") % 10).alias("few"), F.array("id").alias("nested")) for k in range(3)]
+    path = str(tmp_path / "s")
+    for k, day in enumerate([*days, days[0]]):  # the first is loaded twice
+        sketches.append_sketches(sketches.column_sketches(day, f"day{k % 3}"), path)
+    found = {r["column"]: r for r in sketches.merged_counts(sketches.read_sketches(spark, path)).collect()}
+    assert set(found) == {"id", "few"} and found["id"]["rows"] == 18_000 and found["few"]["nulls"] == 9_000
+    assert found["few"]["distinct"] == 5 and abs(found["id"]["distinct"] - 14_000) < 0.08 * 14_000
+    parts = days[0].withColumn("p", F.col("id") % 3)
+    by_part = sketches.column_sketches(parts, F.col("p"))
+    assert by_part.select("part").distinct().count() == 3
+    assert sketches.column_sketches(days[0].limit(0)).count() == 0
