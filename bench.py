@@ -19,7 +19,7 @@ HEADLINE = (
     "distinct_counts", "numeric_summary", "time_series_structure_by_key", "clean_table",
     "drop_duplicates", "outlier_rows", "violations", "monthly_trend_lineitem", "top_categories",
     "value_counts", "scatter_points", "correlation_matrix", "chart_batch", "segment_means",
-    "kpi_sales", "run_log_read",
+    "kpi_sales", "run_log_read", "report_tables",
 )
 RUNS = 3
 

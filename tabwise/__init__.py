@@ -6,9 +6,12 @@ returns DataFrames, so it composes with ``DataFrame.transform``.
 """
 
 from tabwise.operators.charts import (
+    Limits,
     bottom_categories,
     chart_batch,
     correlation_matrix,
+    frequent_values,
+    left_out,
     monthly_trend,
     plan_charts,
     scatter_points,
@@ -31,8 +34,10 @@ from tabwise.operators.insights import chart_insights, segment_insights
 from tabwise.operators.kpi import default_kpi_specs, domain_kpis, evaluate_kpis, kpi_scorecard
 from tabwise.operators.profile import (
     column_profile,
+    date_likeness,
     derived_metrics,
     derived_suggestions,
+    derived_totals,
     distinct_counts,
     duplicate_count,
     null_counts,
@@ -47,6 +52,7 @@ from tabwise.operators.roles import (
     chart_candidates,
     detect_domain,
     relationships,
+    schema_columns,
 )
 from tabwise.operators.rules import (
     negative_rule,
@@ -55,10 +61,21 @@ from tabwise.operators.rules import (
     violation_report,
     violations,
 )
+from tabwise.operators.sketches import (
+    append_sketches,
+    column_sketches,
+    merged_counts,
+    read_sketches,
+)
 from tabwise.operators.timeseries import time_series_structure
 from tabwise.plans.analysis import discover, execute, ingest
-from tabwise.sources.readers import infer_types, read_table
+from tabwise.sources.readers import csv_records, csv_rejects, infer_types, read_table
 from tabwise.sources.run_log import append_log, read_log
-from tabwise.sources.sinks import write_chart_json, write_report_tables, write_table
+from tabwise.sources.sinks import (
+    write_chart_json,
+    write_measured,
+    write_report_tables,
+    write_table,
+)
 
 __all__ = [name for name in dir() if not name.startswith("_")]
