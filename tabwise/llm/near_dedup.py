@@ -247,8 +247,17 @@ def _searches(entries: DataFrame, percent: int) -> DataFrame:
             lambda found: F.size(found["blocks"]) > 0,
         ).alias("found")
     )
-    found = met.select(F.explode("found").alias("f")).select("f.b", F.explode("f.blocks").alias("at"))
-    return found.select("b", "at.group", "at.block").distinct()
+    return _each_block_once(met.select(F.explode("found").alias("f")).select("f.b", "f.blocks"))
+
+
+def _each_block_once(found: DataFrame) -> DataFrame:
+    """(b, group, block), each once, from rows (b, blocks).
+
+    Similar nodes share many lists, and each list names the same blocks: a node's blocks
+    are united before they become rows.
+    """
+    united = found.groupBy("b").agg(F.array_distinct(F.flatten(F.collect_list("blocks"))).alias("blocks"))
+    return united.select("b", F.explode("blocks").alias("at")).select("b", "at.group", "at.block")
 
 
 def _search_links(searches: DataFrame, members: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:

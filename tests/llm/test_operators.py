@@ -103,6 +103,28 @@ def test_near_duplicates_over_parts_of_lists(spark, monkeypatch):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in got} == alike(texts, 2)
 
 
+def test_blocks_of_many_lists_become_rows_once(spark):
+    """A node that meets the same blocks in many lists makes a row per block, not per list."""
+    lists = [(b, [(7, k) for k in range(4)]) for b in range(5) for _ in range(30)] + [(9, [(None, 0), (8, 0)])]
+    found = spark.createDataFrame(lists, "b long, blocks array<struct<group: long, block: long>>")
+    setting = "spark.sql.adaptive.enabled"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "false")
+    try:
+        rows = near_dedup._each_block_once(found)
+        got = [tuple(r) for r in rows.collect()]
+    finally:
+        spark.conf.set(setting, before)
+    assert len(got) == 22 and set(got) == {(b, 7, k) for b in range(5) for k in range(4)} | {(9, None, 0), (9, 8, 0)}
+    plans, made = [rows._jdf.queryExecution().executedPlan()], []
+    while plans:
+        plan = plans.pop()
+        plans += [plan.children().apply(i) for i in range(plan.children().size())]
+        if plan.nodeName() == "Generate":
+            made.append(plan.metrics().apply("numOutputRows").value())
+    assert made == [22]
+
+
 def test_sharding(docs, none):
     rows = sharding.shard_documents(docs, 4).collect()
     assert len(rows) == len(TEXTS) + 1
