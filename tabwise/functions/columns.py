@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Iterator, Sequence
+from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -105,6 +106,23 @@ def exact_mean(df: DataFrame, name: str) -> Column:
     return F.try_divide(exact_sum(value, df.schema[name].dataType).cast("double"), F.count(value))
 
 
+#: HotSpot leaves methods of more bytes than this uncompiled.
+COMPILED_BYTES = "8000"
+
+
+@contextmanager
+def short_methods(spark: SparkSession) -> Iterator[None]:
+    """For actions on many computed columns: Spark keeps no generated method that HotSpot
+    would interpret, but makes several short ones."""
+    setting = "spark.sql.codegen.hugeMethodLimit"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, COMPILED_BYTES)
+    try:
+        yield
+    finally:
+        spark.conf.set(setting, before)
+
+
 def contains_any(name: Column, words: Iterable[str]) -> Column:
     """True where the lower-cased text holds any of the (plain) words."""
     return F.lower(name).rlike("|".join(words))

@@ -24,6 +24,7 @@ from tabwise.functions.columns import (
     exact_sum,
     number_of,
     ref,
+    short_methods,
     summable,
     value_of,
 )
@@ -194,25 +195,23 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     if not columns:
         return spark.createDataFrame([], "col_a string, col_b string, r double")
     numbers = df.select(*[number_of(df, c).alias(f"n{i}") for i, c in enumerate(columns)])
-    facts = [
-        agg(f"n{i}").alias(f"{name}{i}")
-        for i in range(len(columns))
-        for name, agg in (("n", F.count), ("mean", F.avg), ("low", F.min), ("high", F.max))
-    ]
-    seen = numbers.agg(F.count("*").alias("rows"), *facts).first()
-    varying = [i for i in range(len(columns)) if seen[f"low{i}"] != seen[f"high{i}"]]
-    tame, scales = [], {}
+    # The tasks read NaN as a gap, so the columns go to them as they are.
+    plain = df.select(*[ref(c).cast("double").alias(f"n{i}") for i, c in enumerate(columns)])
+    with short_methods(spark):
+        seen = {r["a"]: r for r in _ranges(plain).collect()}
+    varying = [i for i in range(len(columns)) if i in seen and seen[i]["low"] != seen[i]["high"]]
+    tame, centres = [], {}
     for i in varying:
-        mean, low, high = (seen[f"{name}{i}"] for name in ("mean", "low", "high"))
-        scales[i] = max(abs(high - mean), abs(low - mean))
-        if math.isfinite(mean) and 0 < scales[i] < math.inf:
+        mean, low, high = seen[i]["total"] / seen[i]["n"], seen[i]["low"], seen[i]["high"]
+        centres[i] = (mean, max(abs(high - mean), abs(low - mean)))
+        if math.isfinite(mean) and 0 < centres[i][1] < math.inf:
             tame.append(i)
-    gaps = [i for i in tame if seen[f"n{i}"] < seen["rows"]]
+    gaps = [i for i in tame if seen[i]["n"] < seen[i]["rows"]]
     known = {}
     apart = [p for p in combinations(varying, 2) if not set(p) <= set(tame)]
     if len(tame) > 1:
-        sums = _gram_sums(numbers, tame, {i: (seen[f"mean{i}"], scales[i]) for i in tame}, gaps)
-        known, unsure = _from_sums(sums)
+        with short_methods(spark):
+            known, unsure = _from_sums(_gram_sums(plain, tame, centres, gaps))
         apart += unsure
     for chunk in _chunks(apart, PAIRS_PER_PASS):
         known |= {(r["a"], r["b"]): r["r"] for r in _gappy_pass(numbers, chunk).collect()}
@@ -229,6 +228,37 @@ def _chunks(items: Sequence, size: int) -> list[Sequence]:
     return [items[i : i + size] for i in range(0, len(items), size)]
 
 
+def _value_rows(batch: pa.RecordBatch) -> np.ndarray:
+    """A row of doubles per column, NaN for gaps."""
+    return np.array([c.to_numpy(zero_copy_only=False) for c in batch.columns], float)
+
+
+def _ranges(numbers: DataFrame) -> DataFrame:
+    """(a, rows, n, total, low, high) for every column with values: all rows, and the count,
+    sum and ends of the values.  A task sends one row a column."""
+    k = len(numbers.columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, n, total = 0, np.zeros(k, np.int64), np.zeros(k)
+        low, high = np.full(k, np.inf), np.full(k, -np.inf)
+        for batch in batches:
+            values = _value_rows(batch)
+            missing = np.isnan(values)
+            rows += len(batch)
+            n += (~missing).sum(axis=1)
+            with np.errstate(invalid="ignore", over="ignore"):
+                total += np.where(missing, 0.0, values).sum(axis=1)
+            low = np.fmin(low, np.fmin.reduce(values, axis=1, initial=np.inf))
+            high = np.fmax(high, np.fmax.reduce(values, axis=1, initial=-np.inf))
+        if rows:
+            columns = (np.arange(k, dtype=np.int32), np.full(k, rows), n, total, low, high)
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["a", "rows", "n", "total", "low", "high"])
+
+    found = numbers.mapInArrow(run, "a int, rows long, n long, total double, low double, high double")
+    sums = [F.sum(c).alias(c) for c in ("rows", "n", "total")]
+    return found.groupBy("a").agg(*sums, F.min("low").alias("low"), F.max("high").alias("high")).where("n > 0")
+
+
 #: Common rows, products, and the sums of values and squares of a and of b over them.
 SUMS = ("n", "sum_ab", "sum_a", "sum_b", "sum_aa", "sum_bb")
 
@@ -242,7 +272,7 @@ def _gram_sums(
     row a pair; these are added up by pair, so no task or the driver holds a matrix of rows.
     """
     k = len(used)
-    mean, scale = (np.array([centres[i][j] for i in used]) for j in (0, 1))
+    mean, scale = (np.array([[centres[i][j]] for i in used]) for j in (0, 1))
     any_gaps = bool(gaps)
     rows, cols = np.triu_indices(k, 1)
     names = np.array(used, np.int32)
@@ -252,19 +282,18 @@ def _gram_sums(
         common, sums, squares = np.zeros((k, k)), np.zeros((k, k)), np.zeros((k, k))
         for batch in batches:
             total += len(batch)
-            values = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns]).astype(float)
-            values = (values - mean) / scale
+            values = (_value_rows(batch) - mean) / scale
             if any_gaps:
                 mask = ~np.isnan(values)
                 values[~mask] = 0.0
                 mask = mask.astype(float)
-                common += mask.T @ mask
-                sums += values.T @ mask
-                squares += (values * values).T @ mask
+                common += mask @ mask.T
+                sums += values @ mask.T
+                squares += (values * values) @ mask.T
             else:
-                sums += values.sum(axis=0)[:, None]
-                squares += (values * values).sum(axis=0)[:, None]
-            products += values.T @ values
+                sums += values.sum(axis=1)[:, None]
+                squares += (values * values).sum(axis=1)[:, None]
+            products += values @ values.T
         if total:
             if not any_gaps:
                 common += total

@@ -79,6 +79,25 @@ def test_a_pair_constant_on_its_common_rows(spark):
     assert found == {("a", "a"): 1.0, ("a", "b"): 0.0, ("b", "a"): 0.0, ("b", "b"): 1.0}
 
 
+def test_ranges_of_columns_come_from_the_tasks(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = [(1.0, nan, None, inf), (None, 5.0, None, -inf), (-3.0, nan, None, 1.0)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double").repartition(2)
+    found = {r["a"]: (r["rows"], r["n"], r["low"], r["high"]) for r in charts._ranges(df).collect()}
+    assert found == {0: (3, 2, -3.0, 1.0), 1: (3, 1, 5.0, 5.0), 3: (3, 3, -inf, inf)}
+    assert charts._ranges(df.limit(0)).count() == 0
+
+
+def test_wide_correlations_run_in_short_methods(spark, monkeypatch):
+    """Both scans are read while long generated methods are off; the setting comes back."""
+    setting, seen = "spark.sql.codegen.hugeMethodLimit", []
+    before, collect = spark.conf.get(setting), type(spark.range(1)).collect
+    monkeypatch.setattr(type(spark.range(1)), "collect", lambda self: (seen.append(spark.conf.get(setting)), collect(self))[1])
+    df = spark.range(50).select(*[(F.col("id") * i % 7).alias(f"c{i}") for i in range(1, 20)])
+    charts.correlation_matrix(df, df.columns)
+    assert seen == ["8000", "8000"] and spark.conf.get(setting) == before
+
+
 def plain_steps(rows):
     days = [(b - a) // datetime.timedelta(days=1) for a, b in zip(rows, rows[1:])]
     modal = min(set(days), key=lambda d: (-days.count(d), d)) if days else None
